@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.bpe import round_trip
 from quillspark.llm.common import table
+from quillspark.llm.packing import pack
 from quillspark.llm.quality import repetition
 from quillspark.llm.simhash import simhash_groups
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies; a function, so that the package is needed only where one is used."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents"))
 
@@ -19,8 +32,12 @@ def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_repetition_rules, op8_simhash_bktree)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op7_repetition_rules, op8_simhash_bktree, op10_segment_tree_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.bpe import round_trip
 from quillspark.llm.common import table
 from quillspark.llm.packing import pack
+from quillspark.llm.pii import pii_report
 from quillspark.llm.quality import repetition
 from quillspark.llm.simhash import simhash_groups
 
@@ -23,6 +24,10 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hilbert_packing, op7_repetition_rules, op8_simhash_bktree, op10_segment_tree_bpe)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op5_feistel_pseudonyms, op7_repetition_rules, op8_simhash_bktree, op10_segment_tree_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,6 +11,7 @@ from quillspark.llm.packing import pack
 from quillspark.llm.pii import pii_report
 from quillspark.llm.quality import repetition
 from quillspark.llm.simhash import simhash_groups
+from quillspark.llm.warc import archive_round_trip
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +25,10 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -42,8 +47,19 @@ def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hilbert_packing, op5_feistel_pseudonyms, op7_repetition_rules, op8_simhash_bktree, op10_segment_tree_bpe)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op2_warc_boundary_chain, op5_feistel_pseudonyms, op7_repetition_rules, op8_simhash_bktree, op10_segment_tree_bpe)}
+
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, url FROM pages),
+d AS (SELECT page_id, url, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+r AS (SELECT payload_digest, payload_bytes, max(page_id) AS response FROM d WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN d.page_id <> r.response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN d.page_id <> r.response THEN r.response END AS refers_to,
+       replace(replace(coalesce(d.url, ''), chr(13), '%0D'), chr(10), '%0A') AS uri, d.payload_digest AS stated_digest
+FROM d LEFT JOIN r USING (payload_digest, payload_bytes)
+"""
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_boundary_chain": WARC_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.ann import search
 from quillspark.llm.bpe import round_trip
 from quillspark.llm.common import table
 from quillspark.llm.packing import pack
@@ -29,6 +30,10 @@ def op2_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_shifted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hilbert_packing, op2_warc_boundary_chain, op5_feistel_pseudonyms, op7_repetition_rules, op8_simhash_bktree, op10_segment_tree_bpe)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op2_warc_boundary_chain, op3_shifted_curves, op5_feistel_pseudonyms, op7_repetition_rules, op8_simhash_bktree, op10_segment_tree_bpe)}
 
 
 WARC_SQL = """

@@ -94,7 +94,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
     """The pieces of all documents: where each lies in its document and in its sequence."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.length("text")).alias("tie"))
-    ids = map_slices(own, "text", "doc_id long, curve_key long, tie long, ids binary", _tokenised(tokenizer, end), 4 << 20)
+    ids = map_slices(own, "text", "doc_id long, curve_key long, tie long, ids binary", _tokenised(tokenizer, end), 8 << 20)
     made = Scratch(spark, "pack").write(ids, "ids")
     wide = "<u4" if len(codec(tokenizer).table) > 65536 else "<u2"
     along = made.repartitionByRange("curve_key", "tie").sortWithinPartitions("curve_key", "tie")

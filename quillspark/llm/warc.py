@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import Scratch
 
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
-REVISIT_BYTES, RECORDS_A_FILE = 1000, 50_000
+REVISIT_BYTES, RECORDS_A_FILE = 1000, 10_000
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -45,8 +45,11 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return own.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "n_bytes", "refers_to")
 
 
-def write_warc(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
-    """A record for each page, in files under `path`."""
+def write_warc(pages: DataFrame, path: str, least: int = REVISIT_BYTES, compression: str = "gzip") -> None:
+    """A record for each page, in files of RECORDS_A_FILE records at most under `path`.
+
+    A compressed file is read by one task; uncompressed ones (compression "none") are read in splits.
+    """
     uri = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     again = F.col("refers_to").isNotNull()
@@ -64,7 +67,7 @@ def write_warc(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
     ]
     rows = with_revisits(pages, least).withColumn("block", F.concat(http, F.when(again, F.lit("")).otherwise(F.col("payload"))))
     record = F.concat(F.lit(MAGIC.decode()), F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), F.col("block"))
-    rows.select(record.alias("value")).write.mode("overwrite").option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    rows.select(record.alias("value")).write.mode("overwrite").option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", compression).text(path)
 
 
 _FIELD = re.compile(rb"^([A-Za-z-]+): ?(.*?)\r?$", re.M)
@@ -206,10 +209,10 @@ def _wanted(chunks: pa.Table, cut: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_table(rows, schema)] if rows else [], schema)
 
 
-def archive_round_trip(pages: DataFrame) -> DataFrame:
+def archive_round_trip(pages: DataFrame, compression: str = "gzip") -> DataFrame:
     """Write the pages as WARC records in the shared folder, read the archives back, and return a row for each page."""
     spark = pages.sparkSession
     path = Scratch(spark, "warc").path("archives")
-    write_warc(pages, path)
+    write_warc(pages, path, compression=compression)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     return read_warc(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "uri", "stated_digest")

@@ -12,6 +12,7 @@ from quillspark.llm.packing import pack
 from quillspark.llm.pii import pii_report
 from quillspark.llm.quality import repetition
 from quillspark.llm.simhash import simhash_groups
+from quillspark.llm.suffix import removal_report
 from quillspark.llm.warc import archive_round_trip
 
 
@@ -34,6 +35,10 @@ def op3_shifted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_suffix_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hilbert_packing, op2_warc_boundary_chain, op3_shifted_curves, op5_feistel_pseudonyms, op7_repetition_rules, op8_simhash_bktree, op10_segment_tree_bpe)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op2_warc_boundary_chain, op3_shifted_curves, op4_suffix_grouping, op5_feistel_pseudonyms, op7_repetition_rules, op8_simhash_bktree, op10_segment_tree_bpe)}
 
 
 WARC_SQL = """

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quillspark.llm.ann import search
 from quillspark.llm.bpe import round_trip
 from quillspark.llm.common import table
+from quillspark.llm.extract import extract
 from quillspark.llm.packing import pack
 from quillspark.llm.pii import pii_report
 from quillspark.llm.quality import repetition
+from quillspark.llm.rollup import maintained_totals
 from quillspark.llm.simhash import simhash_groups
 from quillspark.llm.suffix import removal_report
 from quillspark.llm.warc import archive_round_trip
@@ -43,6 +45,10 @@ def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op6_boosted_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents"))
 
@@ -52,12 +58,16 @@ def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_delta_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintained_totals(table(spark, sf_dir, "documents"), {"word_bpe_49k": vocabulary("word_bpe_49k.json"), "byte_bpe_50k": vocabulary("byte_bpe_50k.json")})
+
+
 def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hilbert_packing, op2_warc_boundary_chain, op3_shifted_curves, op4_suffix_grouping, op5_feistel_pseudonyms, op7_repetition_rules, op8_simhash_bktree, op10_segment_tree_bpe)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op2_warc_boundary_chain, op3_shifted_curves, op4_suffix_grouping, op5_feistel_pseudonyms, op6_boosted_dom, op7_repetition_rules, op8_simhash_bktree, op9_delta_rollups, op10_segment_tree_bpe)}
 
 
 WARC_SQL = """

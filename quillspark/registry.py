@@ -1,11 +1,13 @@
-"""All registered queries with their SQL."""
+"""All registered queries of the library, with the SQL they are held against."""
 
 from __future__ import annotations
 
+from quillspark.queries import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -26,9 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_slices
+from quillspark.llm.common import CACHES, map_slices
 
-WORDS, TOKENS = 500_000, 1_000_000
+WORDS, TOKENS = 400_000, 800_000
 #: Pretokens of up to this many symbols share trees in numpy.
 TOGETHER, ROWS = 128, 8192
 _SPACE = r"\p{White_Space}"
@@ -302,6 +302,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+CACHES.append(codec)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 

@@ -50,7 +50,13 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        setting, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", self.spark.conf
+        before = conf.get(setting, "false")
+        conf.set(setting, "true")  # its shuffle files go when the table is written, not when the driver collects garbage
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            conf.set(setting, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def _at(self, where: str):
@@ -62,6 +68,16 @@ class Scratch:
         files.delete(path, True)
 
 
+#: What a Python worker keeps between tasks: functions with cache_clear.
+CACHES: list = []
+
+
+def release_caches() -> None:
+    """Workers are reused by later stages; those that need much memory first let go of what others kept."""
+    for kept in CACHES:
+        kept.cache_clear()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `limit` bytes of the column `text`, so that memory is bounded by the longest row."""
     import pyarrow.compute as pc
@@ -79,10 +95,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH_BYTE
         yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, text: str, schema: str, of: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int = BATCH_BYTES) -> DataFrame:
+def map_slices(df: DataFrame, text: str, schema: str, of: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int = BATCH_BYTES, release: bool = False) -> DataFrame:
     """mapInArrow over bounded slices; `of` gives the rows for a slice."""
 
     def run(batches):
+        if release:
+            release_caches()
         for part in slices(batches, text, limit):
             made = of(part)
             if made is not None and made.num_rows:

@@ -26,12 +26,11 @@ bounds). An empty table gives an empty table. Documents of over 8 MB are cut up
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Scratch, map_slices, raw
@@ -405,14 +404,8 @@ def _compare(group: int):
     return run
 
 
-def _free(spark: SparkSession) -> None:
-    """Let go of shuffle files that no table needs any more, rather than whenever the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _found(docs: DataFrame, scratch: Scratch, group: int) -> DataFrame:
-    places = map_slices(docs, "text", PLACES, _places, 4 << 20)
+    places = map_slices(docs, "text", PLACES, _places, 2 << 20, release=True)
     sifted = places.repartition("key").sortWithinPartitions("key", "context", "doc_id", "pos").mapInArrow(_sift(group), FOUND)
     return scratch.write(sifted, "found")
 
@@ -429,9 +422,7 @@ def repeated_runs(docs: DataFrame, group: int = GROUP) -> DataFrame:
     scratch = Scratch(spark, "suffix")
     own = docs.filter("doc_id is not null and octet_length(text) >= " + str(LENGTH)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = _found(own, scratch, group)
-    _free(spark)
     made = _repeats(own, found, scratch, group)
-    _free(spark)
     prints = made.filter("f2 <> 0")
     first = prints.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     across = prints.join(first, ["f1", "f2"]).filter(F.struct("doc_id", "lo") != F.col("first")).select("doc_id", "lo", "hi")

@@ -13,6 +13,8 @@ batch is a commit without rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +39,9 @@ def token_counts(docs: DataFrame, vocabularies: dict[str, str]) -> DataFrame:
     return map_slices(own, "text", "doc_id long, source string, lang string, copy_key string, " + ", ".join(f"{n} long" for n in names), rows, 4 << 20)
 
 
-def signed(counts: DataFrame, versions: list[str], sign: int) -> DataFrame:
-    """Signed rows, one for each document and tokenizer version."""
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(v).alias("n")) for v in versions])).alias("v")
-    return counts.select("source", "lang", each).select("source", "lang", "v.tokenizer", F.lit(sign).cast("long").alias("n_docs"), (F.col("v.n") * sign).alias("n_tokens"))
+def signed(groups: DataFrame, version: str, n: str, sign: int) -> DataFrame:
+    """Signed rows for the documents counted in column n; column `version` holds the tokens of one of them."""
+    return groups.select("source", "lang", F.lit(version).alias("tokenizer"), (F.col(n) * sign).alias("n_docs"), (F.col(version) * F.col(n) * sign).alias("n_tokens"))
 
 
 class Rollup:
@@ -53,27 +54,28 @@ class Rollup:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def committed(self) -> list[str]:
+    def _done(self) -> dict[str, frozenset[str]]:
+        """Tables with a commit mark, and the batches that each holds."""
         files, where = self._files(self.root)
         if not files.exists(where):
-            return []
+            return {}
         names = [s.getPath().getName() for s in files.listStatus(where)]
-        replaced = set()
-        done = [n for n in names if files.exists(self._files(f"{self.root}/{n}/_SUCCESS")[1])]
-        for n in done:
-            if n.startswith("compact-"):
-                replaced |= set(n.removeprefix("compact-").split("+"))
-        return sorted(n for n in done if n not in replaced)
+        done = [n for n in names if not n.startswith("parts-") and files.exists(self._files(f"{self.root}/{n}/_SUCCESS")[1])]
+        held = lambda n: [r.value for r in self.spark.read.text(f"{self.root}/parts-{n.removeprefix('compact-')}").collect()] if n.startswith("compact-") else [n]
+        return {n: frozenset(held(n)) for n in done}
+
+    def committed(self) -> list[str]:
+        """The tables that count: no batch lies in two of them."""
+        done = self._done()
+        return sorted(n for n, own in done.items() if not any(own < other or own == other and n < m for m, other in done.items() if m != n))
 
     def apply(self, batch_id: str, deltas: DataFrame) -> bool:
         """Commit a batch of signed rows; False if it was committed before."""
         if not batch_id.replace("_", "").isalnum():
             raise ValueError("a batch id holds letters, digits and _ only")
-        files, where = self._files(f"{self.root}/{batch_id}")
-        known = {p for n in self.committed() for p in n.removeprefix("compact-").split("+")}
-        if batch_id in known or files.exists(self._files(f"{self.root}/{batch_id}/_SUCCESS")[1]):
+        if any(batch_id in held for held in self._done().values()):
             return False
-        deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.mode("overwrite").parquet(str(where))
+        deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.mode("overwrite").parquet(f"{self.root}/{batch_id}")
         return True
 
     def totals(self) -> DataFrame:
@@ -82,28 +84,43 @@ class Rollup:
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def compact(self) -> None:
-        """Sum all committed batches into one and drop keys without documents and tokens."""
-        names = self.committed()
+        """Sum all committed batches into one table and drop keys without documents and tokens. Its commit is what replaces them."""
+        done, names = self._done(), self.committed()
         if len(names) > 1:
-            parts = [p for n in names for p in n.removeprefix("compact-").split("+")]
-            self.totals().filter("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(f"{self.root}/compact-{'+'.join(parts)}")
+            parts = sorted(p for n in names for p in done[n])
+            name = hashlib.sha1("\n".join(parts).encode()).hexdigest()
+            self.spark.createDataFrame([(p,) for p in parts], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/parts-{name}")
+            self.totals().filter("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(f"{self.root}/compact-{name}")
+
+
+def copy_groups(counts: DataFrame, versions: list[str]) -> DataFrame:
+    """Documents with equal texts, source and language as one row: n of them, `left` (1 or 0) that stay when exact copies
+    go, `gone` the others, and the tokens of one for each version. Of equal texts the smallest doc_id stays (null last).
+
+    Copies are combined before the shuffle, so a hot text is a row for each source and language in a task.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    groups = counts.groupBy("copy_key", "source", "lang").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"), *[F.max(v).alias(v) for v in versions])
+    place = F.struct("first", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("lang", F.lit("")).alias("l"), F.col("source").isNull().alias("sn"), F.col("lang").isNull().alias("ln"))
+    groups = groups.withColumn("place", place)
+    kept = groups.groupBy("copy_key").agg(F.min("place").alias("kept"))
+    stays = F.col("place").eqNullSafe(F.col("kept")).cast("long")
+    return groups.join(kept, "copy_key").withColumn("left", stays).withColumn("gone", F.col("n") - stays)
 
 
 def maintained_totals(docs: DataFrame, vocabularies: dict[str, str]) -> DataFrame:
-    """Totals after three batches: all documents inserted; exact copies deleted (the smallest doc_id stays); counts of the
-    first tokenizer version revised to the last one's for what is left. Each batch is applied twice, to the same effect."""
+    """Totals after three batches: all documents inserted; exact copies deleted; counts of the first tokenizer version
+    revised to the last one's for what is left. Each batch is applied twice, to the same effect."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "rollup")
-    counts = scratch.write(token_counts(docs, vocabularies), "counts")
-    first = counts.groupBy("copy_key").agg(F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copies = counts.join(first, "copy_key").filter("doc_id <> kept")
-    left = counts.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    old, new = list(vocabularies)[0], list(vocabularies)[-1]
+    versions = list(vocabularies)
+    old, new = versions[0], versions[-1]
+    groups = scratch.write(copy_groups(scratch.write(token_counts(docs, vocabularies), "counts"), versions), "groups")
     rollup = Rollup(spark, scratch.path("batches"))
     batches = {
-        "b1_insert": signed(counts, [old], 1),
-        "b2_delete_copies": signed(copies, [old], -1),
-        "b3_revise": signed(left, [old], -1).union(signed(left, [new], 1)),
+        "b1_insert": signed(groups, old, "n", 1),
+        "b2_delete_copies": signed(groups, old, "gone", -1),
+        "b3_revise": signed(groups, old, "left", -1).union(signed(groups, new, "left", 1)),
     }
     for name, deltas in [*batches.items(), *batches.items()]:
         rollup.apply(name, deltas)

@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint, which survives lost executors."""
     context = df.sparkSession.sparkContext

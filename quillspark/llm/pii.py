@@ -13,8 +13,7 @@ It is one narrow stage: no shuffle, no join, nothing that grows with the data bu
 do not matter. Documents without a digit are passed on after one simple scan.
 
 Defined results: a null text stays null with counts of zero; an empty text stays empty; ties and repeated rows give equal
-results; other columns pass through unchanged (columns of the names this makes, n_pii and the like, are replaced only in
-`pii_report`); an empty table gives an empty table.
+results; other columns pass through unchanged (`pii_report` ignores them); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import fresh
+
 ROUNDS = 8
 KEY = "example key: pass your own"
 
@@ -207,25 +208,28 @@ def _pseudonym(kind: Column, m: Column, key: str) -> Column:
     )
 
 
-def _worked(docs: DataFrame, key: str) -> DataFrame:
-    """Columns _kinds (of the valid finds) and _new (the text with pseudonyms) beside the table's own."""
+def _worked(docs: DataFrame, key: str) -> tuple[DataFrame, str, str]:
+    """The table with two more columns, and their names: the kinds of the valid finds, and the text with pseudonyms."""
+    finds_name, kinds_name, new_name = (fresh(n, docs) for n in ("_finds", "_kinds", "_new"))
     text = F.col("text").cast("string")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     finds = F.transform(found, lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
-    with_finds = docs.withColumn("_finds", finds)
-    some = F.exists("_finds", lambda f: f["kind"].isNotNull())
-    new = F.transform("_finds", lambda f: _pseudonym(f["kind"], f["m"], key))
-    pieces = F.split(text, ANY, -1)
-    woven = F.array_join(F.zip_with(pieces, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return with_finds.withColumn("_new", F.when(some, woven).otherwise(text)).withColumn("_kinds", F.filter(F.transform("_finds", lambda f: f["kind"]), lambda k: k.isNotNull()))
+    with_finds = docs.withColumn(finds_name, finds)
+    some = F.exists(finds_name, lambda f: f["kind"].isNotNull())
+    new = F.transform(finds_name, lambda f: _pseudonym(f["kind"], f["m"], key))
+    woven = F.array_join(F.zip_with(F.split(text, ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    out = with_finds.withColumn(new_name, F.when(some, woven).otherwise(text)).withColumn(kinds_name, F.filter(F.transform(finds_name, lambda f: f["kind"]), lambda k: k.isNotNull()))
+    return out, kinds_name, new_name
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The same rows and columns; text with pseudonyms."""
-    return _worked(docs, key).select(*[F.col("_new").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    out, _, new = _worked(docs, key)
+    return out.select(*[F.col(new).alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def pii_report(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with pseudonyms, n_pii, and a count for each kind."""
-    of = lambda k: F.coalesce(F.size(F.filter("_kinds", lambda x: x == k)), F.lit(0)).cast("long").alias(f"n_{k}")
-    return _worked(docs.select("doc_id", "text"), key).select("doc_id", F.col("_new").alias("text"), F.coalesce(F.size("_kinds"), F.lit(0)).cast("long").alias("n_pii"), *[of(k) for k in KINDS])
+    out, kinds, new = _worked(docs.select("doc_id", "text"), key)
+    of = lambda k: F.coalesce(F.size(F.filter(kinds, lambda x: x == k)), F.lit(0)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", F.col(new).alias("text"), F.coalesce(F.size(kinds), F.lit(0)).cast("long").alias("n_pii"), *[of(k) for k in KINDS])

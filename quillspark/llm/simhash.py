@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, map_slices, raw
+from quillspark.llm.common import cut, fresh, map_slices, raw
 from quillspark.llm.components import components
 
 RADIUS, SHINGLE, SEED, SHARD = 4, 4, 42, 2048
@@ -183,7 +183,7 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id (of rows that share it, each stays)."""
-    groups = simhash_groups(docs, radius)
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
+    """One document of each group stays: that with the smallest doc_id (of rows that share it, each stays; rows without a doc_id stay)."""
+    name = fresh("_kept", docs)
+    keep = simhash_groups(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(keep, docs["doc_id"] == keep[name], "left_semi").union(docs.filter(F.col("doc_id").isNull()))

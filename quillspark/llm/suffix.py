@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, map_slices, raw
+from quillspark.llm.common import Scratch, fresh, map_slices, raw
 from quillspark.llm.quality import _BYTE, Rolling
 
 LENGTH, K, GROUP = 100, 50, 256
@@ -394,7 +394,8 @@ def _compare(group: int):
                         if made is not None:
                             yield made
                     open_, members = row[:2], []
-                members.append(row[2:])
+                if not members or members[-1][:2] != row[2:4]:  # a repeated row of the documents gives its contexts again
+                    members.append(row[2:])
         close()
         for b in list(bins):
             made = repeats(bins.pop(b), group)
@@ -477,15 +478,15 @@ def _inward(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The same rows and columns; text without what repeats."""
-    names = docs.columns
+    names, doc_name, runs_name = docs.columns, fresh("_doc", docs), fresh("_runs", docs)
 
     def rows(batch):
         texts = []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("_runs").to_pylist()):
+        for text, runs in zip(batch.column("text").to_pylist(), batch.column(runs_name).to_pylist()):
             body = (text or "").encode()
             texts.append(None if text is None else _kept(body, _inward(body, merged(runs, len(body)))).decode())
-        return batch.drop_columns(["_runs"]).set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+        return batch.drop_columns([runs_name]).set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    runs = repeated_runs(docs).select(F.col("doc_id").alias("_doc"), F.col("runs").alias("_runs"))
-    joined = docs.join(runs, docs["doc_id"] == runs["_doc"], "left").select(*[docs[c] for c in names], "_runs")
+    runs = repeated_runs(docs).select(F.col("doc_id").alias(doc_name), F.col("runs").alias(runs_name))
+    joined = docs.join(runs, docs["doc_id"] == runs[doc_name], "left").select(*[docs[c] for c in names], runs_name)
     return map_slices(joined, "text", docs.schema, rows)

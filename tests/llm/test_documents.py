@@ -1,0 +1,319 @@
+"""Operators on documents, held against brute force on a small table with nulls, odd texts, copies and repeated rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quillspark.llm import packing, pii, quality, rollup, simhash, suffix
+from quillspark.llm.bpe import Codec, decoded, encoded, round_trip
+from quillspark.llm.common import Scratch
+from quillspark.llm.queries import vocabulary
+
+from .conftest import DOCS, clashing
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+tokenizers = pytest.importorskip("tokenizers")
+
+
+def library(name):
+    t = tokenizers.Tokenizer.from_file(vocabulary(name))
+    t.no_padding()
+    t.no_truncation()
+    return t
+
+
+def test_quality_counts(docs):
+    want = Counter()
+    for r in docs.collect():
+        t = r.text or ""
+        w = WORD.findall(t)
+        grams = Counter(zip(w, w[1:], w[2:]))
+        covered = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        want[r.doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed] += 1
+    got = Counter(tuple(r[:7]) for r in quality.repetition(clashing(docs)).collect())
+    assert got == want
+
+
+def test_quality_filter_keeps_columns(docs):
+    kept = quality.quality_filter(clashing(docs))
+    assert kept.columns == clashing(docs).columns
+    good = Counter(r.doc_id for r in quality.repetition(docs).filter("kept").collect())
+    assert Counter(r.doc_id for r in kept.collect()) == good
+    assert quality.repetition(docs.limit(0)).count() == 0
+
+
+def brute_fingerprint(t):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), seed=42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("shard", [2048, 3])
+def test_simhash_links(spark, docs, shard):
+    rows = [(r.doc_id, brute_fingerprint(r.text)) for r in docs.collect()]
+    fps = sorted({f for _, f in rows})
+    up = {f: f for f in fps}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 4:
+                up[find(a)] = find(b)
+    least = defaultdict(lambda: 10**9)
+    for d, f in rows:
+        least[find(f)] = min(least[find(f)], d if d is not None else 10**9)
+    want = Counter((d, f, least[find(f)] if least[find(f)] < 10**9 else None) for d, f in rows)
+    got = Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.simhash_groups(clashing(docs)).collect())
+    assert got == want
+    distinct = spark.createDataFrame([((f + 2**63) % 2**64 - 2**63,) for f in fps], "fp long")
+    links = simhash.fingerprint_links(distinct, shard=shard).collect()
+    down = {f: f for f in fps}
+
+    def root(x):
+        while down[x] != x:
+            x = down[x]
+        return x
+
+    for r in links:
+        assert ((r.a ^ r.b) % 2**64).bit_count() <= 4
+        down[root(r.a % 2**64)] = root(r.b % 2**64)
+    assert all((root(a) == root(b)) == (find(a) == find(b)) for a in fps for b in fps)
+
+
+def test_hot_bucket_of_near_fingerprints(spark):
+    """Thousands of fingerprints in one ball: shards must find every link between them."""
+    rng = np.random.default_rng(0)
+    fps = {0}
+    for _ in range(1500):
+        x = int(rng.integers(0, 1 << 62))
+        for b in rng.choice(62, 3, replace=False):
+            fps.add(1 << int(b) | (x & 1))
+    distinct = spark.createDataFrame([(f,) for f in fps], "fp long")
+    from quillspark.llm.components import components
+
+    got = components(simhash.fingerprint_links(distinct, shard=20))
+    assert got.select("component").distinct().count() == 1 and got.count() == len(fps)
+
+
+def test_simhash_dedup(docs):
+    got = simhash.simhash_dedup(clashing(docs))
+    assert got.columns == clashing(docs).columns
+    groups = {r.component_id for r in simhash.simhash_groups(docs).collect()}
+    assert {r.doc_id for r in got.collect()} == groups | {None}
+    assert simhash.simhash_dedup(docs.limit(0)).count() == 0
+
+
+def brute_removed(rows):
+    seen, out = set(), {}
+    for d, t in sorted({(r.doc_id, r.text or "") for r in rows if r.doc_id is not None}):
+        b = t.encode()
+        cov = bytearray(len(b))
+        for i in range(len(b) - 99):
+            w = b[i : i + 100]
+            if w in seen:
+                cov[i : i + 100] = b"\1" * 100
+            seen.add(w)
+        out[d] = (b, bytes(cov))
+    return out
+
+
+@pytest.mark.parametrize("group", [256, 3])
+def test_suffix_removal(docs, group):
+    want = brute_removed(docs.collect())
+    for r in suffix.removal_report(clashing(docs), group).collect():
+        if r.doc_id is None:
+            assert r.n_removed == 0
+            continue
+        b, cov = want[r.doc_id]
+        kept = bytes(x for x, c in zip(b, cov) if not c)
+        assert tuple(r) == (r.doc_id, len(b), sum(cov), len([x for x in cov.split(b"\0") if x]), hashlib.sha256(kept).hexdigest())
+    assert suffix.removal_report(docs.limit(0)).count() == 0
+
+
+def test_suffix_arrays_in_step():
+    rng = np.random.default_rng(2)
+    texts = [[*rng.integers(1, k + 1, n), 0] for k in (1, 2, 3, 30) for n in (0, 1, 2, 17, 60)] + [[1, 2] * 20 + [0], [3, 2, 3, 2, 2] * 9 + [0]]
+    got, at = suffix.suffix_arrays(np.array(sum(texts, [])), np.array([len(t) for t in texts])), 0
+    for t in texts:
+        assert (got[at : at + len(t)] - at).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+        at += len(t)
+
+
+def test_remove_repeats_keeps_characters(docs):
+    out = suffix.remove_repeats(clashing(docs))
+    assert out.columns == clashing(docs).columns
+    by = {r.doc_id: r.text for r in out.collect()}
+    want = brute_removed(docs.collect())
+    for d, (b, cov) in want.items():
+        left = len((by[d] or "").encode())
+        assert left >= len(b) - sum(cov) and left <= len(b)
+    assert by[None] == "no id at all"
+
+
+def test_pseudonyms(spark):
+    luhn = "4845168114407329"
+    rows = [
+        (1, f"mail a.b-55@mail7.example.com, +1 (017) 555-7713 and card {luhn}.", "x"),
+        (2, f"{luhn[:4]}-{luhn[4:8]}-{luhn[8:12]}-{luhn[12:]} then +1 017 555 7713 and 4845168114407320", "x"),
+        (3, "97.51.17.173 and 999.1.1.1; token 04dbebab91ab85687d33eeaaf9ac699e1188f962", "x"),
+        (4, "2024-02-29 2023-02-29 31.12.1999 DE89370400440532013000 DE00370400440532013000", "x"),
+        (5, None, "x"), (6, "", "x"), (7, "12 clean apples, v2.0.", "x"), (7, "12 clean apples, v2.0.", "x"), (None, luhn, "x"),
+    ]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r.doc_id: r for r in pii.pii_report(df).collect()}
+    card = got[None].text
+    assert card != luhn and len(card) == 16 and card.isdigit()
+    digits = [int(c) for c in card[::-1]]
+    assert sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(digits)) % 10 == 0
+    assert f"card {card}." in got[1].text and got[2].text.startswith(f"{card[:4]}-{card[4:8]}-{card[8:12]}-{card[12:]} then ")
+    assert got[2].text.endswith(" 4845168114407320") and got[2].n_pii == 2
+    phones = [re.sub(r"\D", "", re.search(r"\+1[ ()\d-]+\d", got[k].text)[0]) for k in (1, 2)]
+    assert phones[0] == phones[1] != "10175557713"
+    assert "a.b-55@" not in got[1].text and "@mail7.example.com" in got[1].text
+    assert "97.51.17.173" not in got[3].text and "999.1.1.1" in got[3].text and "04dbebab" not in got[3].text
+    ip = got[3].text.split(" ")[0].split(".")
+    assert len(ip) == 4 and all(0 <= int(x) < 256 for x in ip)
+    assert re.fullmatch(r"\d{4}-\d{2}-\d{2} 2023-02-29 \d{2}\.\d{2}\.\d{4} DE\d{20} DE00370400440532013000", got[4].text) and got[4].n_pii == 3
+    iban = got[4].text.split(" ")[3]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert got[5].text is None and got[6].text == "" and got[7].text == "12 clean apples, v2.0." and got[7].n_pii == 0
+    kept = pii.pseudonymise(df)
+    assert kept.columns == df.columns and kept.count() == len(rows) and kept.filter("_new <> 'x' or _finds <> 'x' or source <> 'x'").count() == 0
+    other = pii.pii_report(df, key="another").filter("doc_id is null").first().text
+    assert other != card and pii.pii_report(df.limit(0)).count() == 0
+
+
+def test_pseudonyms_are_permutations(spark):
+    cards = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("123-45-"), F.lpad((F.col("id") + 1).cast("string"), 4, "0")).alias("text"))
+    assert pii.pii_report(cards).select("text").distinct().count() == 3000
+    days = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
+    assert pii.pii_report(days).select("text").distinct().count() == 3000
+
+
+def test_packing(docs):
+    t = library("word_bpe_49k.json")
+    want = Counter()
+    for r in docs.collect():
+        want[r.doc_id, tuple(t.encode(r.text or "", add_special_tokens=False).ids + [2])] += 1
+    rows = packing.pack(clashing(docs), vocabulary("word_bpe_49k.json"), length=64).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r)
+    for pieces in by.values():
+        pieces.sort(key=lambda r: r.offset)
+        assert [p.offset for p in pieces] == [sum(q.length for q in pieces[:i]) for i in range(len(pieces))]
+        assert sum(p.length for p in pieces) <= pieces[0].padded_to <= 64 and len({p.padded_to for p in pieces}) == 1
+        assert pieces[0].padded_to & (pieces[0].padded_to - 1) == 0
+    single = {d: ids for (d, ids), n in want.items() if n == 1}
+    own = defaultdict(list)
+    for r in rows:
+        own[r.doc_id].append(r)
+    for d, ids in single.items():
+        at = 0
+        for r in sorted(own[d], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids)
+            assert zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes()) == r.ids_crc32
+            at += r.length
+        assert at == len(ids)
+    assert sum(r.length for r in rows) == sum(len(ids) * n for (_, ids), n in want.items())
+    assert packing.pack(docs.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_bpe_equals_library(docs, name):
+    t, own = library(name), Codec(vocabulary(name))
+    rng = np.random.default_rng(4)
+    alphabet = ["a", "B", "é", " ", "  ", "\n", "\t", "'s", "1", ".", "#", "ß", "字", " ", "<|endoftext|>", "\x85", "\x1c", "\0", "ing", "the", "Σ", "İ", "é"]
+    texts = [r.text or "" for r in docs.collect()] + ["".join(rng.choice(alphabet, rng.integers(1, 30))) for _ in range(1500)] + ["a" * 5000 + " " + "xyz" * 800]
+    for text, ids, e in zip(texts, own.encode(texts), t.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids, repr(text)
+        if name.startswith("byte"):
+            assert own.decode(ids) == t.decode(e.ids, skip_special_tokens=False)
+
+
+def test_bpe_round_trip(docs):
+    path = vocabulary("byte_bpe_50k.json")
+    for r in round_trip(clashing(docs), path).join(docs.dropDuplicates(["doc_id"]), "doc_id").collect():
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    back = decoded(encoded(docs, path), path)
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text or "") for r in docs.collect())
+    assert round_trip(docs.limit(0), path).count() == 0
+
+
+def test_rollup_batches_count_once(spark):
+    root = Scratch(spark, "test-rollup").path("batches")
+    store = rollup.Rollup(spark, root)
+    delta = lambda *rows: spark.createDataFrame(rows, rollup.TOTALS)
+    totals = lambda: {tuple(r[:3]): (r.n_docs, r.n_tokens) for r in store.totals().collect()}
+    assert totals() == {}
+    assert store.apply("b1", delta(("s", "en", "v1", 1, 10), ("s", "en", "v1", 1, 5), (None, None, "v1", 1, 7)))
+    assert not store.apply("b1", delta(("s", "en", "v1", 1, 10)))
+    assert store.apply("b2", delta(("s", "en", "v1", -1, -5)))
+    assert store.apply("b3", delta(("s", "en", "v1", -1, -10), ("s", "en", "v2", 1, 12)))
+    assert totals() == {("s", "en", "v1"): (0, 0), (None, None, "v1"): (1, 7), ("s", "en", "v2"): (1, 12)}
+    store.compact()
+    assert totals() == {(None, None, "v1"): (1, 7), ("s", "en", "v2"): (1, 12)}
+    assert not store.apply("b2", delta(("s", "en", "v1", -1, -5))) and store.apply("b4", delta(("s", "en", "v2", 1, 1)))
+    store.compact()
+    assert totals()["s", "en", "v2"] == (2, 13) and len(store.committed()) == 1
+    # An attempt that failed before its commit leaves files without a mark; they do not count and are replaced.
+    spark.createDataFrame([("s", "en", "v2", 9, 9)], rollup.TOTALS).write.parquet(f"{root}/b5")
+    files, mark = store._files(f"{root}/b5/_SUCCESS")
+    files.delete(mark, False)
+    assert totals()["s", "en", "v2"] == (2, 13) and store.apply("b5", delta(("s", "en", "v2", 1, 1))) and totals()["s", "en", "v2"] == (3, 14)
+
+
+def test_maintained_totals(docs):
+    t = library("byte_bpe_50k.json")
+    rows = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).collect()
+    first = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        first.setdefault(r.text or "", r.doc_id)
+    want = defaultdict(lambda: [0, 0])
+    for r in rows:
+        if first[r.text or ""] == r.doc_id:
+            want[r.source, r.lang][0] += 1
+            want[r.source, r.lang][1] += len(t.encode(r.text or "", add_special_tokens=False).ids)
+    names = {"word": vocabulary("word_bpe_49k.json"), "byte": vocabulary("byte_bpe_50k.json")}
+    got = rollup.maintained_totals(clashing(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])), names).collect()
+    assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in got if r.tokenizer == "byte"} == dict(want)
+    assert all(r.n_docs == r.n_tokens == 0 for r in got if r.tokenizer == "word")
+
+
+def test_pipeline(spark, tmp_path, docs):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == rows.columns
+        out.write.parquet(str(tmp_path / f"s{k}"))
+        now = spark.read.parquet(str(tmp_path / f"s{k}"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
+    assert sum(r.doc_tokens for r in got.filter("start = 0").collect()) == sum(r.doc_tokens for r in now.filter("start = 0").collect())
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in now.collect()} and key
+    # Brute force over the stages: quality, then one of each group.
+    good = [r for r in rows.collect() if quality.measure([(r.text or "").encode()])["kept"][0]]
+    left = {r.doc_id for r in good}
+    assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "s0")).collect()} == left
+    one = {r.doc_id: brute_fingerprint(r.text) for r in good}
+    for r in spark.read.parquet(str(tmp_path / "s1")).collect():
+        assert not any(d < r.doc_id and f == one[r.doc_id] for d, f in one.items())
+    assert DOCS.startswith("doc_id")

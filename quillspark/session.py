@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +22,12 @@ def local_session(cores: int | str = 8, app: str = "quillspark", **conf: str) ->
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where its folder is visible to them, whatever folder the driver was started in."""
+    here, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join(p for p in [here, *paths] if p)
+    return spark

@@ -11,7 +11,7 @@ from quillspark.llm.common import table
 from quillspark.llm.extract import extract
 from quillspark.llm.packing import pack
 from quillspark.llm.pii import pii_report
-from quillspark.llm.quality import repetition
+from quillspark.llm.quality import MAX_COVERED, MAX_DUP_LINE_CHARS, MAX_DUP_LINES, MAX_PUNCTUATION, MAX_REPEAT_PERCENT, MAX_SYMBOLS, MIN_LETTER_WORDS, MIN_WORDS, repetition
 from quillspark.llm.rollup import maintained_totals
 from quillspark.llm.simhash import simhash_groups
 from quillspark.llm.suffix import removal_report
@@ -81,5 +81,58 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
 FROM d LEFT JOIN r USING (payload_digest, payload_bytes)
 """
 
+_COVERED = "SELECT DISTINCT doc_id, {n} AS n, i + k AS i FROM (SELECT doc_id, i, gram, count(*) OVER (PARTITION BY doc_id, gram) AS again FROM (SELECT doc_id, i, {gram} AS gram FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE gram IS NOT NULL), (SELECT unnest(range({n})) AS k) WHERE again > 1"
+
+
+def _gram(n: int) -> str:
+    return " || ' ' || ".join(["word", *[f"lead(word, {k}) OVER o" for k in range(1, n)]])
+
+
+REPETITION_SQL = (
+    r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
+c AS ("""
+    + " UNION ALL ".join(_COVERED.format(n=n, gram=_gram(n)) for n in (3, *MAX_COVERED))
+    + r"""),
+cc AS (SELECT doc_id, count(*) FILTER (n = 3) AS n_repeat_words, """
+    + ", ".join(f"sum(length(word)) FILTER (n = {n}) AS chars_{n}" for n in MAX_COVERED)
+    + r""" FROM c JOIN w USING (doc_id, i) GROUP BY doc_id),
+l AS (SELECT doc_id, line, j, row_number() OVER (PARTITION BY doc_id, line ORDER BY j) > 1 AS later, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+ll AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (later) AS n_dup_lines, sum(chars) FILTER (later) AS dup_chars FROM l GROUP BY doc_id),
+ww AS (SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars, count(*) FILTER (regexp_matches(word, '[A-Za-z\x{80}-\x{10FFFF}]')) AS lettered FROM w GROUP BY doc_id),
+s AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+    """
+    + ", ".join(f"coalesce(chars_{n}, 0) / greatest(coalesce(word_chars, 0), 1) AS covered_{n}" for n in MAX_COVERED)
+    + r""", coalesce(dup_chars, 0) / greatest(coalesce(word_chars, 0), 1) AS dup_line_chars, n_symbols / greatest(coalesce(n_words, 0), 1) AS symbol_ratio,
+    length(regexp_replace(text, '[^!-/:-@\[-`{-~]', '', 'g')) / greatest(coalesce(word_chars, 0), 1) AS punctuation_ratio, coalesce(lettered, 0) / greatest(coalesce(n_words, 0), 1) AS letter_words
+    FROM d LEFT JOIN ww USING (doc_id) LEFT JOIN ll USING (doc_id) LEFT JOIN cc USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    """
+    + f"NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words OR n_dup_lines > {MAX_DUP_LINES} * n_lines OR dup_line_chars > {MAX_DUP_LINE_CHARS} OR symbol_ratio > {MAX_SYMBOLS} OR punctuation_ratio > {MAX_PUNCTUATION} OR letter_words < {MIN_LETTER_WORDS} OR "
+    + " OR ".join(f"covered_{n} > {most}" for n, most in MAX_COVERED.items())
+    + ") AS kept, "
+    + ", ".join(f"covered_{n}" for n in MAX_COVERED)
+    + ", dup_line_chars, symbol_ratio, punctuation_ratio, letter_words FROM s"
+)
+
+REMOVAL_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS e, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100),
+f AS (SELECT doc_id, i, md5(array_slice(e, i + 1, i + 100)) AS f FROM p JOIN d USING (doc_id)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY f ORDER BY doc_id, i) > 1 AS again FROM f),
+a AS (SELECT doc_id, i AS lo, i + 100 AS hi FROM r WHERE again),
+m AS (SELECT *, max(hi) OVER (PARTITION BY doc_id ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a),
+g AS (SELECT doc_id, lo, hi, sum(CASE WHEN before IS NULL OR lo > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY lo) AS run FROM m),
+runs AS (SELECT doc_id, run, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY ALL),
+k AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM runs UNION ALL SELECT doc_id, max(hi), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(hex(array_slice(e, a + 1, coalesce(b, n))), '' ORDER BY a) AS h FROM k JOIN d USING (doc_id) WHERE coalesce(b, n) > a GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN n_spans IS NULL THEN d.e ELSE unhex(coalesce(kept.h, '')) END) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_boundary_chain": WARC_SQL}
+    return {"op2_warc_boundary_chain": WARC_SQL, "op4_suffix_grouping": REMOVAL_SQL, "op7_repetition_rules": REPETITION_SQL}

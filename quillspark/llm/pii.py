@@ -5,8 +5,9 @@ number shape) and what fails is left as it is. A valid value's canonical form is
 its own format, so that check sums, calendars and octets hold again and equal values get equal pseudonyms in all documents,
 whatever their separators. Separators, case, lengths and country or dialling prefixes stay.
 
-* characters (cards, phones, social security numbers, bank accounts, mail names, secret hexadecimal tokens): each half's
-  digits and letters move, modulo their alphabet's size, by a hash of the key, the round, their place and the other half;
+* characters (cards, phones, social security numbers, bank accounts, mail names, secret hexadecimal tokens of 16 or
+  more, access key ids after their four-letter prefix): each half's digits and letters move, modulo their alphabet's
+  size, by a hash of the key, the round, their place and the other half;
 * IPv4: two 16-bit halves; dates: days of a 400-year cycle, as a pair modulo 189 and 773 (189 * 773 = 146,097 days).
 
 It is one narrow stage: no shuffle, no join, nothing that grows with the data but the rows themselves, so skew and copies
@@ -29,13 +30,13 @@ KEY = "example key: pass your own"
 # Patterns by kind, tried in this order.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![\p{L}\p{N}])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z]{4})?(?: [0-9]{4}){2,7}(?: [0-9]{1,3})?)(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?=[0-9]{0,128}[a-f])[0-9a-f]{16,128}+|(?=[0-9A-F]{4}[0-9]{0,128}[A-F])[0-9A-F]{16,128}+|A[KS]IA[A-Z0-9]{16})(?![\p{L}\p{N}])",
     "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![\p{L}\p{N}/-]|\.[0-9])",
     "ip": r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}]|\.[0-9])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}]|-[0-9])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "card": r"(?<![\p{L}\p{N}])[0-9](?:[ -]?[0-9]){12,18}+(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![\p{L}\p{N}])",
 }
 KINDS = list(PATTERNS)
 ANY = "|".join(PATTERNS.values())
@@ -137,10 +138,12 @@ def _kind(m: Column) -> Column:
     digits = _plain(m)
     account = F.concat(F.substr(digits, F.lit(5), F.length(digits)), F.substr(digits, F.lit(1), F.lit(4)))
     day = F.datediff(_date(m), F.lit(CYCLE_START).cast("date"))
+    is_account = m.rlike("^[A-Z]{2}[0-9]{2}") & F.length(digits).between(15, 34) & (_mod97(account) == 1)
     rules = [
         ("email", m.contains("@"), F.lit(True)),
-        ("secret", m.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"), m.rlike("[0-9]") & m.rlike("[A-Fa-f]")),
-        ("iban", m.rlike("^[A-Z]{2}[0-9]{2}"), F.length(digits).between(15, 34) & (_mod97(account) == 1)),
+        ("iban", is_account, F.lit(True)),
+        ("secret", m.rlike("^(?:(?=[0-9]*[a-f])[0-9a-f]{16,}|(?=[0-9A-F]{4}[0-9]*[A-F])[0-9A-F]{16,}|A[KS]IA[A-Z0-9]{16})$"), m.rlike("^A[KS]IA") | m.rlike("[0-9]") & m.rlike("[A-Fa-f]")),
+        ("iban", m.rlike("^[A-Z]{2}[0-9]{2}"), F.lit(False)),
         ("date", m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})$"), day.between(0, CYCLE_DAYS - 1)),
         ("ip", m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), F.greatest(*[_octet(m, i) for i in range(1, 5)]) <= 255),
         ("ssn", m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ~m.rlike("^(?:000|666|9)|-00-|-0000$")),
@@ -200,6 +203,7 @@ def _pseudonym(kind: Column, m: Column, key: str) -> Column:
         .when(kind == "email", email())
         .when(kind == "phone", phone())
         .when(kind == "ip", ip())
+        .when((kind == "secret") & m.rlike("^A[KS]IA"), F.concat(F.substr(m, F.lit(1), F.lit(4)), _feistel(F.substr(m, F.lit(5), n), key, "access key")))
         .when(kind == "secret", _feistel(m, key, "secret", True))
         .when(kind == "ssn", _refill(m, F.lit(0), _feistel(digits, key, "ssn")))
         .when(kind == "date", date())

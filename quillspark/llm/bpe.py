@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import CACHES, map_slices
 
-WORDS, TOKENS = 400_000, 800_000
+WORDS, TOKENS = 800_000, 400_000
 #: Pretokens of up to this many symbols share trees in numpy.
 TOGETHER, ROWS = 128, 8192
 _SPACE = r"\p{White_Space}"
@@ -117,7 +117,7 @@ class Merges:
         ids = np.where(at[None, :] == n[:, None] - 1, self.last[codes], self.first[codes])
         ids[~live] = -1
         beyond = self.none * size + size
-        tree = np.full((rows, 2 * size), beyond, np.int64)
+        tree = np.full((rows, 2 * size), beyond, np.int32)  # ranks * TOGETHER stay far below 2**31
         rank = np.where(live[:, 1:], self.rank(ids[:, :-1], ids[:, 1:]), self.none)
         tree[:, size : 2 * size - 1] = np.where(rank < self.none, rank * size + at[None, :-1], beyond)
         for x in range(size - 1, 0, -1):
@@ -228,26 +228,42 @@ class Codec:
                 parts += [p for p in self._find(self._normal(part)) if p != "\n"] if self.lower else self._find(part)
         return parts
 
+    def _single(self, stretch: str) -> bool:
+        """Whether a stretch is one pretoken in normal form: letters, after the blank if blanks are kept."""
+        if self.lower:
+            return stretch.isalpha() and stretch.islower() and (stretch.isascii() or _latin1(stretch))
+        return stretch[:1] == " " and stretch[1:].isalpha()
+
     def _learn(self, stretches: set[str]) -> None:
         """Put the ids of new stretches into the cache of words."""
-        plain, special = list(stretches), []
+        known, single = self.tokens, self._single
+        alone = [w for w in stretches if single(w)]
+        fresh = [w for w in alone if w not in known]
+        plain, special = list(stretches.difference(alone)), []
+        self.words.update(zip(fresh, self.merges.encode([w.encode() for w in fresh])))
+        if len(fresh) < len(alone):
+            self.words.update((w, known[w]) for w in alone if w in known)
         joined = self._mark.join(plain) + self._mark
         if any(s in joined for s in self.special):
             special = [w for w in plain if any(s in w for s in self.special)]
-            plain = list(stretches.difference(special))
+            plain = list(stretches.difference(alone, special))
             joined = self._mark.join(plain) + self._mark
         flat = self._find(self._normal(joined)) if self.lower else self._find_marked(joined)
         others = [self._parts(w) for w in special]
         self._merge(set(flat).union(*([p for p in x if type(p) is str] for x in others)) - {self._mark})
         between = b"\xff\xff\xff\xff"  # no id: ids are below 2**24, so these bytes cannot stand inside any
         self.tokens[self._mark] = between
-        self.words.update(zip(plain, b"".join(map(self.tokens.__getitem__, flat)).split(between)))
+        if plain:
+            self.words.update(zip(plain, b"".join(map(self.tokens.__getitem__, flat)).split(between)))
         del self.tokens[self._mark]
         self.words.update((w, self._ids(x)) for w, x in zip(special, others))
 
     def _merge(self, pretokens: set[str]) -> None:
-        known = self.tokens
+        known, words = self.tokens, self.words
         new = [p for p in pretokens if p not in known]
+        shared = [p for p in new if p in words and self._single(p)]
+        known.update((p, words[p]) for p in shared)
+        new = [p for p in new if p not in known] if shared else new
         self.tokens.update(zip(new, self.merges.encode([p.encode() for p in new])))
 
     def _ids(self, parts: list) -> bytes:
@@ -256,9 +272,8 @@ class Codec:
     def _stretches(self, text: str) -> list[str]:
         """Cut a text where no pretoken can cross: at single blanks between other characters."""
         if self.lower:
-            if text.isascii() or _latin1(text):  # NFC changes nothing here; one case, fewer different stretches
-                if not any(s in text for s in self.special):
-                    text = text.lower()
+            if (text.isascii() or _latin1(text)) and not any(s in text for s in self.special):
+                text = text.lower()  # NFC changes nothing here; one case, fewer different stretches
             return text.replace("\n", " ").split(" ")
         if not self._odd(text) and not any(s in text for s in self.special):
             return text.replace(" ", "\0 ").split("\0")

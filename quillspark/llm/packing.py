@@ -29,14 +29,17 @@ LENGTH, END, DIMENSIONS, BITS, BUCKETS = 4096, 2, 4, 15, 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
 
 
-def curve_keys(ids: list[np.ndarray], dimensions: int = DIMENSIONS, bits: int = BITS, buckets: int = BUCKETS) -> np.ndarray:
-    """Hilbert keys of documents given by their ids: counts hashed to `buckets`, scaled to unit length, projected."""
-    out = np.zeros((len(ids), dimensions))
+def curve_keys(ids: np.ndarray, sizes: np.ndarray, dimensions: int = DIMENSIONS, bits: int = BITS, buckets: int = BUCKETS) -> np.ndarray:
+    """Hilbert keys of documents whose ids lie end to end: counts hashed to `buckets`, roots taken, scaled to unit length, projected."""
     table = _projection(dimensions, buckets)
-    for i, x in enumerate(ids):
-        counts = np.bincount(((x.astype(np.uint64) * np.uint64(0x9E3779B1)) >> np.uint64(16)).astype(np.int64) & (buckets - 1), minlength=buckets)
-        weight = np.sqrt(counts)
-        out[i] = weight @ table / max(1e-12, np.sqrt(len(x)))
+    hashed = ((ids.astype(np.uint64) * np.uint64(0x9E3779B1)) >> np.uint64(16)).astype(np.int64) & (buckets - 1)
+    ends = np.cumsum(sizes)
+    out = np.zeros((len(sizes), dimensions))
+    for s in range(0, len(sizes), 1024):  # a bounded table of counts
+        n = sizes[s : s + 1024]
+        part = hashed[ends[s] - sizes[s] : ends[s + len(n) - 1]]
+        counts = np.bincount(np.repeat(np.arange(len(n)) * buckets, n) + part, minlength=len(n) * buckets).reshape(len(n), buckets)
+        out[s : s + len(n)] = np.sqrt(counts) @ table / np.sqrt(np.maximum(n, 1))[:, None]
     return hilbert_keys(quantised(out, bits), bits)
 
 
@@ -49,10 +52,13 @@ def _projection(dimensions: int, buckets: int) -> np.ndarray:
 
 def _tokenised(path: str, end: int):
     def rows(batch):
-        own = codec(path)
-        ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)) for x in own.encode(texts_of(batch.column("text")))]
-        wide = "<u4" if len(own.table) > 65536 else "<u2"
-        columns = [batch.column("doc_id"), pa.array(curve_keys(ids)), batch.column("tie"), pa.array([x.astype(wide).tobytes() for x in ids], pa.binary())]
+        own, last = codec(path), end.to_bytes(4, "little")
+        parts = own.encode(texts_of(batch.column("text")))
+        sizes = np.array([len(x) // 4 + 1 for x in parts])
+        ids = np.frombuffer(last.join([*parts, b""]), "<u4")
+        wide = np.dtype("<u4" if len(own.table) > 65536 else "<u2")
+        packed, ends = ids.astype(wide).tobytes(), (np.cumsum(sizes) * wide.itemsize).tolist()
+        columns = [batch.column("doc_id"), pa.array(curve_keys(ids, sizes)), batch.column("tie"), pa.array([packed[a:b] for a, b in zip([0, *ends], ends)], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "curve_key", "tie", "ids"])
 
     return rows

@@ -294,9 +294,16 @@ def vector_arithmetic(spark, d):
 
 
 def _word_vectors(spark, d, voc: DataFrame) -> DataFrame:
-    """The driver's vectors given to the most frequent terms, in order: a stand-in for trained word vectors."""
+    """The driver's vectors given to the terms by frequency, in order, as far as there are vectors: a stand-in for trained word vectors.
+
+    A term's place is the number of terms with a larger total and its place among those with the same one, so no task has
+    the whole vocabulary; totals whose first place is beyond the last vector are left out before the terms are ordered.
+    """
     e = t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    ranked = voc.orderBy(F.desc("total"), "term").limit(500).withColumn("vec_id", F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1)
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = frequency.counts(voc, "total").select("total", before.alias("before"))
+    starts = starts.crossJoin(F.broadcast(e.agg(F.max("vec_id").alias("last")))).filter("before <= last").select("total", "before")  # one row
+    ranked = voc.join(starts, "total").withColumn("vec_id", F.col("before") + F.row_number().over(Window.partitionBy("total").orderBy("term")) - 1)
     return ranked.join(e, "vec_id").select(F.col("term").alias("word"), "vector")
 
 

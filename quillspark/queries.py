@@ -327,9 +327,14 @@ def weighted_doc_vectors(spark, d):
     "o AS (SELECT unnest([-5, -4, -3, -2, -1, 1, 2, 3, 4, 5]) AS o) SELECT a.term AS center, b.term AS context, round(sum(1.0 / abs(o)), 4) AS weight FROM k a, o JOIN k b ON b.doc_id = a.doc_id AND b.p = a.p + o GROUP BY ALL ORDER BY weight DESC, center, context LIMIT 1000"
 )
 def cooccurrence_weights(spark, d):
-    """The heaviest pairs."""
-    pairs = cooccurrence.cooccurrence(_tokens(spark, d)).withColumn("weight", F.round("weight", 4))
-    return frequency.top(pairs, "weight", 1000, "center", "context")
+    """The heaviest pairs of cooccurrence_table, as its SQL says."""
+    return frequency.top(cooccurrence_table(spark, d), "weight", 1000, "center", "context")
+
+
+@query()
+def cooccurrence_table(spark, d):
+    """All pairs."""
+    return cooccurrence.cooccurrence(_tokens(spark, d)).withColumn("weight", F.round("weight", 4))
 
 
 @query(f"WITH {DIMS} SELECT label, count(DISTINCT vec_id) AS n, round(avg(x) FILTER (i = 1), 6) AS pca_1, round(avg(x) FILTER (i = 2), 6) AS pca_2 FROM e GROUP BY label")

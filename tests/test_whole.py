@@ -39,3 +39,20 @@ def test_word_vectors_have_no_cap(spark, tmp_path):
     assert set(got) == set(want) and {5, 6} <= set(got) and all(abs(got[k] - want[k]) < 1e-3 for k in want)
     supported = {r.word: r.supported for r in registry.queries()["fasttext_oov"](spark, d).collect()}
     assert supported["qqqq"] and not supported["ation"]
+
+
+def test_cooccurrence_table_has_every_pair(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(word(i) for i in rng.zipf(1.3, 120) % 400) for _ in range(40)] + ["", "alone"]
+    d = written(spark, tmp_path, documents=([(k, x, "en", "s") for k, x in enumerate(texts)], DOCUMENTS))
+    n = Counter(w for x in texts for w in x.split())
+    want = defaultdict(float)
+    for x in texts:
+        kept = [w for w in x.split() if n[w] >= 3]
+        for i, a in enumerate(kept):
+            for j in range(max(0, i - 5), min(len(kept), i + 6)):
+                if j != i:
+                    want[a, kept[j]] += 1 / abs(i - j)
+    rows = registry.queries()["cooccurrence_table"](spark, d).collect()
+    got = {(r.center, r.context): r.weight for r in rows}
+    assert len(rows) == len(got) == len(want) > 1000 and all(abs(got[k] - want[k]) < 1e-4 for k in want)

@@ -49,10 +49,17 @@ def train_glove(pairs: DataFrame, size: int = 100, epochs: int = 35, rate: float
         raise ValueError("there are no co-occurrences")
 
     def train(frames):
-        rows = pd.concat(list(frames)).sort_values(["center", "context"])
-        names = np.unique(np.concatenate((rows["center"], rows["context"])).astype(str))
-        i, j = np.searchsorted(names, rows["center"].astype(str)), np.searchsorted(names, rows["context"].astype(str))
-        x = rows["weight"].to_numpy(float)
+        ids, parts = {}, []  # numbers, not words, of all pairs are in memory
+        for f in frames:
+            places = [np.fromiter((ids.setdefault(w, len(ids)) for w in f[c]), np.int32, len(f)) for c in ("center", "context")]
+            parts.append((*places, f["weight"].to_numpy(float)))
+        names = sorted(ids)
+        place = np.empty(len(names), np.int32)
+        place[[ids[w] for w in names]] = np.arange(len(names), dtype=np.int32)
+        i, j, x = (np.concatenate(c) for c in zip(*parts))
+        i, j = place[i], place[j]
+        order = np.lexsort((j, i))
+        i, j, x = i[order], j[order], x[order]
         goal, weight = np.log(x), np.minimum(1.0, (x / x_max) ** power)
         rng, n = np.random.default_rng(seed), len(names)
         main, other = ((rng.random((n, size + 1)) - 0.5) / size for _ in range(2))  # the last column is the bias
@@ -69,11 +76,11 @@ def train_glove(pairs: DataFrame, size: int = 100, epochs: int = 35, rate: float
                 pull = (weight[part] * gap)[:, None]
                 du, dv = np.hstack((pull * v[:, :-1], pull)), np.hstack((pull * u[:, :-1], pull))
                 for table, seen, at, d in ((main, seen_main, a, du), (other, seen_other, b, dv)):
-                    step = np.zeros_like(table)
-                    np.add.at(step, at, d)
-                    hit = np.unique(at)
-                    table[hit] -= rate * step[hit] / np.sqrt(seen[hit])
-                    seen[hit] += step[hit] ** 2
+                    hit, of = np.unique(at, return_inverse=True)
+                    step = np.zeros((len(hit), size + 1))
+                    np.add.at(step, of, d)
+                    table[hit] -= rate * step / np.sqrt(seen[hit])
+                    seen[hit] += step**2
             losses.append(total / len(x))
         vectors = (main + other)[:, :-1]
         yield pd.DataFrame({"word": [*names, *[None] * epochs], "vector": [*vectors.astype(np.float32).tolist(), *[None] * epochs], "epoch": [*[None] * n, *range(1, epochs + 1)], "loss": [*[None] * n, *losses]}).astype({"epoch": "Int32"})

@@ -570,15 +570,16 @@ def _tokens(spark, d):
 def word2vec_neighbours(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    v = embeddings.word2vec(_tokens(spark, d), size=32, epochs=1, partitions=8).getVectors().select("word", vector_to_array("vector").alias("vector")).persist()
+    v = embeddings.word2vec(_tokens(spark, d), partitions=8).getVectors().select("word", vector_to_array("vector").alias("vector")).persist()
     q = v.filter("word = 'the'").first()
-    return embeddings.most_similar(v, F.array(*[F.lit(x) for x in (q["vector"] if q else [0.0] * 32)]), 8, ("the",))
+    return embeddings.most_similar(v, F.array(*[F.lit(x) for x in (q["vector"] if q else [0.0] * 100)]), 8, ("the",))
 
 
 @query()
 def glove_losses(spark, d):
-    pairs = cooccurrence.cooccurrence(_tokens(spark, d), least=50)
-    return cooccurrence.train_glove(pairs, size=16, epochs=5)[1]
+    """A row (word, vector) for each term and a row (epoch, loss) for each epoch."""
+    words, losses = cooccurrence.train_glove(cooccurrence.cooccurrence(_tokens(spark, d)))
+    return words.unionByName(losses, allowMissingColumns=True)
 
 
 @query()

@@ -6,6 +6,7 @@ from math import log
 import numpy as np
 
 from quillspark import registry
+from quillspark.operators import embeddings
 
 
 def written(spark, folder, **tables):
@@ -56,3 +57,18 @@ def test_cooccurrence_table_has_every_pair(spark, tmp_path):
     rows = registry.queries()["cooccurrence_table"](spark, d).collect()
     got = {(r.center, r.context): r.weight for r in rows}
     assert len(rows) == len(got) == len(want) > 1000 and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_trained_vectors_are_of_the_whole_job(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = ["the " + " ".join(word(i) for i in rng.integers(0, 60, 12)) for _ in range(30)]
+    d = written(spark, tmp_path, documents=([(k, x, "en", "s") for k, x in enumerate(texts)], DOCUMENTS))
+    n = Counter(w for x in texts for w in x.split())
+    rows = registry.queries()["glove_losses"](spark, d).collect()
+    vectors, losses = {r.word: r.vector for r in rows if r.word is not None}, {r.epoch: r.loss for r in rows if r.epoch is not None}
+    assert set(vectors) == {w for w in n if n[w] >= 3} and {len(v) for v in vectors.values()} == {100}
+    assert set(losses) == set(range(1, 36)) and losses[35] < losses[1]
+    models, fit = [], embeddings.word2vec
+    monkeypatch.setattr(embeddings, "word2vec", lambda *a, **b: models.append(fit(*a, **b)) or models[-1])
+    assert registry.queries()["word2vec_neighbours"](spark, d).count() == 8
+    assert models[0].getMaxIter() == 80 and models[0].getVectorSize() == 100

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from quillspark.llm.common import cut, fresh, map_slices, raw
 from quillspark.llm.components import components
@@ -48,14 +49,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), row (the column of longs of that name, if one is given)."""
 
     def rows(batch):
         fps = np.array([fingerprint(t) for t in raw(batch.column("text"))], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        more = {} if row is None else {"row": batch.column("row")}
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fps.view(np.int64))} | more)
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", "doc_id long, fp long", rows)
+    more = [] if row is None else [F.col(row).alias("row")]
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more), "text", "doc_id long, fp long" + ", row long" * len(more), rows)
 
 
 class BKTree:
@@ -183,7 +186,18 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id (of rows that share it, each stays; rows without a doc_id stay)."""
-    name = fresh("_kept", docs)
-    keep = simhash_groups(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(keep, docs["doc_id"] == keep[name], "left_semi").union(docs.filter(F.col("doc_id").isNull()))
+    """One row of each group stays: that with the smallest doc_id, rows without one last; of rows that share it, that with the smallest hash.
+
+    The choice is a minimum, combined before each shuffle. Rows that are the same in all columns are told apart by a row number.
+    """
+    id_, row, n = (fresh(x, docs) for x in ("_id", "_row", "_n"))
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    marked = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn(row, F.xxhash64(*hashed))
+    prints = cut(fingerprints(marked, row))
+    distinct = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("idless"), "doc_id", "row")).alias("best")))
+    joined = components(fingerprint_links(distinct.select("fp"), radius))
+    of = distinct.join(joined, distinct.fp == joined.node, "left").select("best", F.coalesce("component", "fp").alias("component"))
+    best = of.groupBy("component").agg(F.min("best").alias("best"))
+    keep = best.select(F.coalesce("best.doc_id", F.lit(0)).alias(id_), F.col("best.row").alias(row))
+    kept = marked.join(keep, [id_, row], "left_semi")
+    return kept.withColumn(n, F.row_number().over(Window.partitionBy(id_, row).orderBy(row))).filter(F.col(n) == 1).drop(id_, row, n)

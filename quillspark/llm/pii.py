@@ -8,7 +8,9 @@ whatever their separators. Separators, case, lengths and country or dialling pre
 * characters (cards, phones, social security numbers, bank accounts, mail names, secret hexadecimal tokens of 16 or
   more, access key ids after their four-letter prefix): each half's digits and letters move, modulo their alphabet's
   size, by a hash of the key, the round, their place and the other half;
-* IPv4: two 16-bit halves; dates: days of a 400-year cycle, as a pair modulo 189 and 773 (189 * 773 = 146,097 days).
+* IPv4: two 16-bit halves; dates: days of a 400-year cycle (1700 to 2099, and so on from 0100 to 9699), as a pair modulo
+  189 and 773 (189 * 773 = 146,097 days); the years before 0100 and from 9700 on are two shorter cycles. A date with slashes
+  is month first, or day first where that is no date, and keeps its order.
 
 It is one narrow stage: no shuffle, no join, nothing that grows with the data but the rows themselves, so skew and copies
 do not matter. Documents without a digit are passed on after one simple scan.
@@ -31,7 +33,7 @@ KEY = "example key: pass your own"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z]{4})?(?: [0-9]{4}){2,7}(?: [0-9]{1,3})?)(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:(?=[0-9]{0,128}[a-f])[0-9a-f]{16,128}+|(?=[0-9A-F]{4}[0-9]{0,128}[A-F])[0-9A-F]{16,128}+|A[KS]IA[A-Z0-9]{16})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?=[0-9]*+[a-f])[0-9a-f]{16,}+|(?=[0-9A-F]{4}[0-9]*+[A-F])[0-9A-F]{16,}+|A[KS]IA[A-Z0-9]{16})(?![\p{L}\p{N}])",
     "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![\p{L}\p{N}/-]|\.[0-9])",
     "ip": r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}]|\.[0-9])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}]|-[0-9])",
@@ -40,8 +42,9 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 ANY = "|".join(PATTERNS.values())
-#: First day and length of the cycle of dates.
+#: First day and length of the cycle of dates; first day and pair of the shorter ones at both ends.
 CYCLE_START, CYCLE_DAYS, CYCLE = "1700-01-01", 146097, (189, 773)
+EARLY, LATE = ("0001-01-01", (51, 709)), ("9700-01-01", (276, 397))
 
 
 def _chars(s: Column) -> Column:
@@ -56,7 +59,7 @@ def _hash(key: str, kind: str, round_: Column, *rest: Column) -> Column:
 def _moved(half: Column, other: Column, key: str, kind: str, round_: Column, hexadecimal: bool) -> Column:
     """Each digit and letter of `half` moved within its alphabet."""
 
-    def one(c: Column, i: Column) -> Column:
+    def one(c: Column, i: Column, other: Column) -> Column:
         h = _hash(key, kind, round_, i, other)
         sets = ["0123456789abcdef", "0123456789ABCDEF"] if hexadecimal else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
         out = None
@@ -66,7 +69,10 @@ def _moved(half: Column, other: Column, key: str, kind: str, round_: Column, hex
             out = F.when(at > 0, new) if out is None else out.when(at > 0, new)
         return out.otherwise(c)
 
-    return F.array_join(F.transform(_chars(half), one), "")
+    if hexadecimal:  # of any length: a long half is hashed once, not for each character
+        short = F.when(F.length(other) > 64, F.sha2(other, 256)).otherwise(other)
+        return F.element_at(F.transform(F.array(short), lambda o: F.array_join(F.transform(_chars(half), lambda c, i: one(c, i, o)), "")), 1)
+    return F.array_join(F.transform(_chars(half), lambda c, i: one(c, i, other)), "")
 
 
 def _feistel(text: Column, key: str, kind: str, hexadecimal: bool = False) -> Column:
@@ -84,14 +90,14 @@ def _feistel(text: Column, key: str, kind: str, hexadecimal: bool = False) -> Co
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["a"], s["b"]))
 
 
-def _feistel_pair(a: Column, b: Column, sizes: tuple[int, int], key: str, kind: str, finish) -> Column:
+def _feistel_pair(a: Column, b: Column, sizes: tuple[Column, Column], key: str, kind: str, finish) -> Column:
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
     def turn(s: Column, r: Column) -> Column:
         odd = F.pmod(r, F.lit(2)) == 1
         return F.struct(
-            F.when(odd, F.pmod(s["a"] + _hash(key, kind, r, s["b"]), F.lit(sizes[0]))).otherwise(s["a"]).alias("a"),
-            F.when(odd, s["b"]).otherwise(F.pmod(s["b"] + _hash(key, kind, r, s["a"]), F.lit(sizes[1]))).alias("b"),
+            F.when(odd, F.pmod(s["a"] + _hash(key, kind, r, s["b"]), sizes[0])).otherwise(s["a"]).alias("a"),
+            F.when(odd, s["b"]).otherwise(F.pmod(s["b"] + _hash(key, kind, r, s["a"]), sizes[1])).alias("b"),
         )
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, finish)
@@ -126,7 +132,7 @@ def _mod97(text: Column) -> Column:
 def _date(m: Column) -> Column:
     parts = lambda pattern, fmt: F.when(m.rlike(pattern), F.try_to_date(m, fmt))
     iso, dots, slashes = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
-    return F.coalesce(parts(iso, "yyyy-MM-dd"), parts(dots, "d.M.yyyy"), parts(slashes, "M/d/yyyy"))
+    return F.coalesce(parts(iso, "yyyy-MM-dd"), parts(dots, "d.M.yyyy"), parts(slashes, "M/d/yyyy"), parts(slashes, "d/M/yyyy"))
 
 
 def _octet(m: Column, i: int) -> Column:
@@ -137,14 +143,13 @@ def _kind(m: Column) -> Column:
     """The kind whose pattern took the candidate, if it is valid, else null."""
     digits = _plain(m)
     account = F.concat(F.substr(digits, F.lit(5), F.length(digits)), F.substr(digits, F.lit(1), F.lit(4)))
-    day = F.datediff(_date(m), F.lit(CYCLE_START).cast("date"))
     is_account = m.rlike("^[A-Z]{2}[0-9]{2}") & F.length(digits).between(15, 34) & (_mod97(account) == 1)
     rules = [
         ("email", m.contains("@"), F.lit(True)),
         ("iban", is_account, F.lit(True)),
         ("secret", m.rlike("^(?:(?=[0-9]*[a-f])[0-9a-f]{16,}|(?=[0-9A-F]{4}[0-9]*[A-F])[0-9A-F]{16,}|A[KS]IA[A-Z0-9]{16})$"), m.rlike("^A[KS]IA") | m.rlike("[0-9]") & m.rlike("[A-Fa-f]")),
         ("iban", m.rlike("^[A-Z]{2}[0-9]{2}"), F.lit(False)),
-        ("date", m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})$"), day.between(0, CYCLE_DAYS - 1)),
+        ("date", m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})$"), _date(m).between(F.lit(EARLY[0]).cast("date"), F.lit("9999-12-31").cast("date"))),
         ("ip", m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), F.greatest(*[_octet(m, i) for i in range(1, 5)]) <= 255),
         ("ssn", m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ~m.rlike("^(?:000|666|9)|-00-|-0000$")),
         ("card", m.rlike("^[0-9](?:[ -]?[0-9]){12,18}$"), (F.length(digits).between(13, 19)) & (F.pmod(_luhn(digits, 1), F.lit(10)) == 0)),
@@ -183,20 +188,29 @@ def _pseudonym(kind: Column, m: Column, key: str) -> Column:
     def ip() -> Column:
         octets = lambda v: [F.floor(v / 256).cast("int"), F.pmod(v, F.lit(256)).cast("int")]
         done = lambda s: F.concat_ws(".", *[x.cast("string") for x in octets(s["a"]) + octets(s["b"])])
-        return _feistel_pair(_octet(m, 1) * 256 + _octet(m, 2), _octet(m, 3) * 256 + _octet(m, 4), (65536, 65536), key, "ip", done)
+        return _feistel_pair(_octet(m, 1) * 256 + _octet(m, 2), _octet(m, 3) * 256 + _octet(m, 4), (F.lit(65536), F.lit(65536)), key, "ip", done)
 
     def date() -> Column:
-        day = F.datediff(_date(m), F.lit(CYCLE_START).cast("date"))
-        moved = lambda s: F.date_add(F.lit(CYCLE_START).cast("date"), (s["a"] * CYCLE[1] + s["b"]).cast("int"))
+        found, first = _date(m), lambda d: F.lit(d).cast("date")
+        early, late = found < first("0100-01-01"), found >= first(LATE[0])
+        of = lambda x, y, z: F.when(early, x).when(late, y).otherwise(z)
+        cycles = F.floor(F.datediff(found, first(CYCLE_START)) / CYCLE_DAYS) * CYCLE_DAYS
+        start = of(first(EARLY[0]), first(LATE[0]), F.date_add(first(CYCLE_START), cycles.cast("int")))
+        sizes = tuple(of(*[F.lit(pair[k]) for pair in (EARLY[1], LATE[1], CYCLE)]) for k in (0, 1))
+        day = F.datediff(found, start)
+        moved = lambda s: F.date_add(start, (s["a"] * sizes[1] + s["b"]).cast("int"))
+        day_first = m.contains("/") & F.try_to_date(m, "M/d/yyyy").isNull()
         padded = m.rlike("^0|^[0-9]{2}[./]0|^[0-9]{2}[./][0-9]{2}[./]")
         form = lambda d: (
             F.when(m.contains("-"), F.date_format(d, "yyyy-MM-dd"))
             .when(m.contains(".") & padded, F.date_format(d, "dd.MM.yyyy"))
             .when(m.contains("."), F.date_format(d, "d.M.yyyy"))
+            .when(day_first & padded, F.date_format(d, "dd/MM/yyyy"))
+            .when(day_first, F.date_format(d, "d/M/yyyy"))
             .when(padded, F.date_format(d, "MM/dd/yyyy"))
             .otherwise(F.date_format(d, "M/d/yyyy"))
         )
-        return _feistel_pair(F.floor(day / CYCLE[1]), F.pmod(day, F.lit(CYCLE[1])), CYCLE, key, "date", lambda s: form(moved(s)))
+        return _feistel_pair(F.floor(day / sizes[1]), F.pmod(day, sizes[1]), sizes, key, "date", lambda s: form(moved(s)))
 
     return (
         F.when(kind == "card", card())

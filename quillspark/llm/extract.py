@@ -92,14 +92,16 @@ def features(nodes: list[Node], blocks: list[list], length: int) -> list[list[fl
     above: list[tuple] = [((0,) * GROUPS, 0, 0, 0)] * n  # lexicon groups, in article or main, in boilerplate elements, hidden
     rows = []
     page = max(1, text[0])
+    ranks = [0] * n
+    for x in nodes:
+        for k, child in enumerate(x.children):
+            ranks[child] = k
     for i in range(1, n):
         x = nodes[i]
         groups, hidden = _tokens(x.attrs) if x.attrs else ((0,) * GROUPS, 0)
         up = above[x.parent]
         above[i] = (tuple(map(max, groups, up[0])) if any(groups) else up[0], up[1] or x.tag in ("article", "main"), up[2] or x.tag in BOILER_TAGS, up[3] or hidden)
-        siblings = nodes[x.parent].children
-        m = len(siblings)
-        rank = siblings.index(i) if m < 50 else min(m - 1, int(m * x.at / max(1, length)))
+        m, rank = len(nodes[x.parent].children), ranks[i]
         parent = nodes[x.parent]
         kind = [0.0] * len(TAGS)
         k = TAG_OF.get(x.tag)

@@ -3,7 +3,7 @@
 import re
 from datetime import datetime
 
-from quillspark.llm import pii, simhash
+from quillspark.llm import extract, pii, simhash
 
 
 def test_dedup_leaves_one_row_of_each_group(spark):
@@ -16,6 +16,14 @@ def test_dedup_leaves_one_row_of_each_group(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in got.collect()) == sorted([(False, 7, long), (True, 0, other), (False, 0, alone), (False, 3, "")])
 
 
+def test_ranks_among_many_siblings():
+    page = "<div>" + "".join(f"<p>{'word ' * (1 + k % 9 * 20)}</p>" for k in range(120)) + "</div>"
+    nodes, blocks = extract.read(page)
+    rows = extract.features(nodes, blocks, len(page))
+    parent = max(nodes, key=lambda x: len(x.children))
+    assert len(parent.children) == 120 and [rows[i - 1][-11] for i in parent.children] == [k / 120 for k in range(120)]
+
+
 def test_dates_and_secrets_that_were_left(spark):
     dates = ["25/12/2023", "31/1/2020", "14/07/1789", "1/2/1492", "1066-10-14", "3.4.0042", "12/31/9999", "29.02.2400", "0001-01-01"]
     secrets = ["0123456789abcdef" * n for n in (9, 500)] + ["ABCDEF0123456789" * 9]

@@ -223,6 +223,18 @@ def section_split(spark, d):
     return sections.sections(spark.createDataFrame(_ACTS, "id string, text string"), RUSSIAN).select("id", "ordinal", "number", "section_title", "text")
 
 
+def _headed():
+    """A profile for the driver's documents: a line of one to three words with a full stop is a heading, its first word the number."""
+    from dataclasses import replace
+
+    return replace(GENERIC, heading=r"^(\p{Lu}\p{L}*)(?: (\p{L}+(?: \p{L}+)?))?\.$", markers=_MARKS)
+
+
+@query()
+def document_sections(spark, d):
+    return sections.sections(t(spark, d, "documents").select("doc_id", "text"), _headed())
+
+
 _PIECES = rf"s AS (SELECT doc_id, unnest({SENTENCES_SQL}) AS s, generate_subscripts({SENTENCES_SQL}, 1) AS i FROM documents), n AS (SELECT doc_id, i, len(list_filter(string_split_regex(s, '\s+'), lambda w: w <> '')) AS n FROM s)"
 
 
@@ -482,6 +494,11 @@ def markdown_candidates(spark, d):
     return report.markdown(spark.createDataFrame(_MD, schema).withColumn("warning", F.lit(None).cast("string")))
 
 
+@query()
+def document_reports(spark, d):
+    return report.markdown(report.analyse(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_file"), "text"), _headed()))
+
+
 @query("SELECT o_custkey AS id FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT doc_id FROM documents)")
 def missing_snapshots(spark, d):
     have = t(spark, d, "documents").select(F.col("doc_id").alias("id"))

@@ -72,3 +72,28 @@ def test_trained_vectors_are_of_the_whole_job(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(embeddings, "word2vec", lambda *a, **b: models.append(fit(*a, **b)) or models[-1])
     assert registry.queries()["word2vec_neighbours"](spark, d).count() == 8
     assert models[0].getMaxIter() == 80 and models[0].getVectorSize() == 100
+
+
+def test_sections_and_reports_of_all_documents(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    line = lambda: rng.choice(["Of.", "Erreth was.", "Nicht zwei Worte.", "four words with not here.", "a small not.", "Two. Sentences.", "Éa über ça."])
+    texts = ["\n".join(line() for _ in range(n)) for n in (1, 3, 8, 20, 300)] + ["plain text with no heading\nand more", ""]
+    d = written(spark, tmp_path, documents=([(k, x, "en", "s") for k, x in enumerate(texts)], DOCUMENTS))
+    want = set()
+    for k, x in enumerate(texts):
+        parts, lines = [], [y for y in x.split("\n") if y]
+        for y in lines:
+            words = y[:-1].split(" ")
+            if y[-1] == "." and len(words) <= 3 and all(w.isalpha() for w in words) and y[0].isupper():
+                parts.append((words[0], " ".join(words[1:]), []))
+            elif parts:
+                parts[-1][2].append(y)
+        if lines and not parts:
+            parts = [(None, None, lines)]
+        want |= {(k, i + 1, n, title, "\n".join(body)) for i, (n, title, body) in enumerate(parts)}
+    got = registry.queries()["document_sections"](spark, d).collect()
+    assert len(got) == len(want) > 100 and {(r.doc_id, r.ordinal, r.number, r.section_title, r.text) for r in got} == want
+    reports = {r.source_file: r.markdown for r in registry.queries()["document_reports"](spark, d).collect()}
+    assert set(reports) == {str(k) for k in range(len(texts))}
+    for k in range(len(texts)):
+        assert reports[str(k)].count("\n## ") == sum(w[0] == k for w in want)

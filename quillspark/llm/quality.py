@@ -1,19 +1,25 @@
 """Quality rules by repetition coverage.
 
 Rolling hashes of several n-gram lengths, in numpy, measure how many characters of a text lie inside duplicated
-n-grams and duplicated lines. Everything is per document, so the operator is one narrow stage without a shuffle: skew
+n-grams; lines are compared by their bytes. A word's hash mixes its bytes as two 64-bit numbers (up to 16
+bytes) or is its XXH3 (longer words). The hashes of n words in a row are rolled on from those of fewer; they are
+polynomials of at most ten well mixed numbers, so they do not share the collisions of polynomials over long strings. Everything is per document, so the operator is one narrow stage without a shuffle: skew
 between sources or documents that are copies of each other do not matter.
 
 Defined results: a null or empty text, or one of white space only, has zero in all counts and fails the base rules (it
 has under 50 words). Repeated rows and ties give repeated results. Extra columns pass through `quality_filter` and are
 ignored by `repetition`. An empty table gives an empty table. A text longer than a batch is a batch of its own; memory
-is then about 60 bytes for each of its bytes.
+is then about 30 bytes for each of its bytes. Lines and words that differ are never taken for equal by their length,
+period or alphabet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +46,10 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[b for b in range(256) if b >= 0x80 or chr(b).isalpha()]] = True
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = [np.uint64(x | 1) for x in np.random.default_rng(7).integers(1, 1 << 63, 3, dtype=np.uint64).tolist()]
+#: What is kept of a 64-bit number that holds so many bytes of a word.
+_HOLDS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,35 +58,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Rolling:
-    """Hashes of any stretch of a sequence, by prefix sums of value * base**position modulo 2**64."""
+def word_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end]."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    eight = np.ndarray(len(data) + 8, "<u8", data + b"\0" * 16, strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    low = eight[start] & _HOLDS[np.minimum(size, 8)]
+    high = eight[start + np.minimum(size, 8)] & _HOLDS[np.clip(size - 8, 0, 8)]
+    out = _mix(_mix(low + _SALTS[0]) + high * _SALTS[1] + size.astype(np.uint64) * _SALTS[2])
+    for i in np.flatnonzero(size > 16).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]], 7)
+    return out
 
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * _powers(_BASE, n)[:n], out=self.sums[1:])
-        self.back = _powers(_INVERSE, n + 1)
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+def gram_hashes(words: np.ndarray, sizes: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """For each size (ascending), the hashes of all runs of so many words, rolled on from the shorter runs that start there."""
+    out, done = np.zeros(len(words), np.uint64), 0
+    for size in sizes:
+        n = max(0, len(words) - size + 1)
+        out = out[:n]
+        for k in range(done, size):
+            out = out * _BASE + words[k : k + n]
+        done = size
+        yield _mix(out)
 
 
-def _found_again(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masks: the key is found twice or more; an equal key stands before it."""
-    again, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+def _found_again(keys: np.ndarray) -> np.ndarray:
+    """Whether the key is found twice or more."""
+    again = np.zeros(len(keys), bool)
     if len(keys) > 1:
         order = np.argsort(keys, kind="stable")
         same = keys[order][1:] == keys[order][:-1]
         again[order[1:][same]] = True
         again[order[:-1][same]] = True
-        later[order[1:][same]] = True
-    return again, later
+    return again
 
 
 def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     """Counts and coverages of each of the texts (UTF-8)."""
     n = len(texts)
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    data = b"\n".join(texts) + b"\n"
+    buf = np.frombuffer(data, np.uint8)
     offsets = np.zeros(n + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
     space = _SPACE[buf]
@@ -94,23 +108,22 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     owner = np.searchsorted(offsets, start, "right") - 1
 
     def prefix(mask):
-        out = np.zeros(len(mask) + 1, np.int64)
+        out = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
         np.cumsum(mask, out=out[1:])
         return out
 
     chars = prefix(((buf & 0xC0) != 0x80) & ~space)
-    each = lambda sums: sums[offsets[1:]] - sums[offsets[:-1]]
+    each = lambda mask: np.add.reduceat(mask, offsets[:-1], dtype=np.int64)
     count = lambda rows, weights=None: np.bincount(rows, weights, n)
-    out = {"n_words": count(owner), "word_chars": each(chars), "n_symbols": each(prefix(_SYMBOL[buf]))}
-    punct, letters = each(prefix(_PUNCT[buf])), prefix(_LETTER[buf])
-    bytes_ = Rolling(_BYTE[buf])
-    words, word_chars = bytes_.of(start, end), chars[end] - chars[start]
-    salt = _mix(np.arange(1, n + 1).astype(np.uint64) * np.uint64(_BASE))
-    grams = Rolling(words)
-    for size in (3, *MAX_COVERED):
+    out = {"n_words": count(owner), "word_chars": (chars[offsets[1:]] - chars[offsets[:-1]]).astype(np.int64), "n_symbols": each(_SYMBOL[buf])}
+    punct, letters = each(_PUNCT[buf]), prefix(_LETTER[buf])
+    words, word_chars = word_hashes(data, start, end), chars[end] - chars[start]
+    salt = _mix(np.arange(1, n + 1).astype(np.uint64) * _BASE)
+    sizes = (3, *MAX_COVERED)
+    for size, hashes in zip(sizes, gram_hashes(words, sizes)):
         first = np.arange(max(0, len(words) - size + 1))
         first = first[owner[first] == owner[first + size - 1]] if len(first) else first
-        again, _ = _found_again(grams.of(first, first + size) ^ salt[owner[first]])
+        again = _found_again(hashes[first] ^ salt[owner[first]])
         covered = np.zeros(len(words), bool)
         for k in range(size):
             covered[first[again] + k] = True
@@ -123,7 +136,15 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     worded = chars[line_end] > chars[line_start]
     line_start, line_end = line_start[worded], line_end[worded]
     of = np.searchsorted(offsets, line_start, "right") - 1
-    _, later = _found_again(bytes_.of(line_start, line_end) ^ salt[of])
+    later, seen, at = np.zeros(len(of), bool), set(), -1
+    for i, (a, b, k) in enumerate(zip(line_start.tolist(), line_end.tolist(), of.tolist())):
+        if k != at:
+            seen, at = set(), k
+        line = data[a:b]
+        if line in seen:
+            later[i] = True
+        else:
+            seen.add(line)
     out["n_lines"], out["n_dup_lines"] = count(of), count(of[later])
     out["dup_line_chars"] = count(of[later], (chars[line_end] - chars[line_start])[later])
     total, n_words = np.maximum(out["word_chars"], 1), np.maximum(out["n_words"], 1)

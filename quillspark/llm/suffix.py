@@ -34,7 +34,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Scratch, fresh, map_slices, raw
-from quillspark.llm.quality import _BYTE, Rolling
 
 LENGTH, K, GROUP = 100, 50, 256
 SIDE = LENGTH - K
@@ -151,6 +150,38 @@ def suffix_arrays(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return array
 
 
+# --- rolling hashes ------------------------------------------------------------------------------------------------
+
+_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Rolling:
+    """Hashes of any stretch of a sequence, by prefix sums of value * base**position modulo 2**64."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * _powers(_BASE, n)[:n], out=self.sums[1:])
+        self.back = _powers(_INVERSE, n + 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+
+
 # --- anchors -------------------------------------------------------------------------------------------------------
 
 

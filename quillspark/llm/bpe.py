@@ -272,8 +272,10 @@ class Codec:
     def _stretches(self, text: str) -> list[str]:
         """Cut a text where no pretoken can cross: at single blanks between other characters."""
         if self.lower:
-            if (text.isascii() or _latin1(text)) and not any(s in text for s in self.special):
-                text = text.lower()  # NFC changes nothing here; one case, fewer different stretches
+            if text.isascii() or _latin1(text):  # NFC changes nothing here; one case, fewer different stretches
+                lowered = text.lower()
+                if not any(s in lowered for s in self.special):  # specials are found before lower-casing, in their own case only
+                    text = lowered
             return text.replace("\n", " ").split(" ")
         if not self._odd(text) and not any(s in text for s in self.special):
             return text.replace(" ", "\0 ").split("\0")

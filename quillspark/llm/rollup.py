@@ -4,35 +4,57 @@ Totals by source, language and tokenizer version are sums of signed rows: an ins
 takes them away, a revision does both. A batch of changes is summed by key (combined before the shuffle, so a hot source
 is a few rows a task) and written as one small table under its batch id. The commit is the rename that ends Spark's write:
 a batch that was committed before is left as it is, and what a failed attempt left is replaced, so a batch counts once
-however often it is applied. Totals read committed batches only. `compact` sums old batches into one, again as a commit.
+however often it is applied. Totals read committed batches only. `compact` sums old batches into one, again as a commit,
+and then removes the tables that it holds; the ids of their batches are kept beside it, so they are not applied again.
+
+Texts are tokenized in one narrow stage. Equal texts are tokenized once by each worker that meets them (the counts of the
+last COUNTED different texts are kept); to bring equal texts together first would shuffle every text.
 
 Defined results: null text counts as empty, with no tokens; null sources and languages are a key of their own; ties and
-repeated rows each count; a key whose counts have all been taken away stays with zeros until `compact` drops it; an empty
-batch is a commit without rows; extra columns are ignored.
+repeated rows each count; a text of any length is counted whole; a key whose counts have all been taken away stays with
+zeros until `compact` drops it; an empty batch is a commit without rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import codec, texts_of
-from quillspark.llm.common import Scratch, map_slices
+from quillspark.llm.common import CACHES, Scratch, map_slices
 
+COUNTED = 200_000
 KEYS = ["source", "lang", "tokenizer"]
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
+@lru_cache(maxsize=2)
+def counted(vocabularies: tuple) -> dict[str, tuple[int, ...]]:
+    """A worker's counts of texts, by their digest."""
+    return {}
+
+
+CACHES.append(counted)
+
+
 def token_counts(docs: DataFrame, vocabularies: dict[str, str]) -> DataFrame:
     """doc_id, source, lang, copy_key, and for each tokenizer version (name to file) a column with the count of tokens."""
     names = list(vocabularies)
 
     def rows(batch):
-        texts = texts_of(batch.column("text"))
-        counts = [pa.array([len(x) // 4 for x in codec(vocabularies[n]).encode(texts)], pa.int64()) for n in names]
+        texts, keys, known = texts_of(batch.column("text")), batch.column("copy_key").to_pylist(), counted(tuple(vocabularies.items()))
+        new = [i for k, i in {k: i for i, k in enumerate(keys)}.items() if k not in known]
+        again = {k: known.pop(k) for k in set(keys).intersection(known)}  # what was met last goes last
+        fresh = [texts[i] for i in new]
+        again.update(zip([keys[i] for i in new], zip(*[[len(x) // 4 for x in codec(path).encode(fresh)] for path in vocabularies.values()])))
+        known.update(again)
+        for k in list(known)[: max(0, len(known) - COUNTED)]:
+            del known[k]
+        counts = [pa.array([again[k][n] for k in keys], pa.int64()) for n in range(len(names))]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang", "copy_key")), *counts], names=["doc_id", "source", "lang", "copy_key", *names])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")], F.sha2(F.coalesce("text", F.lit("")), 256).alias("copy_key"))
@@ -54,26 +76,45 @@ class Rollup:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def _done(self) -> dict[str, frozenset[str]]:
-        """Tables with a commit mark, and the batches that each holds."""
+    def _done(self) -> list[str]:
+        """Tables with a commit mark."""
         files, where = self._files(self.root)
         if not files.exists(where):
-            return {}
+            return []
         names = [s.getPath().getName() for s in files.listStatus(where)]
-        done = [n for n in names if not n.startswith("parts-") and files.exists(self._files(f"{self.root}/{n}/_SUCCESS")[1])]
-        held = lambda n: [r.value for r in self.spark.read.text(f"{self.root}/parts-{n.removeprefix('compact-')}").collect()] if n.startswith("compact-") else [n]
-        return {n: frozenset(held(n)) for n in done}
+        return sorted(n for n in names if not n.startswith("parts-") and files.exists(self._files(f"{self.root}/{n}/_SUCCESS")[1]))
+
+    def _held(self, name: str) -> DataFrame:
+        """value: the batches that a table holds."""
+        if name.startswith("compact-"):
+            return self.spark.read.text(f"{self.root}/parts-{name.removeprefix('compact-')}")
+        return self.spark.createDataFrame([(name,)], "value string")
 
     def committed(self) -> list[str]:
-        """The tables that count: no batch lies in two of them."""
+        """The tables that count: no batch lies in two of them. What an unfinished `compact` left to remove is left out."""
+        done = self._done()
+        compacts = [n for n in done if n.startswith("compact-")]
+        if not compacts:
+            return done
+        held = {n: self._held(n) for n in compacts}
+        sizes = {n: held[n].count() for n in compacts}
+        gone = set()
+        for n in compacts:
+            rest = [m for m in done if m not in compacts]
+            inside = held[n].filter(F.col("value").isin(rest)).collect() if rest else []  # of the batches still there, few after a compact
+            gone |= {r.value for r in inside}
+            gone |= {m for m in compacts if m != n and sizes[m] < sizes[n] and held[m].join(held[n], "value", "left_anti").isEmpty()}
+        return [n for n in done if n not in gone]
+
+    def _applied(self, batch_id: str) -> bool:
         done = self._done()
-        return sorted(n for n, own in done.items() if not any(own < other or own == other and n < m for m, other in done.items() if m != n))
+        return batch_id in done or any(not self._held(n).filter(F.col("value") == batch_id).isEmpty() for n in done if n.startswith("compact-"))
 
     def apply(self, batch_id: str, deltas: DataFrame) -> bool:
         """Commit a batch of signed rows; False if it was committed before."""
         if not batch_id.replace("_", "").isalnum():
             raise ValueError("a batch id holds letters, digits and _ only")
-        if any(batch_id in held for held in self._done().values()):
+        if self._applied(batch_id):
             return False
         deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.mode("overwrite").parquet(f"{self.root}/{batch_id}")
         return True
@@ -84,13 +125,24 @@ class Rollup:
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def compact(self) -> None:
-        """Sum all committed batches into one table and drop keys without documents and tokens. Its commit is what replaces them."""
+        """Sum all committed batches into one table and drop keys without documents and tokens. Its commit is what replaces
+        them; then they are removed. Run it while nothing reads totals that were asked for before."""
         done, names = self._done(), self.committed()
         if len(names) > 1:
-            parts = sorted(p for n in names for p in done[n])
-            name = hashlib.sha1("\n".join(parts).encode()).hexdigest()
-            self.spark.createDataFrame([(p,) for p in parts], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/parts-{name}")
+            name = hashlib.sha1("\n".join(names).encode()).hexdigest()
+            parts = self._held(names[0])
+            for n in names[1:]:
+                parts = parts.union(self._held(n))
+            parts.write.mode("overwrite").text(f"{self.root}/parts-{name}")
             self.totals().filter("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(f"{self.root}/compact-{name}")
+        else:
+            name = None
+        kept = {f"compact-{name}"} if name else set(names)
+        for n in done:
+            if n not in kept:
+                for gone in [n] + [f"parts-{n.removeprefix('compact-')}"] * n.startswith("compact-"):
+                    files, where = self._files(f"{self.root}/{gone}")
+                    files.delete(where, True)
 
 
 def copy_groups(counts: DataFrame, versions: list[str]) -> DataFrame:

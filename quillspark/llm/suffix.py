@@ -5,39 +5,48 @@ all in the string. Equal strings have equal anchors at the same place, so only p
 be compared:
 
 1. `anchors` (numpy, document by document) emits each anchor's key, a hash of the context that its strings can lie in, and
-   its place. Of equal contexts in a batch only the first goes on: a hot passage is reduced before the shuffle.
+   its place. Of equal contexts in a batch (compared by bytes) only the first goes on: a hot passage is reduced before the
+   shuffle. A key that one task meets HOT times is hot: its further contexts are dealt out by their hash over SALTS tasks,
+   and a marker tells the key's own task; so neither the copies nor the different surroundings of a common line meet in one.
 2. Places are sorted by key. One whose whole context was seen earlier is covered. Keys with one context are done.
 3. For the other keys, the different contexts of a key form the text of a suffix array. Suffixes are grouped by their
    Lyndon prefixes, groups are processed in descending order with previous-smaller pointers, and each group's order is
    then emitted; nothing is renamed or sorted recursively. Neighbours in the array whose first LENGTH bytes are equal
    (compared, not hashed) are one class, in which all but the earliest are repeats. Many small arrays are built in step
    in numpy.
-4. Keys of more than GROUP contexts are cut into pieces of GROUP; the pieces' classes are then joined by a
-   128-bit fingerprint of the string, with a minimum that is combined before the shuffle. No key meets in one task.
+4. Keys of more than GROUP contexts are cut into pieces of GROUP; the classes of pieces, and of hot keys, are then joined by
+   a fingerprint of the string, with a minimum that is combined before the shuffle.
 
 Places, not texts, are shuffled in 1 and 2; documents are shuffled by doc_id to fetch contexts and to cut the repeats out.
-Keys and whole contexts are compared by 64-bit hashes.
+What is not compared by bytes (contexts of different batches, strings of different pieces) is compared by a 64-bit hash of
+the anchor and 128 bits of NH hashes whose key is drawn for each run: for any two different texts, made against it or not,
+NH agrees with a probability of 2**-64 at most.
 
 Defined results: a null or empty text has no bytes and nothing removed. Rows with a null doc_id are returned whole and are
-never anyone's earlier copy. Repeated rows (same doc_id and text) are one document. Extra columns are ignored by
-`removal_report` and pass through `remove_repeats`, which keeps characters whole (a run's ends move inwards to character
-bounds). An empty table gives an empty table. Documents of over 8 MB are cut up in overlapping pieces.
+never anyone's earlier copy. Repeated rows (same doc_id and text) are one document. Of equal strings the one with the
+smaller doc_id, then the smaller place, is the earlier. Extra columns are ignored by `removal_report` and pass through
+`remove_repeats`, which keeps characters whole (a run's ends move inwards to character bounds). An empty table gives an
+empty table. Documents of over PIECE bytes are read in pieces that overlap by all that an anchor's context needs, so
+that their results are those of shorter ones.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, fresh, map_slices, raw
+from quillspark.llm.common import Scratch, fresh, map_slices, raw, release_caches, slices
 
 LENGTH, K, GROUP = 100, 50, 256
 SIDE = LENGTH - K
 PIECE = 8 << 20
+#: Contexts of one key that a task sends to the key's own task, and the tasks that get the others.
+HOT, SALTS = 64, 1024
 #: Symbols: what ends a text, what ends a context, bytes from 2 on, and the K bytes of the anchor as one.
 STOP, EDGE, FIRST, ANCHOR = 0, 1, 2, 258
 WINDOW = SIDE + 1  # symbols of a string of LENGTH bytes that holds the anchor
@@ -196,11 +205,40 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+_HOLDS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # so many low bytes of a 64-bit number
+_LOW = np.uint64(0xFFFFFFFF)
+CONTEXT_WORDS = -(-(SIDE + LENGTH) // 8)
+
+
+def nh(words: np.ndarray, secret: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two NH hashes (sums of products of keyed halves) of each row of 64-bit words."""
+    keys = np.random.default_rng([secret, words.shape[1]]).integers(0, 1 << 32, (2, 2, words.shape[1]), dtype=np.uint64)
+    out = np.empty((2, len(words)), np.uint64)
+    for s in range(0, len(words), 4096):
+        part = words[s : s + 4096]
+        low, high = part & _LOW, part >> np.uint64(32)
+        for k in (0, 1):
+            out[k, s : s + 4096] = (((low + keys[k, 0]) & _LOW) * ((high + keys[k, 1]) & _LOW)).sum(axis=1)
+    return out[0], out[1]
+
+
+def contexts(data: bytes, pos: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The bytes from pos - left to pos + right as 64-bit words of a row each, zero where a document ends earlier."""
+    eight = np.ndarray(len(data) + SIDE + LENGTH, "<u8", b"\0" * SIDE + data + b"\0" * (LENGTH + 16), strides=(1,))
+    at = 8 * np.arange(CONTEXT_WORDS)
+    words = eight[pos[:, None] + at]  # SIDE bytes of padding stand before
+    words[:, -1] &= _HOLDS[(SIDE + LENGTH - 1) % 8 + 1]
+    cut = np.flatnonzero((left < SIDE) | (right < LENGTH))
+    words[cut] &= _HOLDS[np.clip(SIDE + right[cut, None] - at, 0, 8)] & ~_HOLDS[np.clip(SIDE - left[cut, None] - at, 0, 8)]
+    return words
+
+
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
-    """(row, pos, key, context) of each anchor: the first least hash of K bytes in some LENGTH bytes of a text."""
+    """(row, pos, key, left, right, words of the context) of each anchor: the first least hash of K bytes in some LENGTH bytes of a text."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
-    buf = np.frombuffer(b"".join(texts), np.uint8)
+    data = b"".join(texts)
+    buf = np.frombuffer(data, np.uint8)
     if len(buf) < LENGTH:
         return None
     starts = ends - sizes
@@ -210,7 +248,6 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
     low = leftmost_minima((h & np.uint64(0xFFFFFFFFF8000000)) | at.astype(np.uint64), SIDE + 1)
     inside = np.zeros(len(buf) + 1, np.int32)
     wide = sizes >= LENGTH
-    inside[: len(low)] = 0
     np.add.at(inside, starts[wide], 1)
     np.add.at(inside, ends[wide] - LENGTH + 1, -1)
     low = low[np.cumsum(inside)[: len(low)] > 0]
@@ -219,49 +256,91 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
     row = np.searchsorted(ends, pos, "right")
     left = np.minimum(pos - starts[row], SIDE)
     right = np.minimum(ends[row] - pos, LENGTH)
-    context = roll.of(pos - left, pos + right) ^ (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return row, pos - starts[row], h[pos], context
-
-
-PLACES = "key long, context long, doc_id long, pos long, covered boolean"
-
-
-def _places(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    ids, texts, shift = batch.column("doc_id").to_numpy(), raw(batch.column("text")), None
-    if any(len(t) > PIECE for t in texts):
-        cut = [(i, s, t[s : s + PIECE + LENGTH - 1]) for i, t in zip(ids.tolist(), texts) for s in range(0, max(1, len(t)), PIECE)]
-        ids, shift, texts = np.array([x[0] for x in cut]), np.array([x[1] for x in cut]), [x[2] for x in cut]
-        groups = [[i] for i in range(len(cut))]
-    else:
-        groups = [list(range(len(texts)))]
-    parts = []
-    for g in groups:
-        found = anchors([texts[i] for i in g])
-        if found is not None:
-            row = np.array(g)[found[0]]
-            parts.append((ids[row], found[1] + (0 if shift is None else shift[row]), found[2], found[3]))
-    if not parts:
-        return None
-    doc, pos, key, context = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((pos, doc, context, key))
-    doc, pos, key, context = doc[order], pos[order], key[order], context[order]
-    again = np.append(False, (key[1:] == key[:-1]) & (context[1:] == context[:-1]))
-    rep = np.flatnonzero(~again)[np.cumsum(~again) - 1]
-    same = again & (doc == doc[rep]) & (pos == pos[rep])  # a repeated row or overlap, not a copy
-    key = np.where(again, doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64), key)  # spread what is done
-    keep = ~same
-    columns = [key[keep].view(np.int64), context[keep].view(np.int64), doc[keep], pos[keep]]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(again[keep])], names=[x.split()[0] for x in PLACES.split(", ")])
+    return row, pos - starts[row], h[pos], left, right, contexts(data, pos, left, right)
+
+
+PLACES = "key long, salt int, c1 long, c2 long, doc_id long, pos long"
+_PLACES = [x.split()[0] for x in PLACES.split(", ")]
+MARK = -(1 << 63)  # c1 and c2 of a marker: that the key is hot elsewhere; pos is -1
+
+
+def _pieces(ids: list[int], texts: list[bytes], size: int):
+    """(ids, texts, first byte, first and last anchor that count) of what is read at once: a batch, or a part of a long text."""
+    if all(len(t) <= size for t in texts):
+        yield np.array(ids, np.int64), texts, 0, 0, size
+        return
+    for i, t in zip(ids, texts):
+        for s in range(0, max(1, len(t) - LENGTH + 1), size):  # strings that start in [s, s + size); their anchors lie SIDE further at most
+            first = max(0, s - SIDE)
+            yield np.array([i], np.int64), [t[first : s + size + SIDE + LENGTH]], first, s - first, s - first + size + SIDE
+
+
+def _places(secret: int, piece: int, hot: int, limit: int = 2 << 20):
+    def run(batches):
+        release_caches()
+        counts, marked, seen = np.zeros(1 << 22, np.uint16), set(), {}
+        for batch in slices(batches, "text", limit):
+            for ids, texts, shift, low, high in _pieces(batch.column("doc_id").to_pylist(), raw(batch.column("text")), piece):
+                found = anchors(texts)
+                if found is None:
+                    continue
+                row, pos, key, left, right, words = found
+                if len(texts) == 1:
+                    own = (pos >= low) & (pos < high)
+                    row, pos, key, left, right, words = (x[own] for x in (row, pos, key, left, right, words))
+                if not len(pos):
+                    continue
+                one, two = nh(words, secret)
+                size = (left << 8 | right).astype(np.uint64)
+                c1, c2 = (_mix(one + size) | np.uint64(1)).view(np.int64), _mix(two + size).view(np.int64)
+                doc, pos, key = ids[row], pos + shift, key.view(np.int64)
+                order = np.lexsort((pos, doc, c2, c1, key))
+                doc, pos, key, c1, c2, words = (x[order] for x in (doc, pos, key, c1, c2, words))
+                again = np.append(False, (key[1:] == key[:-1]) & (c1[1:] == c1[:-1]) & (c2[1:] == c2[:-1]))
+                rep = np.flatnonzero(~again)[np.cumsum(~again) - 1]
+                again[again] = (words[again] == words[rep[again]]).all(axis=1)
+                same = again & (doc == doc[rep]) & (pos == pos[rep])  # a repeated row or overlap, not a copy
+                salt = np.where(again, -1, 0).astype(np.int32)
+                new = np.flatnonzero(~again)
+                slot = key[new] & (len(counts) - 1)
+                np.add.at(counts, slot, 1)
+                often = new[counts[slot] > hot]
+                marks = []
+                if len(often):
+                    np.minimum(counts, 1 << 14, out=counts)
+                    salt[often] = 1 + (c1[often] >> 8) % SALTS
+                    marks = [k for k in set(key[often].tolist()) if k not in marked]
+                    marked.update(marks)
+                    for i in often.tolist():  # of a hot key, what this task has met before is covered already
+                        c, place = (int(c1[i]), int(c2[i])), (int(doc[i]), int(pos[i]))
+                        first = seen.get(c)
+                        if first is not None and place > first:
+                            salt[i] = -1
+                        elif first is not None and place == first:
+                            same[i] = True
+                        elif first is not None or len(seen) < 1 << 16:
+                            seen[c] = place
+                spread = doc * -0x61C8864680B583EB + pos  # what is done goes anywhere
+                key = np.where(salt < 0, spread, key)
+                keep = ~same
+                columns = [x[keep] for x in (key, salt, c1, c2, doc, pos)]
+                if marks:
+                    n = len(marks)
+                    columns = [np.append(x, y) for x, y in zip(columns, (np.array(marks), np.zeros(n, np.int32), np.full(n, MARK), np.full(n, MARK), np.full(n, -1), np.full(n, -1)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_PLACES)
+
+    return run
 
 
 FOUND = "doc_id long, pos long, key long, piece long, covered boolean"
 
 
 def _sift(group: int):
-    """Over places sorted by (covered, key, context, doc_id, pos): what is covered, and the first of each context of keys with several."""
+    """Over places sorted by key, salt, context, doc_id, pos: what is covered, and the first of each context of keys with
+    several. piece numbers the groups of a key; 0 is the first, and the only one if it is not full."""
 
     def run(batches):
-        last = None  # key, context, doc, pos of the last context's first place; contexts so far; whether the first one is still held back
+        last = None  # the last context's first place (key, salt, c1, c2, doc, pos), its number, whether it was emitted, whether the key is hot
         names = [x.split()[0] for x in FOUND.split(", ")]
 
         def rows(doc, pos, key, piece, covered):
@@ -270,40 +349,44 @@ def _sift(group: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            done = batch.column("covered").to_numpy(zero_copy_only=False)
-            key, context, doc, pos = (batch.column(c).to_numpy() for c in ("key", "context", "doc_id", "pos"))
+            key, salt, c1, c2, doc, pos = (batch.column(c).to_numpy() for c in _PLACES)
+            done = salt < 0
             if done.any():
-                yield rows(doc[done], pos[done], np.zeros(done.sum(), np.int64), np.zeros(done.sum(), np.int64), True)
-                key, context, doc, pos = key[~done], context[~done], doc[~done], pos[~done]
+                none = np.zeros(int(done.sum()), np.int64)
+                yield rows(doc[done], pos[done], none, none, True)
+                key, salt, c1, c2, doc, pos = (x[~done] for x in (key, salt, c1, c2, doc, pos))
                 if not len(key):
                     continue
             if last:  # the open context's first place stands before this batch
-                key, context, doc, pos = (np.append(np.int64(x), y) for x, y in zip(last[:4], (key, context, doc, pos)))
-            new_key = np.append(True, key[1:] != key[:-1])
-            new = new_key | np.append(True, context[1:] != context[:-1])
+                key, salt, c1, c2, doc, pos = (np.append(np.asarray(x, y.dtype), y) for x, y in zip(last[:6], (key, salt, c1, c2, doc, pos)))
+            new_key = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))
+            new = new_key | np.append(True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))
             reps = np.flatnonzero(new)
             rep = reps[np.cumsum(new) - 1]
-            copy = ~new & ((doc != doc[rep]) | (pos != pos[rep]))
+            mark = pos < 0
+            copy = ~new & ~mark & ((doc != doc[rep]) | (pos != pos[rep]))
             if copy.any():
-                m = int(copy.sum())
-                yield rows(doc[copy], pos[copy], np.zeros(m, np.int64), np.zeros(m, np.int64), True)
+                none = np.zeros(int(copy.sum()), np.int64)
+                yield rows(doc[copy], pos[copy], none, none, True)
             of = np.cumsum(new_key)[reps] - 1  # key's number, for each context
             first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            hot = (salt[reps[first]] > 0) | mark[reps[first]]
             nth = np.arange(len(reps)) - first[of]
-            held = np.zeros(len(reps), bool)  # already emitted
+            held = mark[reps].copy()  # already emitted, or no context
             if last:
-                nth[of == 0] += last[4] - 1
-                held[0] = not last[5]
+                hot[0] |= last[8]
+                nth[of == 0] += last[6]
+                held[0] |= last[7]
             counts = np.bincount(of)
             if last:
-                counts[0] += last[4] - 1
-            several = counts[of] > 1
+                counts[0] += last[6]
+            several = (counts[of] > 1) | hot[of]
             out = several & ~held
             if out.any():
                 r = reps[out]
-                yield rows(doc[r], pos[r], key[r], nth[out] // group, False)
+                yield rows(doc[r], pos[r], key[r], np.where(hot[of[out]], (1 + salt[r].astype(np.int64)) << 32, 0) + nth[out] // group, False)
             r = reps[-1]
-            last = (int(key[r]), int(context[r]), int(doc[r]), int(pos[r]), int(nth[-1]) + 1, not (several[-1]))
+            last = (key[r], salt[r], c1[r], c2[r], doc[r], pos[r], int(nth[-1]), bool(several[-1]), bool(hot[-1]))
 
     return run
 
@@ -345,11 +428,22 @@ def _symbols(groups: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 REPEATS = "doc_id long, lo long, hi long, f1 long, f2 long"
-_OTHER = np.random.default_rng(8).integers(1, 1 << 63, 512, dtype=np.uint64) | np.uint64(1)
-_ONE = np.random.default_rng(9).integers(1, 1 << 63, 512, dtype=np.uint64) | np.uint64(1)
 
 
-def repeats(groups: list[tuple], full_size: int = GROUP) -> pa.RecordBatch | None:
+def _prints(windows: np.ndarray, at: np.ndarray, keys: np.ndarray, secret: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints (the second is never 0) of each string: its symbols and its anchor's key."""
+    f1, f2 = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    for s in range(0, len(at), 65536):
+        symbols = np.zeros((len(at[s : s + 65536]), -(-WINDOW // 4) * 4), np.int16)
+        symbols[:, :WINDOW] = windows[at[s : s + 65536]]
+        one, two = nh(symbols.view(np.uint64), secret)
+        key = keys[s : s + 65536]
+        f1[s : s + 65536] = _mix(one ^ key).view(np.int64)
+        f2[s : s + 65536] = (_mix(two + key) | np.uint64(1)).view(np.int64)
+    return f1, f2
+
+
+def repeats(groups: list[tuple], full_size: int = GROUP, secret: int = 0) -> pa.RecordBatch | None:
     """Groups (docs, places, left, right, key) in order of document and place: what repeats an earlier context's string.
 
     For full groups, which may have other pieces, also a row with a fingerprint for each first or single string.
@@ -391,14 +485,13 @@ def repeats(groups: list[tuple], full_size: int = GROUP) -> pa.RecordBatch | Non
     if full.any():
         at = order[full]
         keys = np.array([g[4] for g in groups], np.int64).view(np.uint64)[group_of[who[full]]]
-        one, two = Rolling(_ONE[text]), Rolling(_OTHER[text])
-        out.append((doc[who[full]], begin[full], begin[full] + LENGTH, (one.of(at, at + WINDOW) ^ keys).view(np.int64), (two.of(at, at + WINDOW) | np.uint64(1)).view(np.int64)))
+        out.append((doc[who[full]], begin[full], begin[full] + LENGTH, *_prints(windows, at, keys, secret)))
     if not out:
         return None
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[x.split()[0] for x in REPEATS.split(", ")])
 
 
-def _compare(group: int):
+def _compare(group: int, secret: int):
     """Over contexts sorted by (key, piece, doc_id, pos): groups are gathered by size, so that those in step are alike."""
 
     def run(batches):
@@ -420,7 +513,7 @@ def _compare(group: int):
                     close()
                     b = len(members).bit_length()
                     if filled.get(b, 0) > 20000:
-                        made = repeats(bins.pop(b), group)
+                        made = repeats(bins.pop(b), group, secret)
                         filled[b] = 0
                         if made is not None:
                             yield made
@@ -429,32 +522,29 @@ def _compare(group: int):
                     members.append(row[2:])
         close()
         for b in list(bins):
-            made = repeats(bins.pop(b), group)
+            made = repeats(bins.pop(b), group, secret)
             if made is not None:
                 yield made
 
     return run
 
 
-def _found(docs: DataFrame, scratch: Scratch, group: int) -> DataFrame:
-    places = map_slices(docs, "text", PLACES, _places, 2 << 20, release=True)
-    sifted = places.repartition("key").sortWithinPartitions("key", "context", "doc_id", "pos").mapInArrow(_sift(group), FOUND)
-    return scratch.write(sifted, "found")
-
-
-def _repeats(docs: DataFrame, found: DataFrame, scratch: Scratch, group: int) -> DataFrame:
+def _repeats(docs: DataFrame, found: DataFrame, scratch: Scratch, group: int, secret: int) -> DataFrame:
     wanted = found.filter("not covered").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key", "piece")).alias("wanted"))
     sides = map_slices(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted"), "text", SIDES, _fetch)
-    return scratch.write(sides.repartition("key", "piece").sortWithinPartitions("key", "piece", "doc_id", "pos").mapInArrow(_compare(group), REPEATS), "repeats")
+    return scratch.write(sides.repartition("key", "piece").sortWithinPartitions("key", "piece", "doc_id", "pos").mapInArrow(_compare(group, secret), REPEATS), "repeats")
+
 
+def repeated_runs(docs: DataFrame, group: int = GROUP, piece: int = PIECE, hot: int = HOT) -> DataFrame:
+    """doc_id, runs (array of lo, hi; they may overlap): bytes of the text that an earlier string of LENGTH bytes covers.
 
-def repeated_runs(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, runs (array of lo, hi; they may overlap): bytes of the text that an earlier string of LENGTH bytes covers."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix")
+    group, piece and hot change how the work is dealt out, never the result.
+    """
+    scratch, secret = Scratch(docs.sparkSession, "suffix"), secrets.randbits(63)
     own = docs.filter("doc_id is not null and octet_length(text) >= " + str(LENGTH)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _found(own, scratch, group)
-    made = _repeats(own, found, scratch, group)
+    places = own.mapInArrow(_places(secret, piece, hot), PLACES).repartition("key", "salt")
+    found = scratch.write(places.sortWithinPartitions(*_PLACES).mapInArrow(_sift(group), FOUND), "found")
+    made = _repeats(own, found, scratch, group, secret)
     prints = made.filter("f2 <> 0")
     first = prints.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     across = prints.join(first, ["f1", "f2"]).filter(F.struct("doc_id", "lo") != F.col("first")).select("doc_id", "lo", "hi")
@@ -480,7 +570,7 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))
 
 
-def removal_report(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def removal_report(docs: DataFrame, group: int = GROUP, piece: int = PIECE, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def rows(batch):
@@ -491,7 +581,7 @@ def removal_report(docs: DataFrame, group: int = GROUP) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 4 + [pa.string()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_slices(own.join(repeated_runs(docs, group), "doc_id", "left").select("doc_id", "text", "runs"), "text", "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", rows)
+    return map_slices(own.join(repeated_runs(docs, group, piece, hot), "doc_id", "left").select("doc_id", "text", "runs"), "text", "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", rows)
 
 
 def _inward(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

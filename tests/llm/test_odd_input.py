@@ -1,12 +1,14 @@
 """Texts made against hashes, special tokens in any case, very long texts, odd names and numbers: each held against brute force."""
 
+import hashlib
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from quillspark.llm import quality, rollup
+from quillspark.llm import quality, rollup, suffix
 from quillspark.llm.bpe import Codec
 from quillspark.llm.common import Scratch
 from quillspark.llm.queries import vocabulary
@@ -79,3 +81,59 @@ def test_counts_of_equal_texts_and_compaction(spark):
     store.compact()
     store.compact()
     assert store.totals().count() == 0 and not store.apply("b9", spark.createDataFrame([], rollup.TOTALS)) and not store.apply("b0", spark.createDataFrame([], rollup.TOTALS))
+
+
+def removed(rows):
+    """Brute force: covered bytes of each document."""
+    seen, out = set(), {}
+    for d, t in sorted({(d, t or "") for d, t in rows}):
+        b = t.encode()
+        cov = bytearray(len(b))
+        for i in range(len(b) - 99):
+            w = b[i : i + 100]
+            if w in seen:
+                cov[i : i + 100] = b"\1" * 100
+            seen.add(w)
+        out[d] = (b, bytes(cov))
+    return out
+
+
+def check_removal(spark, rows, **how):
+    want = removed(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for r in suffix.removal_report(df, **how).collect():
+        b, cov = want[r.doc_id]
+        kept = bytes(x for x, c in zip(b, cov) if not c)
+        assert tuple(r) == (r.doc_id, len(b), sum(cov), len([x for x in cov.split(b"\0") if x]), hashlib.sha256(kept).hexdigest()), r.doc_id
+
+
+LINE = "This common line stands in nearly all documents and has more than one hundred bytes, so that it is a repeat; it goes on for a while so that its inner contexts are all alike."
+
+
+def common_line(n):
+    r = random.Random(n)
+    word = lambda: "".join(r.choices("abcdef", k=4))
+    rows = [(i, " ".join(word() for _ in range(r.randint(0, 30))) + LINE[: r.randint(90, len(LINE))] + " ".join(word() for _ in range(r.randint(0, 30)))) for i in range(n)]
+    return rows + [(n + 1, LINE * 3), (n + 2, LINE[5:]), (n + 3, "x" * 700), (n + 4, "x" * 350), (n + 5, thue_morse(512) + thue_morse(512, "ba"))]
+
+
+def test_long_texts_are_read_in_pieces(spark):
+    r = random.Random(4)
+    base = "".join(r.choices("abcdefgh ", k=1500))
+    rows = [(1, base[:399]), (2, base), (3, base[200:1100] + "#" + base[:700]), (4, base * 2), (5, "ab" * 900), (6, base[1300:] + base[:120])]
+    for piece in (100, 137, 300, 1400):
+        check_removal(spark, rows, piece=piece)
+
+
+def test_texts_over_eight_megabytes(spark):
+    rng = np.random.default_rng(3)
+    long = bytes(rng.integers(97, 123, suffix.PIECE + 3000, dtype=np.uint8)).decode()
+    at = suffix.PIECE
+    rows = [(1, long[at - 399 : at]), (2, long), (3, long[at - 60 : at + 90]), (4, long[at - 20 : at + 130]), (5, long[:200] + "-" + long[-150:])]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.removal_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 0), 2: (399, 1), 3: (150, 1), 4: (150, 1), 5: (350, 2)}
+
+
+@pytest.mark.parametrize("how", [{"hot": 2}, {"hot": 2, "group": 3}, {"hot": 10, "group": 5, "piece": 160}])
+def test_hot_keys_are_dealt_out(spark, how):
+    check_removal(spark, common_line(150), **how)

@@ -10,7 +10,7 @@ from quillspark.llm.bpe import round_trip
 from quillspark.llm.common import table
 from quillspark.llm.extract import extract
 from quillspark.llm.packing import pack
-from quillspark.llm.pii import pii_report
+from quillspark.llm.pii import pii_report, run_key
 from quillspark.llm.quality import MAX_COVERED, MAX_DUP_LINE_CHARS, MAX_DUP_LINES, MAX_PUNCTUATION, MAX_REPEAT_PERCENT, MAX_SYMBOLS, MIN_LETTER_WORDS, MIN_WORDS, repetition
 from quillspark.llm.rollup import maintained_totals
 from quillspark.llm.simhash import simhash_groups
@@ -42,7 +42,7 @@ def op4_suffix_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_report(table(spark, sf_dir, "documents"))
+    return pii_report(table(spark, sf_dir, "documents"), run_key(spark))
 
 
 def op6_boosted_dom(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+KEY = "a key for tests"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

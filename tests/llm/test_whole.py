@@ -5,6 +5,8 @@ from datetime import datetime
 
 from quillspark.llm import extract, pii, simhash
 
+from .conftest import KEY
+
 
 def test_dedup_leaves_one_row_of_each_group(spark):
     long = " ".join(f"word{i}" for i in range(80))
@@ -28,7 +30,7 @@ def test_dates_and_secrets_that_were_left(spark):
     dates = ["25/12/2023", "31/1/2020", "14/07/1789", "1/2/1492", "1066-10-14", "3.4.0042", "12/31/9999", "29.02.2400", "0001-01-01"]
     secrets = ["0123456789abcdef" * n for n in (9, 500)] + ["ABCDEF0123456789" * 9]
     values = dates + secrets
-    got = pii.pii_report(spark.createDataFrame([(i, f"on {v} it was") for i, v in enumerate(values)], "doc_id int, text string")).orderBy("doc_id").collect()
+    got = pii.pii_report(spark.createDataFrame([(i, f"on {v} it was") for i, v in enumerate(values)], "doc_id int, text string"), KEY).orderBy("doc_id").collect()
     for v, r in zip(values, got):
         new = r.text.removeprefix("on ").removesuffix(" it was")
         assert r.n_pii == 1 and new != v, v
@@ -38,4 +40,4 @@ def test_dates_and_secrets_that_were_left(spark):
         else:
             assert len(new) == len(v) and re.fullmatch("[0-9A-Fa-f]+", new)
     bad = spark.createDataFrame([(1, "32/13/2020 and 0000-01-01")], "doc_id int, text string")
-    assert pii.pii_report(bad).first().n_pii == 0
+    assert pii.pii_report(bad, KEY).first().n_pii == 0

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import Scratch, table
 from quillspark.llm.packing import pack
-from quillspark.llm.pii import pseudonymise
+from quillspark.llm.pii import pseudonymise, run_key
 from quillspark.llm.quality import quality_filter
 from quillspark.llm.queries import vocabulary
 from quillspark.llm.simhash import simhash_dedup
@@ -30,7 +30,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonymise(docs)
+    return pseudonymise(docs, run_key(spark))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

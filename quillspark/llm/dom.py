@@ -35,16 +35,24 @@ class Node:
 
 
 def read(page: str) -> tuple[list[Node], list[list]]:
-    """Nodes (0 is the root; parents come first) and blocks: [node, pieces of decoded text]."""
+    """Nodes (0 is the root; parents come first) and blocks: [node, pieces of decoded text]. Text outside every block element
+    gets a node without a name."""
     nodes = [Node("", "", -1, 0, 0)]
     blocks: list[list] = []
     stack: list[tuple[str, int]] = [("", 0)]  # tag; its node, or that of the nearest block for inline elements
-    open_block, unseen, links = -1, 0, 0
+    open_block, unseen, links, loose = -1, 0, 0, 0  # loose: the nameless block of text that stands outside all blocks
     pos, n = 0, len(page)
 
     def text(piece: str) -> None:
-        nonlocal open_block
+        nonlocal open_block, loose
         node = stack[-1][1]
+        if not node and not (open_block >= 0 and loose):
+            if piece.isspace():
+                return
+            nodes.append(Node("", "", 0, 1, pos))
+            nodes[0].children.append(len(nodes) - 1)
+            loose = len(nodes) - 1
+        node = node or loose
         if open_block < 0 or blocks[open_block][0] != node:
             if piece.isspace():
                 return

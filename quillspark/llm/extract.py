@@ -12,7 +12,9 @@ a shuffle, whole, whatever their size.
 
 Defined results: null or empty html, and pages without main text, give the empty text and n_chars 0; null ids and urls
 pass through; repeated rows give repeated results; extra columns are ignored; an empty table gives an empty table. A page
-that breaks off inside a tag ends before that tag. <br> is white space inside its block.
+that breaks off inside a tag ends before that tag. <br> is white space inside its block. Text outside every block element
+is a block of its own, judged like any other; a page without any block element is main text as a whole. Pages of any length
+are judged alike: some training pages have up to some thousand blocks (LONG).
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from quillspark.llm.common import map_slices
 from quillspark.llm.dom import Node, block_text, read
 
 TRAINING_PAGES = 700
+#: Blocks of the long pages that are written besides, and how many main paragraphs of such a page are learnt from.
+LONG, LEARNT = [60, 120, 250, 600, 1500, 4000] * 4, 300
 
 #: Attribute tokens by what they tell of a node.
 LEXICON = {
@@ -49,7 +53,9 @@ GROUPS = len(LEXICON)
 TAGS = [("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("li", "dt", "dd"), ("ul", "ol", "dl", "menu"), ("div", "section"), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "dialog", "search"), ("article", "main"), ("table", "tr", "td", "th", "tbody"), ("blockquote", "pre", "figure", "figcaption")]
 TAG_OF = {t: k for k, group in enumerate(TAGS) for t in group}
 BOILER_TAGS = frozenset("nav header footer aside form dialog menu".split())
-_ATTR = re.compile(r"(class|id|role|itemprop|aria-label|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+NAMED = frozenset("class id role itemprop aria-label hidden style aria-hidden".split())
+#: One attribute after another, so that neither a part of a name nor a value is taken for an attribute.
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 N_FEATURES = len(TAGS) + 2 * GROUPS + 20
 
@@ -60,6 +66,8 @@ def _tokens(attrs: str) -> tuple[tuple[int, ...], int]:
     groups, hidden = [0] * GROUPS, 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name not in NAMED:
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             hidden = 1
         elif name != "style":
@@ -136,7 +144,8 @@ def main_texts(pages: list[str], model: Boosted) -> list[str]:
     for nodes, blocks in read_pages:
         kept = decode(nodes, odds[at : at + len(nodes) - 1])
         at += len(nodes) - 1
-        texts = [block_text(pieces) for node, pieces in blocks if kept[node] and node]
+        bare = all(not x.tag for x in nodes)  # no block element at all
+        texts = [block_text(pieces) for node, pieces in blocks if bare or kept[node]]
         out.append("\n".join(t for t in texts if t))
     return out
 
@@ -212,10 +221,10 @@ class Writer:
             return el("div", r.choice([w(2, 20), el("p", w(2, 20)), self.links(2, 6)]), r.choice(["footer", "header", "copyright", "masthead", "site-footer"]))
         return f"<!-- {w(1, 4)} --><script>var a = '</p>{w(1, 3)}';</script>"
 
-    def main(self) -> str:
+    def main(self, blocks: int | None = None) -> str:
         r, w, el = self.r, self.words, self.el
         out = [el(r.choice(["h1", "h1", "h2"]), self.inline(w(1, 12)), None, 1)] if r.random() < 0.85 else []
-        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 15, 30])):
+        for _ in range(blocks or r.choice([0, 1, 1, 2, 3, 5, 8, 15, 30])):
             kind = r.random()
             if kind < 0.80:
                 out.append(el("p", self.inline(w(1, 5) if r.random() < 0.2 else w(5, 90)), None, 1))
@@ -233,7 +242,7 @@ class Writer:
                 out.append(el("div", w(5, 60), None, 1))
             else:
                 out.append(el(r.choice(["section", "div"]), el("h2", w(1, 6), None, 1) + el("p", w(5, 60), None, 1)))
-            if r.random() < 0.04:
+            if r.random() < (0.04 if blocks is None else 2 / blocks):
                 out.append(self.boiler())
         if r.random() < 0.15:
             out.append(self.boiler())
@@ -244,13 +253,13 @@ class Writer:
         inner = el(tag, inner, cls)
         return el(r.choice(["main", "div"]), inner + (self.boiler() if r.random() < 0.3 else ""), r.choice([None, "container", "page", "main"])) if r.random() < 0.25 else inner
 
-    def page(self) -> str:
+    def page(self, blocks: int | None = None) -> str:
         r = self.r
         before = "".join(self.boiler() for _ in range(r.choice([0, 1, 2, 2, 3, 5])))
         after = "".join(self.boiler() for _ in range(r.choice([0, 1, 1, 2, 3, 4])))
         wrap = lambda x: self.el("div", x, r.choice([None, "page", "wrapper"])) if r.random() < 0.3 else x
-        page = f"<!DOCTYPE html><html><head><title>{self.words(1, 8)}</title><style>p{{}}</style></head><body>{wrap(before + self.main() + after)}</body></html>"
-        return page[: r.randint(len(page) // 2, len(page))] if r.random() < 0.1 else page
+        page = f"<!DOCTYPE html><html><head><title>{self.words(1, 8)}</title><style>p{{}}</style></head><body>{wrap(before + self.main(blocks) + after)}</body></html>"
+        return page[: r.randint(len(page) // 2, len(page))] if r.random() < 0.1 and blocks is None else page
 
 
 @lru_cache(maxsize=2)
@@ -258,15 +267,18 @@ def trained(pages: int = TRAINING_PAGES, seed: int = 5) -> Boosted:
     """The model, from pages of the generator; a node is positive if main text lies in its subtree."""
     writer = Writer(random.Random(seed))
     xs, ys = [], []
-    for _ in range(pages):
-        page = writer.page()
-        nodes, blocks = read(page)
+    for blocks in [None] * pages + LONG:
+        page = writer.page(blocks)
+        nodes, found = read(page)
         y = [0] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
             y[i] |= int("data-y=1" in nodes[i].attrs and nodes[i].own > 0)
             y[nodes[i].parent] |= y[i]
-        xs += features(nodes, blocks, len(page))
-        ys += y[1:]
+        rows = features(nodes, found, len(page))
+        leaves = [i for i in range(1, len(nodes)) if y[i] and not nodes[i].children]
+        left = set(writer.r.sample(leaves, len(leaves) - LEARNT)) if len(leaves) > LEARNT else ()
+        xs += [x for i, x in enumerate(rows, 1) if i not in left]
+        ys += [v for i, v in enumerate(y) if i and i not in left]
     return Boosted().fit(np.array(xs, np.float64), np.array(ys, np.float64))
 
 

@@ -5,10 +5,14 @@ blocks; two that differ in four bits or fewer agree on at least two whole blocks
 (pair of blocks, value) buckets. In each bucket the fingerprints form BK-trees of bounded size (children keyed by their
 Hamming distance to the parent) and a search follows only the edges within the radius. A bucket of more than SHARD
 fingerprints is cut into shards by a hash: each shard's tree goes to those tasks that hold another shard of that bucket
-(a bounded piece is sent, never a table), so no group is gathered in one task and no link is lost.
-
-Defined results: a text without words (null, empty, white space) has fingerprint zero and is linked like any other.
-Repeated rows and exact copies share a fingerprint. A null doc_id keeps its fingerprint and takes part in linking.
+(a bounded piece is sent, never a table), so no group is gathered in one task and no link is lost. What belongs to a very
+common fingerprint, component or bucket is brought to its rows by a broadcast of bounded size (`spread_join`), never by
+dealing those rows out by that key.
+
+Defined results: a text without words (null, empty, white space) has fingerprint zero and is linked like any other; a text
+of any length is read whole, PART shingles at a time. Repeated rows and exact copies share a fingerprint. A null doc_id
+keeps its fingerprint and takes part in linking; a component without any doc_id has a null component_id. A bit that is set
+in exactly half the hashes is 0. `simhash_dedup` settles ties by doc_id (nulls last), then by a hash of the row.
 Extra columns are ignored by `simhash_groups` and pass through `simhash_dedup`. An empty table gives an empty table.
 """
 
@@ -24,9 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quillspark.llm.common import cut, fresh, map_slices, raw
-from quillspark.llm.components import components
+from quillspark.llm.components import components, hot_from, spread_join
 
-RADIUS, SHINGLE, SEED, SHARD = 4, 4, 42, 2048
+RADIUS, SHINGLE, SEED, SHARD, PART = 4, 4, 42, 2048, 65536
 #: First bit and width of each of six blocks.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 
@@ -43,8 +47,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
     n = len(starts)
     total = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # bounded memory for very long texts
-        part = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at : at + 65536], (ends[shingle - 1 :] - 1)[at : at + 65536].tolist())), np.uint64)
+    for at in range(0, n, PART):  # bounded memory for very long texts
+        part = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at : at + PART], (ends[shingle - 1 :] - 1)[at : at + PART].tolist())), np.uint64)
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
@@ -162,10 +166,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, shard: int = SH
         part = lambda first, width: F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
         keys.append(F.lit(n << 24).cast("long").bitwiseOR(F.shiftleft(part(p, w), 11)).bitwiseOR(part(q, v)))
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("bucket"))
-    hot = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard).select("bucket", F.ceil(F.col("n") / shard).cast("int").alias("shards"))
+    hot = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard).select("bucket", "n", F.ceil(F.col("n") / shard).cast("int").alias("shards"))
+    very = F.col("n") > max(shard, hot_from(len(keys) * distinct.count()))  # so few that they can be broadcast
+    often = F.broadcast(hot.filter(very).select("bucket", "shards"))
+    rest = rows.join(often.select("bucket"), "bucket", "left_anti").join(hot.filter(~very).select("bucket", "shards"), "bucket", "left")
     own = F.pmod(F.xxhash64("fp"), F.coalesce("shards", F.lit(1))).cast("int")
     spread = (
-        rows.join(hot, "bucket", "left")
+        rows.join(often, "bucket").unionByName(rest)
         .withColumn("own", own)
         .select("bucket", "fp", "own", F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1)).alias("other"))
         .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
@@ -176,13 +183,15 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, shard: int = SH
 def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that is reached over links of `radius` bits or fewer."""
     prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     joined = components(fingerprint_links(distinct.select("fp"), radius))
-    # Each fingerprint's component, then the least document of the component.
-    of = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    # Each fingerprint's component, then the least document of the component. Fingerprints without links are their own.
+    linked = cut(distinct.join(joined, distinct.fp == joined.node).select("fp", "least", "n", "component"))
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of = spread_join(linked.select("fp", "component", F.col("n").alias("copies")), least, "component", linked.count())
+    alone = distinct.join(joined, distinct.fp == joined.node, "left_anti").select("fp", F.col("least").alias("component_id"), "n")
+    named = cut(of.select("fp", "component_id", F.col("copies").alias("n")).unionByName(alone))
+    return spread_join(prints, named, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -7,8 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
-from quillspark.llm import quality, rollup, suffix
+from quillspark.llm import components, quality, rollup, simhash, suffix
 from quillspark.llm.bpe import Codec
 from quillspark.llm.common import Scratch
 from quillspark.llm.queries import vocabulary
@@ -137,3 +138,54 @@ def test_texts_over_eight_megabytes(spark):
 @pytest.mark.parametrize("how", [{"hot": 2}, {"hot": 2, "group": 3}, {"hot": 10, "group": 5, "piece": 160}])
 def test_hot_keys_are_dealt_out(spark, how):
     check_removal(spark, common_line(150), **how)
+
+
+def test_fingerprint_of_very_long_text():
+    rng = np.random.default_rng(2)
+    words = [f"Word{x}" for x in rng.integers(0, 1 << 30, simhash.PART * 2 + 7)]
+    low = [w.lower() for w in words]
+    total, n = np.zeros(64, np.int64), len(low) - 3
+    for i in range(n):
+        h = xxhash.xxh64_intdigest(" ".join(low[i : i + 4]), seed=42)
+        total += np.array([h >> b & 1 for b in range(64)]) if i % 4096 == -1 else np.unpackbits(np.array([h], "<u8").view(np.uint8), bitorder="little")
+    assert simhash.fingerprint("\n".join(words).encode()) == sum(1 << b for b in range(64) if 2 * total[b] > n)
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    """Stars and chains, with so low a bound that the hubs are hot; against a union of sets."""
+    monkeypatch.setattr(components, "LEAST_HOT", 5)
+    monkeypatch.setattr(components, "MOST_HOT", 20)
+    r = random.Random(8)
+    links = [(1000, i) for i in range(300)] + [(i, i + 1) for i in range(2000, 2040)] + [(5000 + i, 5000 + r.randrange(60)) for i in range(60)] + [(1000, 1000), (7, 1000), (None, 3), (3, None)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    want = {x: find(x) for x in up}
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups_of_very_common_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(components, "LEAST_HOT", 4)
+    monkeypatch.setattr(components, "MOST_HOT", 10)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(100 + i, text) for i in range(40)] + [(300 + i, "") for i in range(30)] + [(None, "")] * 3 + [(500 + i, f"lone words {i} " * 3) for i in range(20)] + [(None, "only without id " * 4)] * 2
+    got = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    fps = {}
+    for r in got:
+        fps.setdefault(r.fp, []).append(r)
+    for group in fps.values():
+        assert len({r.component_id for r in group}) == 1
+    of = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    assert all(of[100 + i] == 100 for i in range(40)) and all(of[300 + i] == 300 for i in range(30))
+    assert sum(r.component_id is None for r in got) == 2

@@ -1,21 +1,24 @@
 """Approximate nearest neighbours with shifted space-filling curves.
 
 Every vector gets a Hilbert key in each of several orderings: an own random projection to a few dimensions and an own
-shift. The rows are range-partitioned by (ordering, key) into parts of about PART_ROWS rows. A query goes to its own part
-of each ordering and to the neighbouring parts on either side; there it is compared with whole parts, and the lists from
-all orderings are merged and reranked by the exact inner product.
+shift. The rows are range-partitioned by (ordering, key) into parts of part_rows rows, PARTS an ordering at least. A query
+goes to its own part of each ordering and to the neighbouring parts on either side; there it is compared with whole parts,
+and the lists from all orderings are merged and reranked by the exact inner product.
 
-How many parts on either side is fitted on a bounded sample: SAMPLE queries are compared with all rows, and the window is
-the least one that finds TARGET of their neighbours. So clustered vectors get narrow windows; vectors without any structure
-get windows that hold much of the table, since no curve keeps their neighbours together.
+How many orderings and how many parts on either side is fitted on a bounded sample: SAMPLE queries are compared with all
+rows, and of the choices that find TARGET of their neighbours the one is taken that compares the least. So clustered
+vectors get narrow windows. Vectors without any structure have no ordering that keeps their neighbours together: the least
+is then one ordering with a window of all its parts, where each query meets each row once. The same rule decides at every
+size.
 
 A task holds one part and a bounded number of queries; queries, not parts, are copied. A group of equal vectors is parted
 by vec_id in the range order. Lists travel as one row for each query and part.
 
-Defined results: vectors that are null, empty, zero, of another length than the first valid one's, or that hold null or
-non-finite components take no part, neither as queries nor as candidates. Rows that share a vec_id count as one candidate,
-with the best score. Ties go to the smaller vec_id. With fewer candidates than k, all are returned. Extra columns are
-ignored. An empty table gives an empty table.
+Defined results: vectors that are null, empty, zero, of another length than most (of lengths as frequent, the greatest
+counts), or that hold null or non-finite components take no part, neither as queries nor as candidates. Rows that share a
+vec_id count as one candidate, with the best score, and none of them is a candidate for a query of that vec_id. Ties go to
+the smaller vec_id. With fewer candidates than k, all are returned. Extra columns are ignored. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from quillspark.llm.common import Scratch
 from quillspark.llm.hilbert import hilbert_keys, quantised
 
 ORDERINGS, DIMENSIONS, BITS = 4, 4, 15
-PART_ROWS, SAMPLE, TARGET = 4096, 64, 0.95
+PART_ROWS, PARTS, SAMPLE, TARGET = 4096, 32, 64, 0.95
 ASKED = 512  # queries compared with a part at once
 
 
@@ -41,8 +44,8 @@ def valid_vectors(rows: DataFrame) -> DataFrame:
     v = F.col("embedding")
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vec"), fine.alias("fine")).filter("vec_id is not null and fine").drop("fine")
-    first = own.select(F.size("vec").alias("n")).first()
-    return own.filter(F.size("vec") == (first["n"] if first else 0))
+    most = own.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return own.filter(F.size("vec") == (most["n"] if most else 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -166,11 +169,11 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
     return lists.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 
-def _window(ranged: DataFrame, parts: DataFrame, is_query: Column, k: int) -> int:
-    """Parts on either side that find TARGET of the neighbours of a bounded sample of queries."""
+def _window(ranged: DataFrame, parts: DataFrame, is_query: Column, k: int, orderings: int) -> tuple[int, int]:
+    """Orderings, and parts on either side, that find TARGET of the neighbours of a bounded sample of queries and compare the least."""
     sample = ranged.filter("ord = 0").filter(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", F.col("vec").cast("array<double>").alias("vec")).collect()
     if not sample:
-        return 0
+        return 1, 0
     asked_ids, asked = np.array([r[0] for r in sample]), np.array([r[1] for r in sample])
 
     def brute(batches):
@@ -185,12 +188,20 @@ def _window(ranged: DataFrame, parts: DataFrame, is_query: Column, k: int) -> in
     near = ranged.sparkSession.createDataFrame([(int(i),) for i in {r.vec_id for r in true} | set(asked_ids.tolist())], "vec_id long")
     for r in ranged.select("ord", "part", "vec_id").join(F.broadcast(near), "vec_id").join(parts, ["ord", "part"]).select("vec_id", "ord", "pos", "n_parts").collect():
         placed.setdefault(r.vec_id, {})[r.ord] = (r.pos, r.n_parts)
-    apart = []
-    for r in true:
-        a, b = placed[r.query_id], placed[r.vec_id]
-        apart.append(min(min(d := abs(a[o][0] - b[o][0]), a[o][1] - d) for o in a))
-    apart.sort()
-    return int(apart[min(len(apart) - 1, math.ceil(TARGET * len(apart)) - 1)]) if apart else 0
+    # How far apart a neighbour lies from its query: in each ordering (parts in a ring), then in the best of the first ones.
+    apart = np.array([[min(d := abs(placed[r.query_id][o][0] - placed[r.vec_id][o][0]), placed[r.query_id][o][1] - d) for o in range(orderings)] for r in true])
+    n_parts = np.array([placed[int(asked_ids[0])][o][1] for o in range(orderings)])
+    choices = []
+    for used in range(1, orderings + 1):
+        if len(apart):
+            near_enough = np.sort(apart[:, :used].min(axis=1))
+            h = int(near_enough[math.ceil(TARGET * len(near_enough)) - 1])
+        else:
+            h = 0
+        choices.append((float((np.minimum(2 * h + 1, n_parts[:used]) / n_parts[:used]).sum()), used, h))
+    whole = (1.0, 1, int(n_parts[0]))
+    share, used, h = min([*choices, whole])
+    return used, h
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 20, orderings: int = ORDERINGS, part_rows: int = PART_ROWS) -> DataFrame:
@@ -199,13 +210,14 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, orderings: int = ORDE
     scratch = Scratch(spark, "ann")
     own = valid_vectors(rows)
     keyed = own.mapInArrow(_keys(orderings), f"ord int, curve_key long, vec_id long, vec {own.schema['vec'].dataType.simpleString()}")
-    n_parts = max(1, math.ceil(own.count() * orderings / part_rows))
+    count = own.count()
+    n_parts = orderings * max(1, min(PARTS, count), math.ceil(count / part_rows))
     ranged = scratch.write(keyed.repartitionByRange(n_parts, "ord", "curve_key", "vec_id").withColumn("part", F.spark_partition_id()), "ranged")
     by = Window.partitionBy("ord")
     parts = ranged.groupBy("ord", "part").agg(F.count(F.lit(1)).alias("n")).select("ord", "part", (F.row_number().over(by.orderBy("part")) - 1).alias("pos"), F.count(F.lit(1)).over(by).cast("int").alias("n_parts"))
     parts = scratch.write(parts, "parts")
-    h = _window(ranged, parts, is_query, k)
-    placed = ranged.join(parts, ["ord", "part"])
+    used, h = _window(ranged, parts, is_query, k, orderings)
+    placed = ranged.filter(F.col("ord") < used).join(parts, ["ord", "part"])
     steps = F.when(F.lit(2 * h + 1) >= F.col("n_parts"), F.sequence(F.lit(0), F.col("n_parts") - 1)).otherwise(
         F.transform(F.sequence(F.col("pos") - h, F.col("pos") + h), lambda p: F.pmod(p, F.col("n_parts")))
     )

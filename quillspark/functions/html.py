@@ -19,14 +19,14 @@ class _Reader(HTMLParser):
         self.stack: list[tuple[str, str]] = []  # tag, role
         self.found = self.over = False
         self.blocks: list[list[str]] = []
+        self.going = False  # the last piece of text goes on
 
     def _has(self, role: str) -> bool:
         return any(r == role for _, r in self.stack)
 
     def handle_starttag(self, tag, attrs):
+        self.going = False
         if tag in VOID:
-            if tag == "br" and self._has("block"):
-                self.blocks[-1].append(" ")
             return
         classes = (dict(attrs).get("class") or "").split()
         role = ""
@@ -42,7 +42,11 @@ class _Reader(HTMLParser):
             role = "container"
         self.stack.append((tag, role))
 
+    def handle_comment(self, data):
+        self.going = False
+
     def handle_endtag(self, tag):
+        self.going = False
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
                 self.over |= any(r == "article" for _, r in self.stack[depth:])
@@ -51,17 +55,20 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data):
         if self._has("block") and not self._has("drop"):
+            if self.going:
+                data = self.blocks[-1].pop() + data
             self.blocks[-1].append(data)
+            self.going = True
 
 
 def act_text(page: str | None, container: str = "text_upd", article: str = "article", drop: tuple[str, ...] = ("note",), skip: tuple[str, ...] = ()) -> str | None:
-    """Blocks joined by line ends; None if the page has no such article."""
+    """Blocks joined by line ends, a block's pieces of text (between tags) by blanks; None if the page has no such article."""
     reader = _Reader(container, article, frozenset(drop))
     reader.feed(page or "")
     reader.close()
     if not reader.found:
         return None
-    lines = [" ".join("".join(b).split()) for b in reader.blocks]
+    lines = [" ".join(" ".join(b).split()) for b in reader.blocks]
     return "\n".join(x for x in lines if x and not x.startswith(tuple(skip) or "\0"))
 
 

@@ -84,8 +84,15 @@ def confidence_level(c: Column, names: tuple[str, str, str] = ("высокая",
     return F.when(c >= 0.75, names[0]).when(c >= 0.45, names[1]).otherwise(names[2])
 
 
-def experiment_id(rate: Column) -> Column:
-    return F.concat(F.lit("lr_"), F.replace(F.format_string("%.0e", rate), F.lit("-"), F.lit("m")))
+def experiment_id(rate: Column, share: Column | None = None) -> Column:
+    """lr_<rate>, and _data_<percent> where a share of the data is given."""
+    name = F.concat(F.lit("lr_"), F.replace(F.format_string("%.0e", rate), F.lit("-"), F.lit("m")))
+    return name if share is None else F.concat(name, F.lit("_data_"), (share * 100).cast("int").cast("string"))
+
+
+def percent(c: Column, digits: int = 1) -> Column:
+    """0.1234 as 12.3%."""
+    return F.format_string(f"%.{digits}f%%", c.cast("double") * 100)
 
 
 def clamped_index(c: Column, n: int) -> Column:

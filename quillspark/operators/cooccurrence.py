@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,31 +15,71 @@ def frequent(tokens: DataFrame, least: int = 3, column: str = "tokens") -> DataF
     return tokens.select(F.explode(column).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-def _pair(weight: float):
-    return lambda a, b: F.struct(a.alias("center"), b.alias("context"), F.lit(weight).alias("weight"))
+def _rare(docs: DataFrame, key: str, least: int, column: str) -> DataFrame:
+    """(key, rare): for each document the terms in it that are found less than `least` times in all.
 
-
-def _near(t: Column, window: int) -> Column:
-    """array<struct(center, context, weight)> of all ordered pairs within the window."""
-    parts = []
-    for d in range(1, window + 1):
-        m = F.greatest(F.size(t) - d, F.lit(0))
-        pair = _pair(1.0 / d)
-        left, right = F.slice(t, F.lit(1), m), F.slice(t, F.lit(d + 1), m)
-        parts += [F.zip_with(left, right, pair), F.zip_with(right, left, pair)]
-    return F.concat(*parts)
+    A term found once or twice lies in the least and the greatest document that holds it, so its count brings its places
+    along; only where `least` is greater than that do the documents' different terms meet the list of rare ones.
+    """
+    rows = docs.select(key, F.explode(column).alias("term"))
+    few = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("a"), F.max(key).alias("b")).filter(F.col("n") < least)
+    if least <= 3:
+        places = few.select("term", F.explode(F.array_distinct(F.array("a", "b"))).alias(key))
+    else:
+        places = rows.distinct().join(few.select("term"), "term")
+    return places.groupBy(key).agg(F.collect_list("term").alias("rare"))
+
+
+def _near_pairs(window: int, step: int = 200_000):
+    """Over (tokens, rare): (lo, hi, weight), the pairs of kept tokens within the window, in alphabetical order and summed
+    for `step` tokens at a time."""
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column("tokens")
+            size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = tokens.flatten()
+            if not len(flat):
+                continue
+            coded = flat.dictionary_encode()
+            terms = coded.dictionary
+            rank = np.empty(len(terms), np.int64)
+            order = pc.sort_indices(terms)
+            rank[order.to_numpy()] = np.arange(len(terms))
+            code, row = rank[coded.indices.to_numpy(zero_copy_only=False)], np.repeat(np.arange(len(size)), size)
+            terms, rare = terms.take(order), batch.column("rare")
+            gone = pc.index_in(rare.flatten(), terms).to_numpy(zero_copy_only=False)
+            if len(gone):
+                of = np.repeat(np.arange(len(size)), pc.fill_null(pc.list_value_length(rare), 0).to_numpy(zero_copy_only=False))
+                kept = ~np.isin(row * len(terms) + code, of * len(terms) + gone)
+                code, row = code[kept], row[kept]
+            for s in range(0, len(code), step):
+                keys, weights = [], []
+                for d in range(1, window + 1):
+                    e = min(s + step, len(code) - d)
+                    same = row[s:e] == row[s + d : e + d]
+                    a, b = code[s:e][same], code[s + d : e + d][same]
+                    keys.append(np.minimum(a, b) * len(terms) + np.maximum(a, b))
+                    weights.append(np.full(len(a), 1.0 / d))
+                key, of = np.unique(np.concatenate(keys), return_inverse=True)
+                if len(key):
+                    yield pa.RecordBatch.from_arrays([terms.take(pa.array(key // len(terms))), terms.take(pa.array(key % len(terms))), pa.array(np.bincount(of, np.concatenate(weights)))], names=["lo", "hi", "weight"])
+
+    return run
 
 
 def cooccurrence(docs: DataFrame, key: str = "doc_id", window: int = 5, least: int = 3, column: str = "tokens") -> DataFrame:
     """(center, context, weight): sums of 1 / distance over pairs of tokens in a document, counted after rare terms are gone.
 
-    Rare terms are taken out by one join on the term; the pairs are then made inside each document's array (no band join)
-    and summed with partial aggregation.
+    The places of rare terms are few, and only they meet the documents. Pairs are made and summed inside a batch of
+    documents, once for both directions, before they are shuffled.
     """
-    rows = docs.select(key, F.posexplode(column).alias("pos", "term")).join(frequent(docs, least, column).select("term"), "term")
-    tidy = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("kept"))
-    pairs = tidy.select(F.explode(_near(F.col("kept"), window)).alias("p")).select("p.*")
-    return pairs.groupBy("center", "context").agg(F.sum("weight").alias("weight"))
+    rows = docs.select(F.col(key), F.col(column).alias("tokens"))
+    found = rows.join(_rare(docs, key, least, column), key, "left").select("tokens", "rare").mapInArrow(_near_pairs(window), "lo string, hi string, weight double")
+    sums = found.groupBy("lo", "hi").agg(F.sum("weight").alias("weight"))
+    way = lambda a, b, k: F.struct(F.col(a).alias("center"), F.col(b).alias("context"), (F.col("weight") * k).alias("weight"))
+    both = F.when(F.col("lo") == F.col("hi"), F.array(way("lo", "hi", 2))).otherwise(F.array(way("lo", "hi", 1), way("hi", "lo", 1)))
+    return sums.select(F.explode(both).alias("p")).select("p.*")
 
 
 def train_glove(pairs: DataFrame, size: int = 100, epochs: int = 35, rate: float = 0.05, x_max: float = 100.0, power: float = 0.75, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +64,8 @@ def weighted_means(tokens: DataFrame, vectors: DataFrame, idf: DataFrame, size:
     tf = tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     rows = tf.join(vectors.select(F.col("word").alias("term"), "vector"), "term").join(idf, "term", "left")
     rows = rows.withColumn("k", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
-    sums = rows.groupBy(key).agg(*[F.sum(F.element_at(F.col("vector").cast("array<double>"), i + 1) * F.col("k")).alias(f"_s{i}") for i in range(size)])
-    v = gathered(size)
-    return sums.select(key, v.alias("vector")).filter(dot(F.col("vector"), F.col("vector")) > 0).select(key, unit(F.col("vector")).alias("vector"))
+    sums = rows.groupBy(key).agg(Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>")), F.col("k")).alias("v"))  # one aggregate of vectors
+    return sums.select(key, vector_to_array("v").alias("vector")).filter(dot(F.col("vector"), F.col("vector")) > 0).select(key, unit(F.col("vector")).alias("vector"))
 
 
 def pooled(chunks: DataFrame, size: int, key: str) -> DataFrame:

@@ -13,13 +13,12 @@ RATES, SHARES, RATE, SHARE = (1e-5, 3e-5, 5e-5), (0.25, 0.5), 3e-5, 1.0
 
 def grid(spark: SparkSession) -> DataFrame:
     """(experiment_id, learning_rate, fraction): rates with all data, and shares with the usual rate, each point once."""
-    rates = spark.createDataFrame([(r, SHARE) for r in RATES], "learning_rate double, fraction double").withColumn("experiment_id", experiment_id(F.col("learning_rate")))
-    shares = spark.createDataFrame([(RATE, s) for s in (*SHARES, SHARE)], "learning_rate double, fraction double").withColumn("experiment_id", F.concat(F.lit("data_"), (F.col("fraction") * 100).cast("int").cast("string")))
-    both = rates.withColumn("o", F.lit(0)).unionByName(shares.withColumn("o", F.lit(1)))
-    return both.groupBy("learning_rate", "fraction").agg(F.min_by("experiment_id", "o").alias("experiment_id")).select("experiment_id", "learning_rate", "fraction")
+    points = [(r, SHARE) for r in RATES] + [(RATE, s) for s in SHARES]
+    rows = spark.createDataFrame(points, "learning_rate double, fraction double")
+    return rows.select(experiment_id(F.col("learning_rate"), F.col("fraction")).alias("experiment_id"), "learning_rate", "fraction")
 
 
-def factor(history: DataFrame, name: str) -> DataFrame:
-    """Rows of controlled runs in which only one factor changes."""
-    own = history.filter(F.col("source") == "week4_controlled")
+def factor(history: DataFrame, name: str, source: str) -> DataFrame:
+    """Rows of the controlled runs (column source) in which only one factor changes."""
+    own = history.filter(F.col("source") == source)
     return own.filter(F.col("fraction") == SHARE).orderBy("learning_rate") if name == "learning_rate" else own.filter(F.col("learning_rate") == RATE).orderBy("fraction")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-TOKEN = r"\p{L}{2,}"
+TOKEN, PREFIX = r"\p{L}{2,}", 3
 
 
 def term_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = TOKEN, *keep: str) -> DataFrame:
@@ -29,8 +29,16 @@ def top_in_groups(df: DataFrame, group: str, by: Column, n: int, *ties: str, ran
 
 
 def vocabulary(terms: DataFrame) -> DataFrame:
-    """(term, feature_index): alphabetical, from 0. The window is over different terms only, not over tokens."""
-    return terms.select("term").distinct().withColumn("feature_index", F.row_number().over(Window.orderBy("term")) - 1)
+    """(term, feature_index): alphabetical, from 0.
+
+    A term's place is the number of terms with a smaller beginning of PREFIX characters and its place among those with the
+    same one, so no task has more than the terms of one beginning, or the list of beginnings.
+    """
+    rows = terms.select("term").distinct().withColumn("_head", F.substring("term", 1, PREFIX))
+    before = F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1))
+    heads = rows.groupBy("_head").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_head").orderBy("term")) - 1
+    return rows.join(heads, "_head").select("term", place.cast("int").alias("feature_index"))
 
 
 def cleaned_counters(tokens: DataFrame) -> DataFrame:

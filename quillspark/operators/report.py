@@ -47,11 +47,18 @@ def markdown(analysis: DataFrame) -> DataFrame:
     return analysis.select("source_file", F.concat(head, F.array_join(F.transform("articles", section), "\n"), tail, F.lit("\n")).alias("markdown"))
 
 
-def error_analysis(predictions: DataFrame, articles: DataFrame, train_counts: DataFrame, n: int = 10, profile: Profile = RUSSIAN, key: str = "article_id", label: str = "document_id", names: DataFrame | None = None) -> DataFrame:
-    """The n most confident wrong predictions with the likely cause of each."""
+def error_analysis(predictions: DataFrame, articles: DataFrame, train_counts: DataFrame, n: int = 10, profile: Profile = RUSSIAN, key: str = "article_id", label: str = "document_id", names: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """The n most confident wrong predictions with the likely cause of each.
+
+    A prediction without an article is an error; fewer than n wrong predictions are one if strict.
+    """
     median = train_counts.agg(F.median("n").alias("median_n"))
     wrong = predictions.filter(~F.col("correct")).orderBy(F.desc("confidence"), key).limit(n)
-    rows = wrong.join(articles.select(key, label, "text", "clean_word_count"), key).join(train_counts.select(label, F.col("n").alias("train_n")), label, "left").crossJoin(F.broadcast(median))  # one row
+    if strict and (found := wrong.count()) < n:
+        raise ValueError(f"there are only {found} wrong predictions, at least {n} are needed")
+    known = wrong.join(articles.select(key, label, "text", "clean_word_count", F.lit(True).alias("_known")), key, "left")
+    known = known.filter(F.coalesce("_known", F.raise_error(F.concat(F.lit("there is no article "), F.col(key).cast("string"))).cast("boolean"))).drop("_known")
+    rows = known.join(train_counts.select(label, F.col("n").alias("train_n")), label, "left").crossJoin(F.broadcast(median))  # one row
     cause = error_cause(F.col("text"), F.col("clean_word_count").cast("int"), F.col("train_n"), F.col("median_n"), profile)
     out = rows.withColumn("_c", cause).select(key, "true_label", "predicted_label", "confidence", F.col("_c.cause").alias("cause"), F.col("_c.explanation").alias("explanation"), F.col("clean_word_count").alias("word_count"), preview(F.col("text"), 420).alias("text_preview"))
     if names is not None:

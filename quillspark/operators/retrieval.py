@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quillspark.functions.vectors import dot, element_sums, unit
 
-BLOCK = 1024
+#: Rows that a task holds, queries that it compares with them at once, and tasks that a small table is dealt over.
+BLOCK, ASKED, TASKS = 32_768, 256, 64
 
 
 def search(rows: DataFrame, query: list[float], k: int, key: str, vector: str = "vector") -> DataFrame:
@@ -22,34 +23,69 @@ def search(rows: DataFrame, query: list[float], k: int, key: str, vector: str =
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), key)))  # k rows
 
 
+def _best(k: int):
+    """Over rows sorted by (part, asked): a part's rows, then those that ask for their neighbours in it, a batch at a time."""
+
+    def run(batches):
+        at, held, data, ids = None, [], None, None
+
+        def answers(queries, vectors):
+            for s in range(0, len(queries), ASKED):
+                q, near = queries[s : s + ASKED], np.round(vectors[s : s + ASKED] @ data.T, 6)
+                near[np.asarray(q)[:, None] == ids[None, :]] = -np.inf
+                found, scores = [], []
+                for row in near:
+                    floor = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                    place = np.flatnonzero((row >= floor) & np.isfinite(row))
+                    place = place[np.argsort(-row[place], kind="stable")][:k]  # ids ascend, so ties go to the smaller one
+                    found.append(ids[place])
+                    scores.append(row[place])
+                yield q, found, scores
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, asked = batch.column("part").to_numpy(), batch.column("asked").to_numpy()
+            keys = np.array(batch.column("k").to_pylist())
+            vectors = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (asked[1:] != asked[:-1])) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(part)]):
+                if part[s] != at:
+                    at, held, data = part[s], [], None
+                if not asked[s]:
+                    held.append((keys[s:e], vectors[s:e]))
+                    continue
+                if data is None:
+                    ids, data = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+                    order = np.argsort(ids, kind="stable")
+                    ids, data, held = ids[order], data[order], []
+                for q, found, scores in answers(keys[s:e], vectors[s:e]):
+                    yield pa.RecordBatch.from_pydict({"query": pa.array(q.tolist()), "ids": pa.array([x.tolist() for x in found]), "scores": pa.array([x.tolist() for x in scores])})
+
+    return run
+
+
 def neighbours(rows: DataFrame, k: int, key: str, vector: str = "vector") -> DataFrame:
-    """(query, rank, neighbour, score): each row's k nearest others by inner product, exact.
+    """(query, rank, neighbour, score): each row's k nearest others by inner product, exact; rows with unique keys and vectors of one length.
 
-    Rows are packed into blocks; pairs of blocks are multiplied as matrices and give only their k best for each query, so
-    N * N / BLOCK small rows are merged, never N * N. For tables where even that is too much there is the approximate
-    operator of the training-data part.
+    The rows lie in parts of BLOCK; each row is sent once to every part, where it is compared by matrix products, and gives
+    one list of k for each part. A small table's parts are compared in several tasks, a large one's in one each. Where
+    N * N products are too many there is the approximate operator of the training-data part.
     """
     n = rows.count()
-    blocks = max(1, math.ceil(n / BLOCK))
-    packed = rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).alias("r"))
-    packed = packed.groupBy("block").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    pairs = packed.select(F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).join(packed.select(F.col("block").alias("other"), F.col("rows").alias("b")), "other")
+    parts = max(1, math.ceil(n / BLOCK))
+    groups = max(1, min(math.ceil(n / 256), TASKS // parts))
     kind = rows.schema[key].dataType.simpleString()
-
-    def best(batches):
-        for pdf in batches:
-            for a, b in zip(pdf["a"], pdf["b"]):
-                ka, kb = [x["k"] for x in a], np.array([x["k"] for x in b])
-                s = np.round(np.array([x["v"] for x in a]) @ np.array([x["v"] for x in b]).T, 6)
-                for i, q in enumerate(ka):
-                    row = np.where(kb == q, -np.inf, s[i])
-                    order = np.lexsort((kb, -row))[:k]
-                    order = order[np.isfinite(row[order])]
-                    yield pd.DataFrame({"query": q, "neighbour": kb[order], "score": row[order]})
-
-    found = pairs.select("a", "b").mapInPandas(best, f"query {kind}, neighbour {kind}, score double")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "rank", "neighbour", "score")
+    own = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    data = own.select((F.pmod(F.xxhash64("k"), F.lit(parts)) * groups).alias("first"), F.lit(0).alias("asked"), "k", "v")
+    data = data.select(F.explode(F.sequence(F.col("first"), F.col("first") + groups - 1)).alias("part"), "asked", "k", "v")
+    asking = own.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), (F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(groups))).alias("g"), "k", "v")
+    asking = asking.select((F.col("p") * groups + F.col("g")).alias("part"), F.lit(1).alias("asked"), "k", "v")
+    met = data.union(asking).repartition("part").sortWithinPartitions("part", "asked").mapInArrow(_best(k), f"query {kind}, ids array<{kind}>, scores array<double>")
+    lists = F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("minus"), i.alias("id")))
+    merged = met.select("query", lists.alias("near")).groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    ranked = merged.select("query", F.posexplode("near").alias("place", "x"))
+    return ranked.select("query", (F.col("place") + 1).alias("rank"), F.col("x.id").alias("neighbour"), (F.lit(0.0) - F.col("x.minus")).alias("score"))
 
 
 def judged(found: DataFrame, classes: DataFrame, key: str, label: str, k: int) -> DataFrame:

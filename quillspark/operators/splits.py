@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -21,10 +24,15 @@ def balanced_pick(rows: DataFrame, group: str, size: str, key: str, low: int = 8
     return picked.drop("_rn", "_n")
 
 
-def first_per_class(rows: DataFrame, label: str, order: str, n: int) -> DataFrame:
-    """The first row of each class by `order`; of these the first n."""
+def first_per_class(rows: DataFrame, label: str, order: str, n: int, strict: bool = False) -> DataFrame:
+    """The first row of each class by `order`; of these the first n. Fewer than n classes are an error if strict."""
+    if n < 1:
+        raise ValueError("at least one row has to be picked")
     w = Window.partitionBy(label).orderBy(order)
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn").orderBy(order).limit(n)
+    firsts = rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn").orderBy(order).limit(n)
+    if strict and (found := firsts.count()) < n:
+        raise ValueError(f"there are only {found} classes")
+    return firsts
 
 
 def stratified_subset(rows: DataFrame, label: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
@@ -47,6 +55,29 @@ def stratified_split(rows: DataFrame, label: str, key: str, test_share: float =
 
 
 def fingerprint(rows: DataFrame, order: str, *columns: str) -> DataFrame:
-    """One row: SHA-256 over the rows' digests in order. Only digests meet in one place."""
-    each = rows.select(F.col(order).alias("o"), F.sha2(F.concat_ws("\0", *[F.col(c).cast("string") for c in columns]), 256).alias("d"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda x: x["d"]), ""), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+    """One row: SHA-256 of the columns' texts, row after row in order, and the number of rows.
+
+    A digest of a sequence is sequential by definition: the sorted rows stream through one task, in bounded memory. It is
+    meant for a few thousand texts; `content_fingerprint` is for any number.
+    """
+    text = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+
+    def digest(batches):
+        total, n = hashlib.sha256(), 0
+        for batch in batches:
+            n += batch.num_rows
+            for x in batch.column(0).to_pylist():
+                total.update(x.encode())
+        yield pa.RecordBatch.from_pydict({"fingerprint": [total.hexdigest()], "n": [n]})
+
+    return rows.select(text.alias("x"), F.col(order).alias("o")).repartition(1).sortWithinPartitions("o", "x").select("x").mapInArrow(digest, "fingerprint string, n long")
+
+
+def content_fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row: a digest of the set of rows, whatever their order (put the key among the columns), and their number.
+
+    The eight 32-bit words of each row's SHA-256 are summed, so rows are combined where they lie and nothing is gathered.
+    """
+    row = F.sha2(F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in columns]), 256)
+    sums = [F.coalesce(F.sum(F.conv(F.substring("d", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in range(8)]
+    return rows.select(row.alias("d")).agg(F.sha2(F.concat_ws(":", *sums), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+def by_document(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents dealt out by key: their texts move once, and counts and lengths by document need no more shuffle."""
+    return docs.repartition(key)
+
+
 def term_frequencies(rows: DataFrame, key: str = "doc_id", *keep: str) -> DataFrame:
     return rows.groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 

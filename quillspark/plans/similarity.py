@@ -44,7 +44,7 @@ def compare(texts: DataFrame, label: str, key: str, encoder: Encoder, encoder_si
 def cached_vectors(texts: DataFrame, encoder: Encoder, size: int, folder: str, model: str, key: str) -> tuple[DataFrame, bool]:
     """(key, vector), and whether they were found: Parquet tables named by model, number of texts and fingerprint."""
     spark = texts.sparkSession
-    mark = splits.fingerprint(texts, key, key, "text").first()
+    mark = splits.content_fingerprint(texts, key, "text").first()
     path = f"{folder.rstrip('/')}/{hashlib.sha256(f'{model}:{mark.n}:{mark.fingerprint}'.encode()).hexdigest()}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -47,7 +47,7 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _tf(spark, d):
-    docs = t(spark, d, "documents")
+    docs = tfidf.by_document(t(spark, d, "documents").select("doc_id", "source", "lang", "text"))
     return docs, tfidf.term_frequencies(frequency.term_rows(docs.select("doc_id", "source", "text"), "doc_id", "text", frequency.TOKEN, "source"), "doc_id", "source")
 
 
@@ -142,8 +142,8 @@ _BIGRAMS = (
 
 @query(f"WITH {_BIGRAMS} SELECT term, round(sum(w) / max(n), 6) AS score FROM w, nd GROUP BY term ORDER BY score DESC, term LIMIT 50")
 def tfidf_sublinear_bigram(spark, d):
-    docs = t(spark, d, "documents")
-    n = docs.count()
+    docs = tfidf.by_document(t(spark, d, "documents").select("doc_id", "text"))
+    n = t(spark, d, "documents").count()
     tokens = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}-]+"), F.lit(0)).alias("tokens"))
     tf = tfidf.term_frequencies(tfidf.with_bigrams(tokens))
     return frequency.top(tfidf.column_means(tfidf.weigh(tf, tfidf.fit(tf, n), sublinear=True), n).withColumn("score", F.round("score", 6)), "score", 50, "term")
@@ -320,7 +320,7 @@ def _word_vectors(spark, d, voc: DataFrame) -> DataFrame:
 
 
 @query(
-    f"WITH {FIT}, r AS (SELECT term, row_number() OVER (ORDER BY total DESC, term) - 1 AS vec_id FROM voc QUALIFY vec_id < 500), k AS (SELECT doc_id, vec_id, tf.tf * voc.idf AS k FROM tf JOIN r USING (term) JOIN voc USING (term)), "
+    f"WITH {FIT}, r AS (SELECT term, row_number() OVER (ORDER BY total DESC, term) - 1 AS vec_id FROM voc), k AS (SELECT doc_id, vec_id, tf.tf * voc.idf AS k FROM tf JOIN r USING (term) JOIN voc USING (term)), "
     + DIMS
     + ", s AS (SELECT doc_id, i, sum(x * k) AS s FROM k JOIN e USING (vec_id) GROUP BY ALL), n AS (SELECT doc_id, i, s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)) AS u FROM s) SELECT doc_id, round(sum(u * i), 4) AS moment, round(sum(u * u), 4) AS length FROM n GROUP BY doc_id"
 )
@@ -395,11 +395,19 @@ def stratified_split(spark, d):
     return splits.stratified_split(t(spark, d, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "source", "split")
 
 
-@query("SELECT sha256(string_agg(sha256(doc_id || chr(0) || text), '' ORDER BY doc_id)) AS fingerprint, count(*) AS n FROM documents")
+@query("SELECT sha256(string_agg(doc_id || text, '' ORDER BY doc_id)) AS fingerprint, count(*) AS n FROM documents")
 def fingerprint(spark, d):
     return splits.fingerprint(t(spark, d, "documents"), "doc_id", "doc_id", "text")
 
 
+_WORDS8 = ", ".join(f"sum(('0x' || substr(d, {8 * k + 1}, 8))::BIGINT)::HUGEINT::VARCHAR" for k in range(8))
+
+
+@query(f"WITH r AS (SELECT sha256(doc_id || chr(0) || text) AS d FROM documents) SELECT sha256(concat_ws(':', {_WORDS8})) AS fingerprint, count(*) AS n FROM r")
+def content_fingerprint(spark, d):
+    return splits.content_fingerprint(t(spark, d, "documents"), "doc_id", "text")
+
+
 # --- metrics -------------------------------------------------------------------------------------------------------
 
 
@@ -462,6 +470,9 @@ def weighted_loss(spark, d):
 _ERR = PRED + ", b AS (SELECT vec_id, truth, prediction, z, d.text, d.n FROM p JOIN (SELECT doc_id, text, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::INT AS n FROM documents) d ON d.doc_id = p.vec_id WHERE truth <> prediction ORDER BY z DESC, vec_id LIMIT 10), tc AS (SELECT label, count(*) AS c FROM embeddings GROUP BY label), md AS (SELECT median(c) AS m FROM tc)"
 
 
+_REFERENCES = " + ".join(f"contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '{x}')::INT" for x in RUSSIAN.references)
+
+
 def _errors(spark, d):
     docs = t(spark, d, "documents").withColumn("clean_word_count", n_words(F.col("text"))).withColumnRenamed("doc_id", "vec_id")
     e = t(spark, d, "embeddings").select("vec_id", "label")
@@ -476,7 +487,7 @@ def top_errors(spark, d):
 
 
 @query(
-    f"WITH {_ERR} SELECT CASE WHEN contains(text, chr(65533)) THEN '{CAUSES[0][0]}' WHEN n < 80 THEN '{CAUSES[1][0]}' WHEN c < m THEN '{CAUSES[3][0]}' ELSE '{CAUSES[4][0]}' END AS cause, count(*) AS n FROM b JOIN tc ON tc.label = truth, md GROUP BY cause"
+    f"WITH {_ERR} SELECT CASE WHEN contains(text, chr(65533)) OR contains(text, chr(0)) THEN '{CAUSES[0][0]}' WHEN n < 80 THEN '{CAUSES[1][0]}' WHEN {_REFERENCES} >= 2 THEN '{CAUSES[2][0]}' WHEN coalesce(c, 0) < m THEN '{CAUSES[3][0]}' ELSE '{CAUSES[4][0]}' END AS cause, count(*) AS n FROM b LEFT JOIN tc ON tc.label = truth, md GROUP BY cause"
 )
 def error_causes(spark, d):
     return report.cause_counts(_errors(spark, d))
@@ -511,7 +522,7 @@ def label_lookup(spark, d):
     return t(spark, d, "embeddings").join(names, "label", "left").select("vec_id", F.coalesce("label_name", F.col("label").cast("string")).alias("label_name"))
 
 
-@query("SELECT * FROM (VALUES ('lr_1em05', 1e-5, 1.0), ('lr_3em05', 3e-5, 1.0), ('lr_5em05', 5e-5, 1.0), ('data_25', 3e-5, 0.25), ('data_50', 3e-5, 0.5)) v(experiment_id, learning_rate, fraction)")
+@query("SELECT * FROM (VALUES ('lr_1em05_data_100', 1e-5, 1.0), ('lr_3em05_data_100', 3e-5, 1.0), ('lr_5em05_data_100', 5e-5, 1.0), ('lr_3em05_data_25', 3e-5, 0.25), ('lr_3em05_data_50', 3e-5, 0.5)) v(experiment_id, learning_rate, fraction)")
 def union_experiments(spark, d):
     return experiments.grid(spark)
 

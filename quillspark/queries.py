@@ -230,7 +230,17 @@ def _headed():
     return replace(GENERIC, heading=r"^(\p{Lu}\p{L}*)(?: (\p{L}+(?: \p{L}+)?))?\.$", markers=_MARKS)
 
 
-@query()
+#: Normal lines of a text, as a list.
+LINES_SQL = r"list_filter(list_transform(string_split_regex(replace(text, chr(160), ' '), '\r\n|[\n\r\x0b\x0c\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_HEAD = r"^(\p{Lu}\p{L}*)(?: (\p{L}+(?: \p{L}+)?))?\.$"
+SECTIONS = (
+    f"ls AS (SELECT doc_id, {LINES_SQL} AS l FROM documents), ln AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM ls), hd AS (SELECT *, regexp_matches(line, '{_HEAD}') AS head FROM ln), "
+    "gr AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS sec, bool_or(head) OVER (PARTITION BY doc_id) AS any_head FROM hd), "
+    f"sections AS (SELECT doc_id, CASE WHEN any_head THEN sec ELSE 1 END::INT AS ordinal, max(CASE WHEN head THEN regexp_extract(line, '{_HEAD}', 1) END) AS number, max(CASE WHEN head THEN regexp_extract(line, '{_HEAD}', 2) END) AS section_title, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head), '') AS text FROM gr WHERE sec > 0 OR NOT any_head GROUP BY doc_id, ordinal, any_head)"
+)
+
+
+@query(f"WITH {SECTIONS} SELECT * FROM sections")
 def document_sections(spark, d):
     return sections.sections(t(spark, d, "documents").select("doc_id", "text"), _headed())
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillspark import round_trips  # noqa: F401  registers its queries
 from quillspark.queries import QUERIES, SQL
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +33,19 @@ def ship(spark: SparkSession) -> SparkSession:
     if here not in paths:
         env["PYTHONPATH"] = os.pathsep.join(p for p in [here, *paths] if p)
     return spark
+
+
+def work_dir(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share; without spark.checkpoint.dir a local one, on a local master only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = getattr(work_dir, "own", None)
+        if found is None:
+            found = work_dir.own = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+    path = f"{found.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path

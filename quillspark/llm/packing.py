@@ -8,7 +8,8 @@ to the next power of two only.
 The ids are made once and written to the shared folder; sampling for the ranges reads only the keys. Ties on the key
 (copies, short texts) are parted by a hash of the document, so that a hot group spreads over range partitions.
 
-Defined results: a null or empty text is the end id alone, a piece of length 1. Rows with the same doc_id are packed as
+Defined results: a null or empty text is the end id alone, a piece of length 1. A text of any length is tokenized whole and
+cut into as many pieces as it needs. Rows with the same doc_id are packed as
 documents of their own. A null doc_id is packed like any other. Extra columns are ignored. An empty table gives none.
 """
 

@@ -12,8 +12,9 @@ payload that holds a magic was cut into chunks; only the chunks of such records
 
 Defined results: null html is an empty payload; a null url is an empty target; a null page_id is written as `null` and
 comes back as null, always as a response; rows with the same page_id and payload are responses alike. Line breaks in
-urls are percent-encoded. Extra columns are ignored. An empty table gives an empty table. A chain that breaks (a file
-that was cut off or damaged) ends there: records after the break are not returned.
+urls are percent-encoded. Extra columns are ignored. An empty table gives an empty table. A page of any length is one
+record; of one that holds magics, the chunks meet in one task. A chain that breaks (a file that was cut off or damaged) ends
+there: records after the break are not returned.
 """
 
 from __future__ import annotations
@@ -209,8 +210,11 @@ def _wanted(chunks: pa.Table, cut: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_table(rows, schema)] if rows else [], schema)
 
 
-def archive_round_trip(pages: DataFrame, compression: str = "gzip") -> DataFrame:
-    """Write the pages as WARC records in the shared folder, read the archives back, and return a row for each page."""
+def archive_round_trip(pages: DataFrame, compression: str = "none") -> DataFrame:
+    """Write the pages as WARC records in the shared folder, read the archives back, and return a row for each page.
+
+    Uncompressed archives are read in splits, so a split's first magic may stand inside a payload: that is what the chains are for.
+    """
     spark = pages.sparkSession
     path = Scratch(spark, "warc").path("archives")
     write_warc(pages, path, compression=compression)

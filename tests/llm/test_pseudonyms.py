@@ -173,3 +173,91 @@ def test_no_name_and_very_long_names(spark):
     got = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
     assert got[1].n_pii == 0 and got[2].n_email == 1 and got[2].text != rows[1][1] and len(got[2].text) == 20012
     assert all(got[k].text == rows[k - 1][1] for k in (1, 3, 4, 5))
+
+
+def mask(text):
+    """A text with its valid values replaced, in plain Python."""
+
+    def one(m):
+        m = m[0]
+        digits = regex.sub("[^A-Za-z0-9]", "", m)
+        if "@" in m:
+            return pseudonym("email", m)
+        if regex.fullmatch(r"\d+(\.\d+){3}", m):
+            return pseudonym("ip", m) if all(int(x) < 256 for x in m.split(".")) else m
+        if regex.fullmatch(r"\d{4}-\d\d-\d\d", m):
+            return pseudonym("date", m)
+        if digits.isdigit() and 13 <= len(digits) <= 19 and luhn(digits) % 10 == 0:
+            return pseudonym("card", m)
+        return m
+
+    return regex.sub(pii.ANY, one, text)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All five stages, each in plain Python: quality, groups of near copies, repeated strings, pseudonyms, ids of the pieces."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    tokenizers = pytest.importorskip("tokenizers")
+    import zlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quillspark.llm import quality
+    from quillspark.llm.queries import vocabulary
+
+    from .conftest import texts
+    from .test_documents import brute_fingerprint
+    from .test_odd_input import removed
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 8)))
+    passage = " ".join(word() for _ in range(40))
+    rows = list(enumerate(texts(21, 60)))
+    for i in range(100, 160):
+        body = [word() for _ in range(r.randint(60, 160))]
+        body[r.randrange(60)] = r.choice(["mail me@example.com", "10.20.30.40", "1999-05-17", "4845168114407329", "300.1.1.1", passage, passage])
+        rows.append((i, " ".join(body)))
+    rows += [(200 + k, rows[-1 - k][1]) for k in range(10)] + [(220, rows[-1][1].replace(" ", "  ", 1)), (230, None), (231, ""), (232, "x " * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text"), "fp": F.lit("clash"), "runs": F.lit("clash"), "key": F.lit("clash")})
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set(pii.KEY_SETTING, KEY)
+    try:
+        got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+    good = [(d, t) for d, t in rows if quality.measure([(t or "").encode()])["kept"][0]]
+    fps = {d: brute_fingerprint(t) for d, t in good}
+    group = {d: d for d in fps}
+    while True:  # least id over links, until nothing changes
+        new = {d: min(group[e] for e in fps if (fps[d] ^ fps[e]).bit_count() <= 4) for d in fps}
+        if new == group:
+            break
+        group = new
+    one = [(d, t) for d, t in good if group[d] == d]
+    left = {}
+    for d, (b, cov) in removed(one).items():
+        keep = bytearray(not c for c in cov)
+        for i, x in enumerate(b):  # characters stay whole
+            if x & 0xC0 == 0x80:
+                keep[i] = keep[i] or keep[i - 1]
+        for i in range(len(b) - 1, 0, -1):
+            if b[i] & 0xC0 == 0x80 and keep[i]:
+                keep[i - 1] = 1
+        left[d] = mask(bytes(x for x, k in zip(b, keep) if k).decode())
+    assert 40 < len(left) < len(rows) and any(left[d] != t for d, t in one)
+    t = tokenizers.Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    t.no_padding()
+    t.no_truncation()
+    want = {d: t.encode(x, add_special_tokens=False).ids + [2] for d, x in left.items()}
+    pieces = {}
+    for p in got:
+        pieces.setdefault(p.doc_id, []).append(p)
+    assert set(pieces) == set(want)
+    for d, ids in want.items():
+        at = 0
+        for p in sorted(pieces[d], key=lambda p: p.start):
+            assert (p.start, p.doc_tokens) == (at, len(ids)) and p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], "<u4").tobytes())
+            at += p.length
+        assert at == len(ids)

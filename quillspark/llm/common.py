@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def released_shuffles(spark: SparkSession):
+    """Shuffle files of what is written inside go when it is written, not when the driver collects garbage."""
+    setting, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", spark.conf
+    before = conf.get(setting, "false")
+    conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        conf.set(setting, before)
+
+
 class Scratch:
     """Tables written in the shared folder; columnar, so that later passes read only the columns they use.
 
@@ -61,13 +74,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        setting, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", self.spark.conf
-        before = conf.get(setting, "false")
-        conf.set(setting, "true")  # its shuffle files go when the table is written, not when the driver collects garbage
-        try:
+        with released_shuffles(self.spark):
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        finally:
-            conf.set(setting, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def _at(self, where: str):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch
+from quillspark.llm.common import Scratch, released_shuffles
 
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 REVISIT_BYTES, RECORDS_A_FILE = 1000, 10_000
@@ -43,6 +43,7 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     narrow = own.filter(F.col("n_bytes") >= least).select("page_id", "digest", "n_bytes")
     first = narrow.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     again = narrow.join(first, ["digest", "n_bytes"]).filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    again = Scratch(pages.sparkSession, "warc-revisits").write(again, "revisits")  # its size is known then: where it is small, payloads need not move
     return own.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "n_bytes", "refers_to")
 
 
@@ -68,7 +69,8 @@ def write_warc(pages: DataFrame, path: str, least: int = REVISIT_BYTES, compress
     ]
     rows = with_revisits(pages, least).withColumn("block", F.concat(http, F.when(again, F.lit("")).otherwise(F.col("payload"))))
     record = F.concat(F.lit(MAGIC.decode()), F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), F.col("block"))
-    rows.select(record.alias("value")).write.mode("overwrite").option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", compression).text(path)
+    with released_shuffles(pages.sparkSession):
+        rows.select(record.alias("value")).write.mode("overwrite").option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", compression).text(path)
 
 
 _FIELD = re.compile(rb"^([A-Za-z-]+): ?(.*?)\r?$", re.M)

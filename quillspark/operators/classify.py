@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import collapse, confidence_level, valid_input
+from quillspark.functions.text import confidence_level, valid_input
 from quillspark.functions.vectors import softmax
 from quillspark.operators.chunks import chunks
 from quillspark.operators.embeddings import pooled
@@ -63,10 +64,16 @@ def encode_documents(docs: DataFrame, encoder: Encoder, size: int, key: str = "d
     return pooled(encode_chunks(docs, encoder, size, key, most), size, key)
 
 
+def _ready(rows: DataFrame, vector: str) -> DataFrame:
+    """rows with _x, a vector of Spark ML; arrays are made dense, vectors stay as they are."""
+    made = isinstance(rows.schema[vector].dataType, VectorUDT)
+    return rows.withColumn("_x", F.col(vector) if made else array_to_vector(F.col(vector).cast("array<double>")))
+
+
 def fit_logistic(train: DataFrame, label: str, vector: str = "vector", c: float = 4.0, iterations: int = 3000) -> tuple[StringIndexerModel, LogisticRegressionModel]:
     """Multinomial regression with balanced weights; regularisation 1 / (C * sum of weights), as the usual library has it."""
     names = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
-    weighed = names.transform(train.withColumn("_x", array_to_vector(F.col(vector).cast("array<double>")))).join(class_weights(train, label).select(label, "weight"), label)
+    weighed = names.transform(_ready(train, vector)).join(class_weights(train, label).select(label, "weight"), label)
     lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial", regParam=1 / (c * train.count()), elasticNetParam=0.0, standardization=False, maxIter=iterations)
     return names, lr.fit(weighed)
 
@@ -76,7 +83,7 @@ def predict(rows: DataFrame, model: tuple[StringIndexerModel, LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
     names, lr = model
-    out = lr.transform(rows.withColumn("_x", array_to_vector(F.col(vector).cast("array<double>"))))
+    out = lr.transform(_ready(rows, vector))
     labels = F.array(*[F.lit(x) for x in names.labels])
     return out.withColumn("confidence", F.array_max(vector_to_array("probability"))).withColumn("prediction", F.element_at(labels, F.col("prediction").cast("int") + 1)).drop("_x", "rawPrediction", "probability")
 
@@ -90,7 +97,3 @@ def score_texts(texts: DataFrame, scorer: Encoder, labels: list[str], key: str =
     ranked = F.array_sort(F.zip_with(p, F.array(*[F.lit(x) for x in labels]), lambda x, name: F.struct((-x).alias("neg"), name.alias("label"))))
     rows = means.select(key, F.posexplode(ranked).alias("rank", "r"))
     return rows.select(key, "r.label", (-F.col("r.neg")).alias("probability"), (F.col("rank") + 1).alias("rank"), confidence_level(-F.col("r.neg")).alias("level"))
-
-
-def tidy(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("text", collapse(F.col("text")))

@@ -6,8 +6,10 @@ vocabulary side of the join is broadcast only when Spark finds it small.
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 
@@ -72,3 +74,17 @@ def distinctive(weights: DataFrame, doc_groups: DataFrame, group: str, n: int, k
 def idf_from_counts(tf: DataFrame, n_docs: int) -> DataFrame:
     """(term, idf) recovered from a bag of words."""
     return fit(tf, n_docs).select("term", "idf")
+
+
+def sparse_vectors(weights: DataFrame, index: DataFrame, docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    """(key, vector): a sparse vector of Spark ML for each row of docs, of length 0 where it has no weighted term.
+
+    Rows (term, w) and the index (term, feature_index) are written at `path` in the layout that vectors have there and read
+    back as vectors: the fits that follow pass over them many times, and no Python makes them.
+    """
+    size = index.count()
+    cells = weights.join(index, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("feature_index", "w"))).alias("cells"))
+    cells = docs.select(key).join(cells, key, "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<struct<feature_index:int,w:double>>")))
+    layout = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("cells.feature_index").alias("indices"), F.col("cells.w").alias("values"))
+    cells.select(key, layout.alias("vector")).write.parquet(path)
+    return docs.sparkSession.read.schema(T.StructType([docs.schema[key], T.StructField("vector", VectorUDT())])).parquet(path)

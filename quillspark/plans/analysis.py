@@ -11,6 +11,9 @@ from quillspark.operators import embeddings, frequency, retrieval, tfidf
 from quillspark.operators.sections import articles
 from quillspark.profiles import RUSSIAN, Profile
 
+#: Words of two letters or more, with inner hyphens.
+WORD = r"(?U)\b[а-яёa-z][а-яёa-z-]+\b"
+
 
 def preprocess(rows: DataFrame, profile: Profile = RUSSIAN, lemma=None, key: str = "article_id") -> DataFrame:
     """rows with clean_words, lemmas, stems (arrays of one length) and clean_word_count.
@@ -71,14 +74,43 @@ def embedding_analysis(processed: DataFrame, idf: DataFrame, size: int = 100, ep
     }
 
 
-def classification_experiment(processed: DataFrame, encoder, size: int, label: str = "document_id", key: str = "article_id", test_share: float = 0.25) -> dict[str, DataFrame]:
+def classification_experiment(processed: DataFrame, encoder, size: int, label: str = "document_id", key: str = "article_id", test_share: float = 0.25) -> dict:
     """Train and test split, document vectors of an encoder, balanced regression, and the metric tables."""
-    from quillspark.operators import metrics
-    from quillspark.operators.classify import encode_documents, fit_logistic, predict
+    from quillspark.operators.classify import encode_documents
     from quillspark.operators.splits import stratified_split
 
     split = stratified_split(processed, label, key, test_share).persist()
     vectors = encode_documents(split, encoder, size, key).join(split.select(key, label, "split"), key).persist()
-    predictions = predict(vectors.filter("split = 'test'"), fit_logistic(vectors.filter("split = 'train'"), label)).withColumnRenamed(label, "truth")
-    labels = processed.select(F.col(label).alias("label")).distinct()
-    return {"split": split, "predictions": predictions, "metrics": metrics.macro(predictions), "per_class": metrics.report(predictions, labels)}
+    return _arm(split, vectors, label)
+
+
+def _arm(split: DataFrame, vectors: DataFrame, label: str) -> dict:
+    from quillspark.operators import metrics
+    from quillspark.operators.classify import fit_logistic, predict
+
+    model = fit_logistic(vectors.filter("split = 'train'"), label)
+    predictions = predict(vectors.filter("split = 'test'"), model).withColumnRenamed(label, "truth")
+    labels = split.select(F.col(label).alias("label")).distinct()
+    return {"split": split, "model": model, "predictions": predictions, "metrics": metrics.macro(predictions), "per_class": metrics.report(predictions, labels)}
+
+
+def tfidf_experiment(processed: DataFrame, label: str = "document_id", key: str = "article_id", test_share: float = 0.25, pattern: str = WORD, min_df: int = 2, max_df: float = 0.98, max_features: int = 20_000) -> dict:
+    """The same split and regression over sublinear TF-IDF of words and pairs, whose vocabulary is that of the training part alone."""
+    from quillspark.operators.splits import stratified_split
+    from quillspark.session import work_dir
+
+    split = stratified_split(processed, label, key, test_share).persist()
+    tokens = split.select(key, F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)).alias("tokens"))
+    tf = tfidf.term_frequencies(tfidf.with_bigrams(tokens, key), key)
+    train = split.filter("split = 'train'").select(key)
+    vocabulary = tfidf.fit(tf.join(train, key, "left_semi"), train.count(), min_df, max_df, max_features).persist()
+    weights = tfidf.weigh(tf, vocabulary, key, sublinear=True)
+    vectors = tfidf.sparse_vectors(weights, frequency.vocabulary(vocabulary), split, work_dir(split.sparkSession, "tfidf"), key)
+    return _arm(split, vectors.join(split.select(key, label, "split"), key).persist(), label) | {"vocabulary": vocabulary, "vectors": vectors}
+
+
+def model_comparison(processed: DataFrame, encoder, size: int, label: str = "document_id", key: str = "article_id") -> DataFrame:
+    """A row of macro metrics for each of the two arms."""
+    arms = {"tfidf": tfidf_experiment(processed, label, key), "encoder": classification_experiment(processed, encoder, size, label, key)}
+    rows = [arm["metrics"].select(F.lit(name).alias("model"), "*") for name, arm in arms.items()]
+    return rows[0].unionByName(rows[1])

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import retrieval, splits, tfidf
 from quillspark.operators.classify import Encoder, encode_documents
-
-#: Words of two letters or more, with inner hyphens.
-WORD = r"(?U)\b[а-яёa-z][а-яёa-z-]+\b"
+from quillspark.plans.analysis import WORD
 
 
 def tfidf_vectors(texts: DataFrame, key: str, pattern: str = WORD) -> tuple[DataFrame, int]:

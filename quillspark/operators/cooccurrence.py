@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import work_dir
+
 
 def frequent(tokens: DataFrame, least: int = 3, column: str = "tokens") -> DataFrame:
     """(term, n) of terms found `least` times or more."""
@@ -82,34 +85,38 @@ def cooccurrence(docs: DataFrame, key: str = "doc_id", window: int = 5, least: i
     return sums.select(F.explode(both).alias("p")).select("p.*")
 
 
-def train_glove(pairs: DataFrame, size: int = 100, epochs: int = 35, rate: float = 0.05, x_max: float = 100.0, power: float = 0.75, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(word, vector) and (epoch, loss) by weighted least squares with AdaGrad.
-
-    Training is one sequential task on the table of pairs, whose size is bounded by the pruned vocabulary, not the corpus.
-    """
-    if pairs.isEmpty():
-        raise ValueError("there are no co-occurrences")
-
-    def train(frames):
-        ids, parts = {}, []  # numbers, not words, of all pairs are in memory
-        for f in frames:
-            places = [np.fromiter((ids.setdefault(w, len(ids)) for w in f[c]), np.int32, len(f)) for c in ("center", "context")]
-            parts.append((*places, f["weight"].to_numpy(float)))
-        names = sorted(ids)
-        place = np.empty(len(names), np.int32)
-        place[[ids[w] for w in names]] = np.arange(len(names), dtype=np.int32)
-        i, j, x = (np.concatenate(c) for c in zip(*parts))
-        i, j = place[i], place[j]
+#: Fixed layout of the tables that pass from one step of training to the next: side 0 are centers, 1 contexts, 2 losses (block: the epoch).
+_STATE = "side int, block int, word string, value array<double>, seen array<double>, loss double"
+
+
+def _passes(size: int, rate: float, x_max: float, power: float, seed: int, step: int, epochs: range):
+    """Trains one block of centers and one of contexts on the pairs between them, for some epochs."""
+
+    def descend(table, seen, at, d):
+        hit, of = np.unique(at, return_inverse=True)
+        move = np.zeros((len(hit), size + 1))
+        np.add.at(move, of, d)
+        table[hit] -= rate * move / np.sqrt(seen[hit])
+        seen[hit] += move**2
+
+    def train(key, pairs: pa.Table, state: pa.Table) -> pa.Table:
+        block, sides = key[0].as_py(), []
+        for side in (0, 1):
+            own = state.filter(pc.equal(state.column("side"), side)).sort_by("word")
+            at = own.column("block")[0].as_py() if own.num_rows else block
+            if own.num_rows and own.column("value").null_count:  # the last column is the bias
+                value, seen = (np.random.default_rng([seed, side, at]).random((own.num_rows, size + 1)) - 0.5) / size, np.ones((own.num_rows, size + 1))
+            else:
+                value, seen = (np.array(own.column(c).combine_chunks().flatten()).reshape(-1, size + 1).copy() for c in ("value", "seen"))
+            sides.append((at, own.column("word"), value, seen))
+        (_, centers, main, seen_main), (_, contexts, other, seen_other) = sides
+        i, j = (pc.index_in(pairs.column(c), value_set=w.combine_chunks()).to_numpy() for c, w in (("center", centers), ("context", contexts)))
+        x = pairs.column("weight").to_numpy()
         order = np.lexsort((j, i))
         i, j, x = i[order], j[order], x[order]
-        goal, weight = np.log(x), np.minimum(1.0, (x / x_max) ** power)
-        rng, n = np.random.default_rng(seed), len(names)
-        main, other = ((rng.random((n, size + 1)) - 0.5) / size for _ in range(2))  # the last column is the bias
-        seen_main, seen_other = np.ones((n, size + 1)), np.ones((n, size + 1))
-        losses = []
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            total = 0.0
+        goal, weight, losses = np.log(x), np.minimum(1.0, (x / x_max) ** power), []
+        for epoch in epochs:
+            order, total = np.random.default_rng([seed, 2, epoch, step, block]).permutation(len(x)), 0.0
             for part in np.array_split(order, max(1, len(order) // 256)):
                 a, b = i[part], j[part]
                 u, v = main[a], other[b]
@@ -117,15 +124,62 @@ def train_glove(pairs: DataFrame, size: int = 100, epochs: int = 35, rate: float
                 total += float((weight[part] * gap**2).sum())
                 pull = (weight[part] * gap)[:, None]
                 du, dv = np.hstack((pull * v[:, :-1], pull)), np.hstack((pull * u[:, :-1], pull))
-                for table, seen, at, d in ((main, seen_main, a, du), (other, seen_other, b, dv)):
-                    hit, of = np.unique(at, return_inverse=True)
-                    step = np.zeros((len(hit), size + 1))
-                    np.add.at(step, of, d)
-                    table[hit] -= rate * step / np.sqrt(seen[hit])
-                    seen[hit] += step**2
-            losses.append(total / len(x))
-        vectors = (main + other)[:, :-1]
-        yield pd.DataFrame({"word": [*names, *[None] * epochs], "vector": [*vectors.astype(np.float32).tolist(), *[None] * epochs], "epoch": [*[None] * n, *range(1, epochs + 1)], "loss": [*[None] * n, *losses]}).astype({"epoch": "Int32"})
-
-    out = pairs.select("center", "context", "weight").coalesce(1).mapInPandas(train, "word string, vector array<float>, epoch int, loss double").persist()
-    return out.filter("word is not null").select("word", "vector"), out.filter("epoch is not null").select("epoch", "loss")
+                descend(main, seen_main, a, du)
+                descend(other, seen_other, b, dv)
+            losses.append(total)
+        lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * (size + 1)), pa.array(m.ravel()))
+        none = lambda n, kind: pa.nulls(n, kind)
+        parts = [
+            [pa.array(np.full(len(v), side, np.int32)), pa.array(np.full(len(v), at, np.int32)), w.combine_chunks(), lists(v), lists(g), none(len(v), pa.float64())]
+            for side, (at, w, v, g) in enumerate(sides)
+        ]
+        n, vectors = len(losses), pa.list_(pa.float64())
+        parts.append([pa.array(np.full(n, 2, np.int32)), pa.array(np.array(epochs, np.int32) + 1), none(n, pa.string()), none(n, vectors), none(n, vectors), pa.array(losses, pa.float64())])
+        names = ["side", "block", "word", "value", "seen", "loss"]
+        return pa.concat_tables([pa.Table.from_arrays([c.cast(pa.string()) if k == 2 else c for k, c in enumerate(p)], names=names) for p in parts])
+
+    return train
+
+
+def train_glove(pairs: DataFrame, size: int = 100, epochs: int = 35, rate: float = 0.05, x_max: float = 100.0, power: float = 0.75, seed: int = 42, terms: int = 20_000, cells: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """(word, vector) and (epoch, loss) by weighted least squares with AdaGrad, trained by blocks.
+
+    Words are dealt by hash into B blocks of about `terms` words, so many that a block of centers and one of contexts share
+    about `cells` pairs. An epoch is B steps; in each, B tasks train block b of the centers with block b + step of the
+    contexts, so no two tasks touch the same vector, and what they trained is written in the shared folder. Every step's
+    numbers come from the seed, so a lost task is done again alike. One block's epochs need no exchange and stay in one task.
+    """
+    if pairs.isEmpty():
+        raise ValueError("there are no co-occurrences")
+    spark, folder = pairs.sparkSession, work_dir(pairs.sparkSession, "glove")
+    pairs.select("center", "context", "weight").write.parquet(folder + "/raw")
+    raw = spark.read.parquet(folder + "/raw")
+    words = raw.select(F.explode(F.array_distinct(F.array("center", "context"))).alias("word")).distinct()
+    n_pairs, n_words = raw.count(), words.count()
+    blocks = max(1, math.ceil(n_words / terms), math.ceil(math.sqrt(n_pairs / cells)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    cut = raw.withColumn("task", block("center")).withColumn("step", F.pmod(block("context") - F.col("task"), F.lit(blocks)))
+    cut.repartition(blocks, "task").write.partitionBy("step").parquet(folder + "/pairs")
+    met = spark.read.parquet(folder + "/pairs")
+    empty = [F.lit(None).cast(kind).alias(name) for name, kind in (("value", "array<double>"), ("seen", "array<double>"), ("loss", "double"))]
+    state = words.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), block("word").alias("block"), "word", *empty)
+    losses, last = [], None
+    for epoch in range(1 if blocks == 1 else epochs):
+        for step in range(blocks):
+            task = F.when(F.col("side") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - step, F.lit(blocks)))
+            train = _passes(size, rate, x_max, power, seed, step, range(epochs) if blocks == 1 else range(epoch, epoch + 1))
+            own = met.filter(F.col("step") == step).select("task", "center", "context", "weight")
+            path = f"{folder}/state-{epoch}-{step}"
+            own.groupBy("task").cogroup(state.filter("side < 2").withColumn("task", task).groupBy("task")).applyInArrow(train, _STATE).write.parquet(path)
+            state = spark.read.parquet(path)
+            losses += [(r.block, r.loss) for r in state.filter("side = 2").groupBy("block").agg(F.sum("loss").alias("loss")).collect()]  # a row for each epoch
+            if last:
+                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(last)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            last = path
+    sides = state.filter("side < 2").groupBy("word").agg(F.max_by("value", "side").alias("a"), F.min_by("value", "side").alias("b"))
+    vectors = sides.select("word", F.slice(F.zip_with("a", "b", lambda x, y: x + y), 1, size).cast("array<float>").alias("vector"))
+    total = {}
+    for epoch, loss in losses:
+        total[epoch] = total.get(epoch, 0.0) + loss
+    return vectors, spark.createDataFrame([(e, x / n_pairs) for e, x in sorted(total.items())], "epoch int, loss double")

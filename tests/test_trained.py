@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import __main__ as command
-from quillspark.operators import classify, context, embeddings, lemmas, tfidf
+from quillspark.operators import classify, context, cooccurrence, embeddings, lemmas, tfidf
 from quillspark.plans import analysis, search
 from quillspark.profiles import GENERIC
 from quillspark.sources import models
@@ -123,3 +123,29 @@ def test_commands_in_this_process(spark, tmp_path, capsys, monkeypatch):
     assert command.main([*arguments, "--least", "5"]) == 0 and command.main(arguments) == 1
     summary = json.loads(spark.read.text(str(tmp_path / "out" / "corpus_summary.json")).first()[0])
     assert summary["document_count"] == 1 and summary["total_words"] == 7 and summary["documents"][0]["id"] == "x"
+
+
+def glove_pairs(spark, n=24):
+    rng = np.random.default_rng(1)
+    return spark.createDataFrame([(f"w{a}", f"w{b}", float(rng.integers(1, 30)) * (3 if (a < n // 2) == (b < n // 2) else 1)) for a in range(n) for b in range(n) if a != b], "center string, context string, weight double")
+
+
+def test_glove_by_blocks(spark):
+    """Any number of blocks learns all words, each epoch sees each pair once, and a second run gives the same numbers."""
+    pairs = glove_pairs(spark)
+    one = cooccurrence.train_glove(pairs, size=8, epochs=6)
+    many = cooccurrence.train_glove(pairs, size=8, epochs=6, terms=7)
+    again = cooccurrence.train_glove(pairs, size=8, epochs=6, terms=7)
+    for words, losses in (one, many):
+        got = {r.word: np.array(r.vector) for r in words.collect()}
+        assert set(got) == {f"w{i}" for i in range(24)} and all(len(v) == 8 and np.isfinite(v).all() for v in got.values())
+        loss = [r.loss for r in losses.orderBy("epoch").collect()]
+        assert len(loss) == 6 and loss[-1] < loss[0]
+    assert {r.word: r.vector for r in many[0].collect()} == {r.word: r.vector for r in again[0].collect()}
+    assert many[1].collect() == again[1].collect()
+    first = [f[1].filter("epoch = 1").first().loss for f in (one, many)]
+    assert abs(first[0] - first[1]) < 0.35 * first[0]  # the same sum over the same pairs, in another order
+    first_loss_without_training = [cooccurrence.train_glove(pairs, size=8, epochs=1, rate=0.0, terms=k)[1].first().loss for k in (7, 100)]
+    x = np.array([r.weight for r in pairs.collect()])
+    expected = float((np.minimum(1, (x / 100) ** 0.75) * np.log(x) ** 2).mean())
+    assert all(abs(v - expected) < 0.05 * expected for v in first_loss_without_training)

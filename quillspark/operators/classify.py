@@ -70,11 +70,11 @@ def _ready(rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumn("_x", F.col(vector) if made else array_to_vector(F.col(vector).cast("array<double>")))
 
 
-def fit_logistic(train: DataFrame, label: str, vector: str = "vector", c: float = 4.0, iterations: int = 3000) -> tuple[StringIndexerModel, LogisticRegressionModel]:
+def fit_logistic(train: DataFrame, label: str, vector: str = "vector", c: float = 4.0, iterations: int = 3000, tolerance: float = 1e-6) -> tuple[StringIndexerModel, LogisticRegressionModel]:
     """Multinomial regression with balanced weights; regularisation 1 / (C * sum of weights), as the usual library has it."""
     names = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
     weighed = names.transform(_ready(train, vector)).join(class_weights(train, label).select(label, "weight"), label)
-    lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial", regParam=1 / (c * train.count()), elasticNetParam=0.0, standardization=False, maxIter=iterations)
+    lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial", regParam=1 / (c * train.count()), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=tolerance)
     return names, lr.fit(weighed)
 
 

@@ -84,18 +84,22 @@ def classification_experiment(processed: DataFrame, encoder, size: int, label: s
     return _arm(split, vectors, label)
 
 
-def _arm(split: DataFrame, vectors: DataFrame, label: str) -> dict:
+def _arm(split: DataFrame, vectors: DataFrame, label: str, tolerance: float = 1e-6) -> dict:
     from quillspark.operators import metrics
     from quillspark.operators.classify import fit_logistic, predict
 
-    model = fit_logistic(vectors.filter("split = 'train'"), label)
+    model = fit_logistic(vectors.filter("split = 'train'"), label, tolerance=tolerance)
     predictions = predict(vectors.filter("split = 'test'"), model).withColumnRenamed(label, "truth")
     labels = split.select(F.col(label).alias("label")).distinct()
     return {"split": split, "model": model, "predictions": predictions, "metrics": metrics.macro(predictions), "per_class": metrics.report(predictions, labels)}
 
 
-def tfidf_experiment(processed: DataFrame, label: str = "document_id", key: str = "article_id", test_share: float = 0.25, pattern: str = WORD, min_df: int = 2, max_df: float = 0.98, max_features: int = 20_000) -> dict:
-    """The same split and regression over sublinear TF-IDF of words and pairs, whose vocabulary is that of the training part alone."""
+def tfidf_experiment(processed: DataFrame, label: str = "document_id", key: str = "article_id", test_share: float = 0.25, pattern: str = WORD, min_df: int = 2, max_df: float = 0.98, max_features: int = 20_000, tolerance: float = 1e-4) -> dict:
+    """The same split and regression over sublinear TF-IDF of words and pairs, whose vocabulary is that of the training part alone.
+
+    Each step of the regression is a pass over the data, and thousands of features take hundreds of steps to the last digits;
+    `tolerance` ends them when the loss changes by less than that share.
+    """
     from quillspark.operators.splits import stratified_split
     from quillspark.session import work_dir
 
@@ -106,7 +110,7 @@ def tfidf_experiment(processed: DataFrame, label: str = "document_id", key: str
     vocabulary = tfidf.fit(tf.join(train, key, "left_semi"), train.count(), min_df, max_df, max_features).persist()
     weights = tfidf.weigh(tf, vocabulary, key, sublinear=True)
     vectors = tfidf.sparse_vectors(weights, frequency.vocabulary(vocabulary), split, work_dir(split.sparkSession, "tfidf"), key)
-    return _arm(split, vectors.join(split.select(key, label, "split"), key).persist(), label) | {"vocabulary": vocabulary, "vectors": vectors}
+    return _arm(split, vectors.join(split.select(key, label, "split"), key).persist(), label, tolerance) | {"vocabulary": vocabulary, "vectors": vectors}
 
 
 def model_comparison(processed: DataFrame, encoder, size: int, label: str = "document_id", key: str = "article_id") -> DataFrame:

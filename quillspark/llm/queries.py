@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm import piecewise
 from quillspark.llm.ann import search
 from quillspark.llm.bpe import round_trip
 from quillspark.llm.common import table
@@ -15,7 +16,9 @@ from quillspark.llm.quality import MAX_COVERED, MAX_DUP_LINE_CHARS, MAX_DUP_LINE
 from quillspark.llm.rollup import maintained_totals
 from quillspark.llm.simhash import simhash_groups
 from quillspark.llm.suffix import removal_report
+from quillspark.llm.trie import prefix_trie
 from quillspark.llm.warc import archive_round_trip
+from quillspark.llm.whitening import fit, whiten
 
 
 def vocabulary(name: str) -> str:
@@ -66,8 +69,23 @@ def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten(vectors, fit(vectors))
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piecewise.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_prefix_doubling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hilbert_packing, op2_warc_boundary_chain, op3_shifted_curves, op4_suffix_grouping, op5_feistel_pseudonyms, op6_boosted_dom, op7_repetition_rules, op8_simhash_bktree, op9_delta_rollups, op10_segment_tree_bpe)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op2_warc_boundary_chain, op3_shifted_curves, op4_suffix_grouping, op5_feistel_pseudonyms, op6_boosted_dom, op7_repetition_rules, op8_simhash_bktree, op9_delta_rollups, op10_segment_tree_bpe, op11_lanczos_whitening, op12_piece_bpe, op13_prefix_doubling_trie)}
 
 
 WARC_SQL = """
@@ -133,6 +151,22 @@ SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, co
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
 """
 
+#: CRC-32 bit by bit, lowest first; prefixes as lists of turns; a node's subtree by comparing prefixes.
+TRIE_SQL = r"""
+WITH t AS (SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(turn ORDER BY pos) AS turns, CAST(conv_id AS VARCHAR) AS dec FROM t GROUP BY conv_id),
+b AS (SELECT conv_id, turns, list_transform(range(8 * length(dec)), lambda i: (ascii(dec[(i // 8 + 1)::INT]) >> (i % 8)::INT) & 1) AS bits FROM c),
+h AS (SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(bits, lambda x: x::BIGINT)), lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS h FROM b),
+r AS (SELECT h.conv_id, coalesce(o.turns[1:h.h::INT], []) || h.turns[(h.h + 1)::INT:] AS turns FROM h LEFT JOIN c AS o ON o.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, len(turns) AS size, d AS depth, turns[1:d::INT] AS prefix FROM r, LATERAL (SELECT unnest(range(len(turns) + 1)) AS d)),
+n AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) = depth AS leaf, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '') AS ends,
+    CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(prefix[-1].t, '[^\x20\x09-\x0D]+')) END AS words FROM p GROUP BY depth, prefix),
+k AS (SELECT depth - 1 AS depth, prefix[:-2] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+s AS (SELECT p.depth, p.prefix, sum(u.leaf::INT) AS n_leaves, sum((u.n_convs - 1) * u.words) AS saved FROM (SELECT DISTINCT v.depth, v.prefix, u.conv_id, u.depth AS below FROM p AS v JOIN n AS u ON u.conv_id = v.conv_id AND u.depth >= v.depth) AS p JOIN n AS u ON u.conv_id = p.conv_id AND u.depth = p.below GROUP BY p.depth, p.prefix)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN s ON s.depth = n.depth AND s.prefix = n.prefix LEFT JOIN k ON k.depth = n.depth AND k.prefix = n.prefix LEFT JOIN n AS m ON m.depth = n.depth - 1 AND m.prefix = n.prefix[:-2] AND n.depth > 0
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_boundary_chain": WARC_SQL, "op4_suffix_grouping": REMOVAL_SQL, "op7_repetition_rules": REPETITION_SQL}
+    return {"op2_warc_boundary_chain": WARC_SQL, "op4_suffix_grouping": REMOVAL_SQL, "op7_repetition_rules": REPETITION_SQL, "op13_prefix_doubling_trie": TRIE_SQL}

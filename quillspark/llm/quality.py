@@ -2,20 +2,20 @@
 
 Rolling hashes of several n-gram lengths, in numpy, measure how many characters of a text lie inside duplicated
 n-grams; lines are compared by their bytes. A word's hash mixes its bytes as two 64-bit numbers (up to 16
-bytes) or is its XXH3 (longer words). The hashes of n words in a row are rolled on from those of fewer; they are
-polynomials of at most ten well mixed numbers, so they do not share the collisions of polynomials over long strings. Everything is per document, so the operator is one narrow stage without a shuffle: skew
-between sources or documents that are copies of each other do not matter.
+bytes) or is its XXH3 (longer words). The hashes of n words in a row are rolled on from those of fewer. Hashes only bring
+together what may be equal: words with one hash are compared by their bytes, n-grams with one hash by their words, and where
+two differ all of the batch are numbered by their contents instead. Everything is per document, so the operator is one narrow
+stage without a shuffle: skew between sources or documents that are copies of each other do not matter.
 
 Defined results: a null or empty text, or one of white space only, has zero in all counts and fails the base rules (it
 has under 50 words). Repeated rows and ties give repeated results. Extra columns pass through `quality_filter` and are
 ignored by `repetition`. An empty table gives an empty table. A text longer than a batch is a batch of its own; memory
-is then about 30 bytes for each of its bytes. Lines and words that differ are never taken for equal by their length,
-period or alphabet.
+is then about 30 bytes for each of its bytes. Lines, words and n-grams that differ are never taken for equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,15 +84,39 @@ def gram_hashes(words: np.ndarray, sizes: tuple[int, ...]) -> Iterator[np.ndarra
         yield _mix(out)
 
 
-def _found_again(keys: np.ndarray) -> np.ndarray:
-    """Whether the key is found twice or more."""
+def told_apart(keys: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray], value: Callable[[int], object]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of which equal ones stand for equal things, and whether each is found twice or more.
+
+    Neighbours among equal keys are compared by `same`; if any two differ (texts can be made so), all are numbered by `value`.
+    """
     again = np.zeros(len(keys), bool)
-    if len(keys) > 1:
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
-    return again
+    if len(keys) < 2:
+        return keys, again
+    order = np.argsort(keys, kind="stable")
+    at = np.flatnonzero(keys[order][1:] == keys[order][:-1])
+    a, b = order[at], order[at + 1]
+    if len(at) and not same(a, b).all():
+        numbers: dict = {}
+        exact = np.array([numbers.setdefault(value(i), len(numbers)) for i in range(len(keys))], np.uint64)
+        return exact, (np.bincount(exact.astype(np.int64)) > 1)[exact.astype(np.int64)]
+    again[a] = again[b] = True
+    return keys, again
+
+
+def word_ids(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number of each word data[start:end]; words have the same one if and only if their bytes are equal."""
+    size = end - start
+    eight = np.ndarray(len(data) + 8, "<u8", data + b"\0" * 16, strides=(1,))
+
+    def same(a, b):
+        low = [eight[start[x]] & _HOLDS[np.minimum(size[x], 8)] for x in (a, b)]
+        high = [eight[start[x] + np.minimum(size[x], 8)] & _HOLDS[np.clip(size[x] - 8, 0, 8)] for x in (a, b)]
+        equal = (low[0] == low[1]) & (high[0] == high[1]) & (size[a] == size[b])
+        for k in np.flatnonzero(equal & (size[a] > 16)).tolist():
+            equal[k] = data[start[a[k]] : end[a[k]]] == data[start[b[k]] : end[b[k]]]
+        return equal
+
+    return told_apart(word_hashes(data, start, end), same, lambda i: data[start[i] : end[i]])[0]
 
 
 def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -117,13 +141,15 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     count = lambda rows, weights=None: np.bincount(rows, weights, n)
     out = {"n_words": count(owner), "word_chars": (chars[offsets[1:]] - chars[offsets[:-1]]).astype(np.int64), "n_symbols": each(_SYMBOL[buf])}
     punct, letters = each(_PUNCT[buf]), prefix(_LETTER[buf])
-    words, word_chars = word_hashes(data, start, end), chars[end] - chars[start]
+    words, word_chars = word_ids(data, start, end), chars[end] - chars[start]
     salt = _mix(np.arange(1, n + 1).astype(np.uint64) * _BASE)
     sizes = (3, *MAX_COVERED)
     for size, hashes in zip(sizes, gram_hashes(words, sizes)):
         first = np.arange(max(0, len(words) - size + 1))
         first = first[owner[first] == owner[first + size - 1]] if len(first) else first
-        again = _found_again(hashes[first] ^ salt[owner[first]])
+        at = np.arange(size)
+        same = lambda a, b: (owner[first[a]] == owner[first[b]]) & (words[first[a][:, None] + at] == words[first[b][:, None] + at]).all(axis=1)  # noqa: E731, B023
+        _, again = told_apart(hashes[first] ^ salt[owner[first]], same, lambda i: (owner[first[i]], words[first[i] : first[i] + size].tobytes()))  # noqa: B023
         covered = np.zeros(len(words), bool)
         for k in range(size):
             covered[first[again] + k] = True

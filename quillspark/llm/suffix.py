@@ -18,9 +18,9 @@ be compared:
    a fingerprint of the string, with a minimum that is combined before the shuffle.
 
 Places, not texts, are shuffled in 1 and 2; documents are shuffled by doc_id to fetch contexts and to cut the repeats out.
-What is not compared by bytes (contexts of different batches, strings of different pieces) is compared by a 64-bit hash of
-the anchor and 128 bits of NH hashes whose key is drawn for each run: for any two different texts, made against it or not,
-NH agrees with a probability of 2**-64 at most.
+What is not compared by bytes (anchors, contexts of different batches, strings of different pieces) is compared by 128 bits of
+NH hashes whose key is drawn for each run: for any two different strings, made against it or not, they agree with a
+probability of 2**-64 at most. The anchors' public 64-bit hash only brings contexts together.
 
 Defined results: a null or empty text has no bytes and nothing removed. Rows with a null doc_id are returned whole and are
 never anyone's earlier copy. Repeated rows (same doc_id and text) are one document. Of equal strings the one with the
@@ -394,18 +394,31 @@ def _sift(group: int):
 # --- contexts and repeats ------------------------------------------------------------------------------------------
 
 
-SIDES = "key long, piece long, doc_id long, pos long, left binary, right binary"
+SIDES = "key long, piece long, doc_id long, pos long, left binary, right binary, a1 long, a2 long"
 
 
-def _fetch(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    columns: list[list] = [[], [], [], [], [], []]
-    for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text")), batch.column("wanted").to_pylist()):
-        for w in wanted:
-            p = w["pos"]
-            for c, v in zip(columns, (w["key"], w["piece"], doc, p, text[max(0, p - SIDE) : p], text[p + K : p + LENGTH])):
-                c.append(v)
-    types = [pa.int64()] * 4 + [pa.binary()] * 2
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in SIDES.split(", ")])
+def anchor_hashes(anchors_: list[bytes], secret: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two keyed hashes of each anchor's K bytes: equal keys alone do not make anchors equal."""
+    wide = -(-K // 8) * 8
+    words = np.frombuffer(b"".join(a.ljust(wide, b"\0") for a in anchors_), "<u8").reshape(len(anchors_), -1)
+    return tuple(x.view(np.int64) for x in nh(words, secret))
+
+
+def _fetch(secret: int):
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        columns: list[list] = [[], [], [], [], [], []]
+        held: list[bytes] = []
+        for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text")), batch.column("wanted").to_pylist()):
+            for w in wanted:
+                p = w["pos"]
+                held.append(text[p : p + K])
+                for c, v in zip(columns, (w["key"], w["piece"], doc, p, text[max(0, p - SIDE) : p], text[p + K : p + LENGTH])):
+                    c.append(v)
+        types = [pa.int64()] * 4 + [pa.binary()] * 2
+        hashes = anchor_hashes(held, secret) if held else ([], [])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), *(pa.array(h, pa.int64()) for h in hashes)], names=[x.split()[0] for x in SIDES.split(", ")])
+
+    return rows
 
 
 def _symbols(groups: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -431,20 +444,20 @@ REPEATS = "doc_id long, lo long, hi long, f1 long, f2 long"
 
 
 def _prints(windows: np.ndarray, at: np.ndarray, keys: np.ndarray, secret: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit fingerprints (the second is never 0) of each string: its symbols and its anchor's key."""
+    """Two 64-bit fingerprints (the second is never 0) of each string: its symbols and its anchor's two hashes."""
     f1, f2 = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
     for s in range(0, len(at), 65536):
         symbols = np.zeros((len(at[s : s + 65536]), -(-WINDOW // 4) * 4), np.int16)
         symbols[:, :WINDOW] = windows[at[s : s + 65536]]
         one, two = nh(symbols.view(np.uint64), secret)
-        key = keys[s : s + 65536]
-        f1[s : s + 65536] = _mix(one ^ key).view(np.int64)
-        f2[s : s + 65536] = (_mix(two + key) | np.uint64(1)).view(np.int64)
+        k1, k2 = keys[0, s : s + 65536], keys[1, s : s + 65536]
+        f1[s : s + 65536] = _mix(one + _mix(k1)).view(np.int64)
+        f2[s : s + 65536] = (_mix(two + _mix(k2)) | np.uint64(1)).view(np.int64)
     return f1, f2
 
 
-def repeats(groups: list[tuple], full_size: int = GROUP, secret: int = 0) -> pa.RecordBatch | None:
-    """Groups (docs, places, left, right, key) in order of document and place: what repeats an earlier context's string.
+def repeats(groups: list[tuple], secret: int = 0) -> pa.RecordBatch | None:
+    """Groups (docs, places, left, right, hashes of the anchor, whether full) in order of document and place: what repeats an earlier context's string.
 
     For full groups, which may have other pieces, also a row with a fingerprint for each first or single string.
     """
@@ -481,10 +494,10 @@ def repeats(groups: list[tuple], full_size: int = GROUP, secret: int = 0) -> pa.
         cut = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
         none = np.zeros(len(cut), np.int64)
         out.append((doc[w[cut]], np.minimum.reduceat(b, cut), np.maximum.reduceat(b, cut) + LENGTH, none, none))
-    full = np.array([len(g[0]) >= full_size or g[5] > 0 for g in groups])[group_of[who]] & ~later
+    full = np.array([g[5] for g in groups])[group_of[who]] & ~later
     if full.any():
         at = order[full]
-        keys = np.array([g[4] for g in groups], np.int64).view(np.uint64)[group_of[who[full]]]
+        keys = np.array([g[4] for g in groups], np.int64).view(np.uint64).T[:, group_of[who[full]]]
         out.append((doc[who[full]], begin[full], begin[full] + LENGTH, *_prints(windows, at, keys, secret)))
     if not out:
         return None
@@ -502,19 +515,21 @@ def _compare(group: int, secret: int):
         def close():
             if not members or len(members) == 1 and open_[1] == 0:
                 return
-            g = (np.array([m[0] for m in members]), np.array([m[1] for m in members]), [m[2] for m in members], [m[3] for m in members], open_[0], open_[1])
-            b = len(members).bit_length()
-            bins.setdefault(b, []).append(g)
-            filled[b] = filled.get(b, 0) + len(members)
+            by_anchor: dict = {}  # one, unless different anchors share a key
+            for m in members:
+                by_anchor.setdefault(m[4:], []).append(m)
+            for hashes, own in by_anchor.items():
+                b = len(own).bit_length()
+                bins.setdefault(b, []).append((np.array([m[0] for m in own]), np.array([m[1] for m in own]), [m[2] for m in own], [m[3] for m in own], hashes, len(members) >= group or open_[1] > 0))
+                filled[b] = filled.get(b, 0) + len(own)
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 if row[:2] != open_:
                     close()
-                    b = len(members).bit_length()
-                    if filled.get(b, 0) > 20000:
-                        made = repeats(bins.pop(b), group, secret)
-                        filled[b] = 0
+                    for b in [b for b, n in filled.items() if n > 20000]:
+                        made = repeats(bins.pop(b), secret)
+                        del filled[b]
                         if made is not None:
                             yield made
                     open_, members = row[:2], []
@@ -522,7 +537,7 @@ def _compare(group: int, secret: int):
                     members.append(row[2:])
         close()
         for b in list(bins):
-            made = repeats(bins.pop(b), group, secret)
+            made = repeats(bins.pop(b), secret)
             if made is not None:
                 yield made
 
@@ -531,7 +546,7 @@ def _compare(group: int, secret: int):
 
 def _repeats(docs: DataFrame, found: DataFrame, scratch: Scratch, group: int, secret: int) -> DataFrame:
     wanted = found.filter("not covered").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key", "piece")).alias("wanted"))
-    sides = map_slices(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted"), "text", SIDES, _fetch)
+    sides = map_slices(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted"), "text", SIDES, _fetch(secret))
     return scratch.write(sides.repartition("key", "piece").sortWithinPartitions("key", "piece", "doc_id", "pos").mapInArrow(_compare(group, secret), REPEATS), "repeats")
 
 

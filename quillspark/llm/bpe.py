@@ -6,7 +6,8 @@ pair itself, the one before, and the one that went), each a walk to the root, un
 pretokens of a batch go through their trees together in numpy (a row for each); a long pretoken has a tree of its own.
 
 Results equal those of the tokenizers library for files of the two kinds used here: byte-level BPE with the usual
-pattern, and lower-cased BPE with word ends. Special tokens' strings in a text get their own ids, as in the library.
+pattern (whose letters are those of the installed `regex`), and lower-cased BPE with word ends (see `letters`; the tests compare
+all code points of both). Special tokens' strings in a text get their own ids, as in the library.
 
 Defined results: a null or empty text has no ids and decodes to the empty text. Texts of any length are handled whole;
 repeated rows give repeated results; extra columns are ignored; an empty table gives an empty table. Caches of encoded
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import CACHES, map_slices
+from quillspark.llm.letters import Finder, lowered
 
 WORDS, TOKENS = 800_000, 400_000
 #: Pretokens of up to this many symbols share trees in numpy.
@@ -196,7 +198,7 @@ class Codec:
         self._split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         if self.lower:
             self._mark = "\n"  # stands between stretches that are cut up together; none holds it
-            self._find = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+|\n").findall
+            self._find = Finder(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
         else:
             self._mark = "\0"
             pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|{_SPACE}+(?!\P{{White_Space}})|{_SPACE}+"
@@ -216,7 +218,7 @@ class Codec:
     def _normal(self, word: str) -> str:
         if word.isascii():
             return word.lower()
-        return unicodedata.normalize("NFC", word).replace("\u03a3", "\u03c3").lower()  # sigma does not look at its place
+        return lowered(unicodedata.normalize("NFC", word).replace("\u03a3", "\u03c3"))  # sigma does not look at its place
 
     def _parts(self, word: str) -> list:
         """Pretokens of a stretch without special tokens, and the ids (int) of special tokens."""

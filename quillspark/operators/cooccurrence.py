@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators import rotation
 from quillspark.session import work_dir
 
 
@@ -28,14 +27,17 @@ def _rare(docs: DataFrame, key: str, least: int, column: str) -> DataFrame:
     few = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("a"), F.max(key).alias("b")).filter(F.col("n") < least)
     if least <= 3:
         places = few.select("term", F.explode(F.array_distinct(F.array("a", "b"))).alias(key))
+        # the least and the greatest key pass over documents without one
+        places = places.union(rows.filter(F.col(key).isNull()).distinct().join(few.select("term"), "term").select("term", key))
     else:
         places = rows.distinct().join(few.select("term"), "term")
     return places.groupBy(key).agg(F.collect_list("term").alias("rare"))
 
 
-def _near_pairs(window: int, step: int = 200_000):
-    """Over (tokens, rare): (lo, hi, weight), the pairs of kept tokens within the window, in alphabetical order and summed
-    for `step` tokens at a time."""
+def _near_pairs(weights: list[float], step: int = 200_000):
+    """Over (tokens, rare): (lo, hi, weight), the pairs of kept tokens at most so far apart as there are weights, in alphabetical
+    order and summed for `step` tokens at a time."""
+    window = len(weights)
 
     def run(batches):
         for batch in batches:
@@ -57,129 +59,82 @@ def _near_pairs(window: int, step: int = 200_000):
                 kept = ~np.isin(row * len(terms) + code, of * len(terms) + gone)
                 code, row = code[kept], row[kept]
             for s in range(0, len(code), step):
-                keys, weights = [], []
+                keys, sums = [], []
                 for d in range(1, window + 1):
                     e = min(s + step, len(code) - d)
                     same = row[s:e] == row[s + d : e + d]
                     a, b = code[s:e][same], code[s + d : e + d][same]
                     keys.append(np.minimum(a, b) * len(terms) + np.maximum(a, b))
-                    weights.append(np.full(len(a), 1.0 / d))
+                    sums.append(np.full(len(a), weights[d - 1]))
                 key, of = np.unique(np.concatenate(keys), return_inverse=True)
                 if len(key):
-                    yield pa.RecordBatch.from_arrays([terms.take(pa.array(key // len(terms))), terms.take(pa.array(key % len(terms))), pa.array(np.bincount(of, np.concatenate(weights)))], names=["lo", "hi", "weight"])
+                    yield pa.RecordBatch.from_arrays([terms.take(pa.array(key // len(terms))), terms.take(pa.array(key % len(terms))), pa.array(np.bincount(of, np.concatenate(sums)))], names=["lo", "hi", "weight"])
 
     return run
 
 
-def cooccurrence(docs: DataFrame, key: str = "doc_id", window: int = 5, least: int = 3, column: str = "tokens") -> DataFrame:
-    """(center, context, weight): sums of 1 / distance over pairs of tokens in a document, counted after rare terms are gone.
+def cooccurrence(docs: DataFrame, key: str = "doc_id", window: int = 5, least: int = 3, column: str = "tokens", weights: list[float] | None = None) -> DataFrame:
+    """(center, context, weight): sums over pairs of tokens in a document, counted after rare terms are gone; `weights` by
+    distance, 1 / distance if not given.
 
     The places of rare terms are few, and only they meet the documents. Pairs are made and summed inside a batch of
     documents, once for both directions, before they are shuffled.
     """
     rows = docs.select(F.col(key), F.col(column).alias("tokens"))
-    found = rows.join(_rare(docs, key, least, column), key, "left").select("tokens", "rare").mapInArrow(_near_pairs(window), "lo string, hi string, weight double")
+    rare = _rare(docs, key, least, column).withColumnRenamed(key, "_key")
+    near = _near_pairs(weights or [1.0 / d for d in range(1, window + 1)])
+    found = rows.join(rare, F.col(key).eqNullSafe(F.col("_key")), "left").select("tokens", "rare").mapInArrow(near, "lo string, hi string, weight double")
     sums = found.groupBy("lo", "hi").agg(F.sum("weight").alias("weight"))
     way = lambda a, b, k: F.struct(F.col(a).alias("center"), F.col(b).alias("context"), (F.col("weight") * k).alias("weight"))
     both = F.when(F.col("lo") == F.col("hi"), F.array(way("lo", "hi", 2))).otherwise(F.array(way("lo", "hi", 1), way("hi", "lo", 1)))
     return sums.select(F.explode(both).alias("p")).select("p.*")
 
 
-#: Fixed layout of the tables that pass from one step of training to the next: side 0 are centers, 1 contexts, 2 losses (block: the epoch).
-_STATE = "side int, block int, word string, value array<double>, seen array<double>, loss double"
-
-
-def _passes(size: int, rate: float, x_max: float, power: float, seed: int, step: int, epochs: range):
-    """Trains one block of centers and one of contexts on the pairs between them, for some epochs."""
-
-    def descend(table, seen, at, d):
-        hit, of = np.unique(at, return_inverse=True)
-        move = np.zeros((len(hit), size + 1))
-        np.add.at(move, of, d)
-        table[hit] -= rate * move / np.sqrt(seen[hit])
-        seen[hit] += move**2
-
-    def train(key, pairs: pa.Table, state: pa.Table) -> pa.Table:
-        block, sides = key[0].as_py(), []
-        for side in (0, 1):
-            own = state.filter(pc.equal(state.column("side"), side)).sort_by("word")
-            at = own.column("block")[0].as_py() if own.num_rows else block
-            if own.num_rows and own.column("value").null_count:  # the last column is the bias
-                value, seen = (np.random.default_rng([seed, side, at]).random((own.num_rows, size + 1)) - 0.5) / size, np.ones((own.num_rows, size + 1))
-            else:
-                value, seen = (np.array(own.column(c).combine_chunks().flatten()).reshape(-1, size + 1).copy() for c in ("value", "seen"))
-            sides.append((at, own.column("word"), value, seen))
-        (_, centers, main, seen_main), (_, contexts, other, seen_other) = sides
-        i, j = (pc.index_in(pairs.column(c), value_set=w.combine_chunks()).to_numpy() for c, w in (("center", centers), ("context", contexts)))
-        x = pairs.column("weight").to_numpy()
-        order = np.lexsort((j, i))
-        i, j, x = i[order], j[order], x[order]
-        goal, weight, losses = np.log(x), np.minimum(1.0, (x / x_max) ** power), []
-        for epoch in epochs:
-            order, total = np.random.default_rng([seed, 2, epoch, step, block]).permutation(len(x)), 0.0
-            for part in np.array_split(order, max(1, len(order) // 256)):
-                a, b = i[part], j[part]
-                u, v = main[a], other[b]
-                gap = (u[:, :-1] * v[:, :-1]).sum(1) + u[:, -1] + v[:, -1] - goal[part]
-                total += float((weight[part] * gap**2).sum())
-                pull = (weight[part] * gap)[:, None]
-                du, dv = np.hstack((pull * v[:, :-1], pull)), np.hstack((pull * u[:, :-1], pull))
-                descend(main, seen_main, a, du)
-                descend(other, seen_other, b, dv)
-            losses.append(total)
-        lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * (size + 1)), pa.array(m.ravel()))
-        none = lambda n, kind: pa.nulls(n, kind)
-        parts = [
-            [pa.array(np.full(len(v), side, np.int32)), pa.array(np.full(len(v), at, np.int32)), w.combine_chunks(), lists(v), lists(g), none(len(v), pa.float64())]
-            for side, (at, w, v, g) in enumerate(sides)
-        ]
-        n, vectors = len(losses), pa.list_(pa.float64())
-        parts.append([pa.array(np.full(n, 2, np.int32)), pa.array(np.array(epochs, np.int32) + 1), none(n, pa.string()), none(n, vectors), none(n, vectors), pa.array(losses, pa.float64())])
-        names = ["side", "block", "word", "value", "seen", "loss"]
-        return pa.concat_tables([pa.Table.from_arrays([c.cast(pa.string()) if k == 2 else c for k, c in enumerate(p)], names=names) for p in parts])
+def glove_pass(rate: float, x_max: float, power: float, batch: int = 4096, run: int = 8):
+    """One pass of weighted least squares: 0.5 * min(1, (x / x_max)^power) * (u.v + biases - log x)^2, summed; the last column is the bias."""
+
+    def train(i, j, x, main, other, _, rng):
+        goal, weight, total = np.log(x), np.minimum(1.0, (x / x_max) ** power).astype(np.float32), 0.0
+        for part in rotation.batches(i, run, batch, rng):
+            a, b = i[part], j[part]
+            u, v = main.value.take(a, axis=0), other.value.take(b, axis=0)
+            gap = np.einsum("pd,pd->p", u[:, :-1], v[:, :-1]) + u[:, -1] + v[:, -1] - goal[part]
+            pull = weight[part] * gap
+            total += 0.5 * float(pull @ gap)
+            u[:, -1] = v[:, -1] = 1.0  # now what a bias is multiplied by
+            u *= pull[:, None]
+            v *= pull[:, None]
+            rotation.descend(main.value, main.seen, a, v, rate)
+            rotation.descend(other.value, other.seen, b, u, rate)
+        return total
 
     return train
 
 
-def train_glove(pairs: DataFrame, size: int = 100, epochs: int = 35, rate: float = 0.05, x_max: float = 100.0, power: float = 0.75, seed: int = 42, terms: int = 20_000, cells: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
-    """(word, vector) and (epoch, loss) by weighted least squares with AdaGrad, trained by blocks.
+def train_glove(
+    pairs: DataFrame, size: int = 100, epochs: int = 35, rate: float = 0.05, x_max: float = 100.0, power: float = 0.75, seed: int = 42, terms: int = 20_000, least_blocks: int = 4, passes: int = 7, chain: int = 8
+) -> tuple[DataFrame, DataFrame]:
+    """(word, vector) and (epoch, loss): sums of word and context vectors by weighted least squares with AdaGrad, trained by rotating blocks.
 
-    Words are dealt by hash into B blocks of about `terms` words, so many that a block of centers and one of contexts share
-    about `cells` pairs. An epoch is B steps; in each, B tasks train block b of the centers with block b + step of the
-    contexts, so no two tasks touch the same vector, and what they trained is written in the shared folder. Every step's
-    numbers come from the seed, so a lost task is done again alike. One block's epochs need no exchange and stay in one task.
+    Vectors start normal with deviation 0.5 / size and biases at 0. An epoch's loss is the mean over all pairs, taken as they are trained.
     """
     if pairs.isEmpty():
         raise ValueError("there are no co-occurrences")
     spark, folder = pairs.sparkSession, work_dir(pairs.sparkSession, "glove")
     pairs.select("center", "context", "weight").write.parquet(folder + "/raw")
     raw = spark.read.parquet(folder + "/raw")
-    words = raw.select(F.explode(F.array_distinct(F.array("center", "context"))).alias("word")).distinct()
-    n_pairs, n_words = raw.count(), words.count()
-    blocks = max(1, math.ceil(n_words / terms), math.ceil(math.sqrt(n_pairs / cells)))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    cut = raw.withColumn("task", block("center")).withColumn("step", F.pmod(block("context") - F.col("task"), F.lit(blocks)))
-    cut.repartition(blocks, "task").write.partitionBy("step").parquet(folder + "/pairs")
-    met = spark.read.parquet(folder + "/pairs")
-    empty = [F.lit(None).cast(kind).alias(name) for name, kind in (("value", "array<double>"), ("seen", "array<double>"), ("loss", "double"))]
-    state = words.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), block("word").alias("block"), "word", *empty)
-    losses, last = [], None
-    for epoch in range(1 if blocks == 1 else epochs):
-        for step in range(blocks):
-            task = F.when(F.col("side") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - step, F.lit(blocks)))
-            train = _passes(size, rate, x_max, power, seed, step, range(epochs) if blocks == 1 else range(epoch, epoch + 1))
-            own = met.filter(F.col("step") == step).select("task", "center", "context", "weight")
-            path = f"{folder}/state-{epoch}-{step}"
-            own.groupBy("task").cogroup(state.filter("side < 2").withColumn("task", task).groupBy("task")).applyInArrow(train, _STATE).write.parquet(path)
-            state = spark.read.parquet(path)
-            losses += [(r.block, r.loss) for r in state.filter("side = 2").groupBy("block").agg(F.sum("loss").alias("loss")).collect()]  # a row for each epoch
-            if last:
-                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(last)
-                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-            last = path
-    sides = state.filter("side < 2").groupBy("word").agg(F.max_by("value", "side").alias("a"), F.min_by("value", "side").alias("b"))
-    vectors = sides.select("word", F.slice(F.zip_with("a", "b", lambda x, y: x + y), 1, size).cast("array<float>").alias("vector"))
-    total = {}
-    for epoch, loss in losses:
-        total[epoch] = total.get(epoch, 0.0) + loss
-    return vectors, spark.createDataFrame([(e, x / n_pairs) for e, x in sorted(total.items())], "epoch int, loss double")
+    words = raw.select(F.explode(F.array("center", "context")).alias("word")).distinct()
+    blocks = rotation.blocks_for(words.count(), terms, least_blocks)
+    rotation.deal(words, blocks).write.parquet(folder + "/words")
+    places = spark.read.parquet(folder + "/words")
+
+    def make(side, block, part, rng, n):
+        vectors = rng.normal(0, 0.5 / size, (n, size + 1)).astype(np.float32)
+        vectors[:, -1] = 0
+        return vectors
+
+    state = rotation.rotate(places, raw, rotation.start(places), folder, blocks, size + 1, make, glove_pass(rate, x_max, power), epochs, passes, seed, chain)
+    a, b = (rotation.vectors_of(state, places, side, size + 1) for side in (0, 1))
+    both = a.join(b.withColumnRenamed("vector", "other"), "word")
+    vectors = both.select("word", F.slice(F.zip_with("vector", "other", lambda x, y: x + y), 1, size).alias("vector"))
+    return vectors, rotation.losses_of(state, epochs, raw.count())

@@ -42,9 +42,9 @@ def subword_vectors(words: DataFrame, table: DataFrame, size: int, n_buckets: in
 
 
 def most_similar(vectors: DataFrame, query: Column, n: int, exclude: tuple = (), key: str = "word", vector: str = "vector") -> DataFrame:
-    """(key, cosine): the n nearest of the rows to one query vector; a TakeOrdered, without a join."""
+    """(key, cosine to four digits): the n nearest of the rows to one query vector by the full cosine; a TakeOrdered, without a join."""
     rows = vectors.filter(~F.col(key).isin(*exclude)) if exclude else vectors
-    return rows.select(key, F.round(cosine(F.col(vector), query), 4).alias("cosine")).orderBy(F.desc("cosine"), key).limit(n)
+    return rows.select(key, cosine(F.col(vector), query).alias("cosine")).orderBy(F.desc("cosine"), key).limit(n).withColumn("cosine", F.round("cosine", 4))
 
 
 def combined(vectors: DataFrame, plus: list, minus: list, key: str = "word", vector: str = "vector") -> list[float] | None:

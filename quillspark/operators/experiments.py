@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import experiment_id
 
 #: Learning rates with all data, shares with one rate, and the shared point.
-RATES, SHARES, RATE, SHARE = (1e-5, 3e-5, 5e-5), (0.25, 0.5), 3e-5, 1.0
+RATES, SHARES, RATE, SHARE = (1e-5, 3e-5, 5e-5), (0.5, 0.75), 3e-5, 1.0
 
 
 def grid(spark: SparkSession) -> DataFrame:

@@ -17,10 +17,10 @@ BLOCK, ASKED, TASKS = 32_768, 256, 64
 
 
 def search(rows: DataFrame, query: list[float], k: int, key: str, vector: str = "vector") -> DataFrame:
-    """The rows with the k greatest inner products with one query vector, ranked from 1."""
+    """The rows with the k greatest inner products with one query vector, ranked from 1 by the full product; `similarity` shows four digits."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    best = rows.withColumn("similarity", F.round(dot(F.col(vector), q), 4)).orderBy(F.desc("similarity"), key).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), key)))  # k rows
+    best = rows.withColumn("similarity", dot(F.col(vector), q)).orderBy(F.desc("similarity"), key).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), key))).withColumn("similarity", F.round("similarity", 4))  # k rows
 
 
 def _best(k: int):
@@ -31,15 +31,18 @@ def _best(k: int):
 
         def answers(queries, vectors):
             for s in range(0, len(queries), ASKED):
-                q, near = queries[s : s + ASKED], np.round(vectors[s : s + ASKED] @ data.T, 6)
+                q, asked = queries[s : s + ASKED], vectors[s : s + ASKED]
+                near = asked @ data.T
                 near[np.asarray(q)[:, None] == ids[None, :]] = -np.inf
+                slack = 1e-9 * (1 + np.abs(near[np.isfinite(near)]).max(initial=0))
                 found, scores = [], []
-                for row in near:
+                for row, own in zip(near, asked):
                     floor = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                    place = np.flatnonzero((row >= floor) & np.isfinite(row))
-                    place = place[np.argsort(-row[place], kind="stable")][:k]  # ids ascend, so ties go to the smaller one
-                    found.append(ids[place])
-                    scores.append(row[place])
+                    place = np.flatnonzero((row >= floor - slack) & np.isfinite(row))
+                    exact = (data[place] * own).sum(axis=1)  # the same order of sums for each pair, which a matrix product has not
+                    first = np.argsort(-exact, kind="stable")[:k]  # ids ascend, so ties go to the smaller one
+                    found.append(ids[place[first]])
+                    scores.append(exact[first])
                 yield q, found, scores
 
         for batch in batches:
@@ -66,7 +69,7 @@ def _best(k: int):
 
 
 def neighbours(rows: DataFrame, k: int, key: str, vector: str = "vector") -> DataFrame:
-    """(query, rank, neighbour, score): each row's k nearest others by inner product, exact; rows with unique keys and vectors of one length.
+    """(query, rank, neighbour, score to six digits): each row's k nearest others by the full inner product; rows with unique keys and vectors of one length.
 
     The rows lie in parts of BLOCK; each row is sent once to every part, where it is compared by matrix products, and gives
     one list of k for each part. A small table's parts are compared in several tasks, a large one's in one each. Where
@@ -85,7 +88,7 @@ def neighbours(rows: DataFrame, k: int, key: str, vector: str = "vector") -> Dat
     lists = F.zip_with("ids", "scores", lambda i, s: F.struct((-s).alias("minus"), i.alias("id")))
     merged = met.select("query", lists.alias("near")).groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     ranked = merged.select("query", F.posexplode("near").alias("place", "x"))
-    return ranked.select("query", (F.col("place") + 1).alias("rank"), F.col("x.id").alias("neighbour"), (F.lit(0.0) - F.col("x.minus")).alias("score"))
+    return ranked.select("query", (F.col("place") + 1).alias("rank"), F.col("x.id").alias("neighbour"), F.round(F.lit(0.0) - F.col("x.minus"), 6).alias("score"))
 
 
 def judged(found: DataFrame, classes: DataFrame, key: str, label: str, k: int) -> DataFrame:

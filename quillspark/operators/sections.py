@@ -12,16 +12,18 @@ from quillspark.profiles import RUSSIAN, Profile
 def section_array(text: Column, profile: Profile = RUSSIAN) -> Column:
     """array<struct(number, title, text)>: what stands before the first heading is dropped; without headings, one section with null number and title."""
     lines = normal_lines(text)
-    heads = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(profile.heading), i)), lambda i: i.isNotNull())
-    part = lambda line, k: F.regexp_extract(line, profile.heading, k)
+    # each line is marked as a heading (H) or text (T) and the text is cut at its headings, once for all sections
+    marked = F.array_join(F.transform(lines, lambda x: F.concat(F.when(x.rlike(profile.heading), "H").otherwise("T"), x)), "\n")
+    parts = F.split(marked, r"(?:^|\n)H")
 
-    def section(h: Column, k: Column) -> Column:
-        after = F.coalesce(F.get(heads, k + 1), F.size(lines))
-        line = F.get(lines, h)
-        return F.struct(part(line, 1).alias("number"), part(line, 2).alias("title"), F.array_join(F.slice(lines, h + 2, after - h - 1), "\n").alias("text"))
+    def section(part: Column) -> Column:
+        head = F.substring_index(part, "\n", 1)
+        rest = F.substr(part, F.length(head) + 2)
+        of = lambda k: F.regexp_extract(head, profile.heading, k)
+        return F.struct(of(1).alias("number"), of(2).alias("title"), F.regexp_replace(rest, r"(^|\n)T", "$1").alias("text"))
 
     whole = F.array(F.struct(F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("title"), F.array_join(lines, "\n").alias("text")))
-    return F.when(F.coalesce(F.size(lines), F.lit(0)) <= 0, F.array().cast("array<struct<number:string,title:string,text:string>>")).when(F.size(heads) > 0, F.transform(heads, section)).otherwise(whole)
+    return F.when(F.coalesce(F.size(lines), F.lit(0)) <= 0, F.array().cast("array<struct<number:string,title:string,text:string>>")).when(marked.rlike(r"(?:^|\n)H"), F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), section)).otherwise(whole)
 
 
 def sections(docs: DataFrame, profile: Profile = RUSSIAN) -> DataFrame:

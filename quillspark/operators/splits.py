@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+#: Rows of one range of hashes, about.
+RANGE = 16_384
+
 
 def shuffle_key(seed: int, *keys: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), 256)
@@ -35,11 +39,31 @@ def first_per_class(rows: DataFrame, label: str, order: str, n: int, strict: boo
     return firsts
 
 
+def _first_in_hash_order(rows: DataFrame, label: str, key: str, quotas: DataFrame, n: int, seed: int) -> DataFrame:
+    """rows with _in: whether the row is among its class's first `_quota` by (hash of seed and key, key).
+
+    Rows are counted by class and the first digits of their hash. Ranges of hashes are in or out as a whole, but for the one
+    a class's quota cuts: only that is sorted, and it holds RANGE rows of a class or so, however many the class has.
+    """
+    digits = max(1, math.ceil(math.log(max(2, n / RANGE), 16)))
+    hashed = rows.withColumn("_h", shuffle_key(seed, key)).withColumn("_b", F.substring("_h", 1, digits))
+    counts = hashed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # ranges, not rows
+    ranges = counts.withColumn("_before", before).join(quotas, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+    ranges = ranges.select(F.col(label).alias("_label"), F.col("_b").alias("_range"), "_before", "_k", "_quota")
+    met = hashed.join(ranges, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_b") == F.col("_range"))).drop("_label", "_range")
+    cut = (F.col("_before") < F.col("_quota")) & (F.col("_quota") < F.col("_before") + F.col("_k"))
+    whole = met.filter(~cut).withColumn("_in", F.col("_before") < F.col("_quota"))
+    place = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
+    split = met.filter(cut).withColumn("_in", F.col("_before") + place <= F.col("_quota"))
+    return whole.unionByName(split).drop("_h", "_b", "_before", "_k", "_quota")
+
+
 def stratified_subset(rows: DataFrame, label: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """Of each class the first max(1, round(n * fraction)) rows in hash order; round half to even."""
-    w = Window.partitionBy(label)
-    ranked = rows.withColumn("_rn", F.row_number().over(w.orderBy(shuffle_key(seed, key), key))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("_rn") <= F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction)).cast("int"))).drop("_rn", "_n")
+    classes = rows.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
+    quotas = classes.select("_label", F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction)).cast("int")).alias("_quota"))
+    return _first_in_hash_order(rows, label, key, quotas, rows.count(), seed).filter("_in").drop("_in")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, test_share: float = 0.25, seed: int = 42) -> DataFrame:
@@ -49,9 +73,9 @@ def stratified_split(rows: DataFrame, label: str, key: str, test_share: float =
     quota = classes.withColumn("_exact", F.col("_n") * F.ceil(F.sum("_n").over(every) * F.lit(test_share)) / F.sum("_n").over(every))
     quota = quota.withColumn("_low", F.floor("_exact")).withColumn("_left", F.ceil(F.sum("_n").over(every) * F.lit(test_share)) - F.sum("_low").over(every))
     quota = quota.withColumn("_place", F.row_number().over(Window.orderBy(F.desc(F.round(F.col("_exact") - F.col("_low"), 9)), label)))
-    quota = quota.select(label, (F.col("_low") + (F.col("_place") <= F.col("_left")).cast("int")).alias("_quota"))
-    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(shuffle_key(seed, key), key)))
-    return ranked.join(quota, label).withColumn("split", F.when(F.col("_rn") <= F.col("_quota"), "test").otherwise("train")).drop("_rn", "_quota")
+    quota = quota.select(F.col(label).alias("_label"), (F.col("_low") + (F.col("_place") <= F.col("_left")).cast("int")).alias("_quota"))
+    ranked = _first_in_hash_order(rows, label, key, quota, rows.count(), seed)
+    return ranked.withColumn("split", F.when(F.col("_in"), "test").otherwise("train")).drop("_in")
 
 
 def fingerprint(rows: DataFrame, order: str, *columns: str) -> DataFrame:

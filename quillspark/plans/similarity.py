@@ -7,36 +7,34 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators import retrieval, splits, tfidf
+from quillspark.operators import retrieval, sparse, splits, tfidf
 from quillspark.operators.classify import Encoder, encode_documents
 from quillspark.plans.analysis import WORD
+from quillspark.session import work_dir
 
 
-def tfidf_vectors(texts: DataFrame, key: str, pattern: str = WORD) -> tuple[DataFrame, int]:
-    """(key, vector) of sublinear TF-IDF over words and pairs, dense, and the size. For small sets of texts: the size is the vocabulary's."""
-    from pyspark.sql import Window
-
-    n = texts.count()
+def tfidf_weights(texts: DataFrame, key: str, pattern: str = WORD) -> DataFrame:
+    """(key, term, w): sublinear TF-IDF over words and pairs of words, each text's row of length 1."""
     tokens = texts.select(key, F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)).alias("tokens"))
     tf = tfidf.term_frequencies(tfidf.with_bigrams(tokens, key), key)
-    vocabulary = tfidf.fit(tf, n)
-    index = vocabulary.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("i"))
-    size = vocabulary.count()
-    rows = tfidf.weigh(tf, vocabulary, key, sublinear=True).join(index, "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return rows.select(key, dense.alias("vector")), size
+    return tfidf.weigh(tf, tfidf.fit(tf, texts.count()), key, sublinear=True).select(key, "term", "w")
+
+
+def compare_tfidf(texts: DataFrame, label: str, key: str, k: int = 2, pattern: str = WORD) -> DataFrame:
+    """One row: separation of labels, precision@k and hit rate@k of TF-IDF rows, none of which is ever dense."""
+    spark, path = texts.sparkSession, work_dir(texts.sparkSession, "weights")
+    tfidf_weights(texts, key, pattern).write.parquet(path)
+    weights = spark.read.parquet(path)
+    judged = retrieval.judged(sparse.neighbours(weights, k, key), texts, key, label, k)
+    return sparse.separation(weights, texts, label, key).crossJoin(judged)  # one row each
 
 
 def compare(texts: DataFrame, label: str, key: str, encoder: Encoder, encoder_size: int, k: int = 2) -> DataFrame:
     """A row for each representation: separation of labels, precision@k and hit rate@k."""
-    sparse, size = tfidf_vectors(texts, key)
-    made = {"tfidf": (sparse, size), "encoder": (encode_documents(texts, encoder, encoder_size, key, most=90), encoder_size)}
-    rows = []
-    for name, (vectors, n) in made.items():
-        v = vectors.join(texts.select(key, label), key)
-        judged = retrieval.judged(retrieval.neighbours(v, k, key), v, key, label, k)
-        rows.append(retrieval.separation(v, label, n).crossJoin(judged).select(F.lit(name).alias("model"), "*"))
-    return rows[0].unionByName(rows[1])
+    v = encode_documents(texts, encoder, encoder_size, key, most=90).join(texts.select(key, label), key)
+    judged = retrieval.judged(retrieval.neighbours(v, k, key), v, key, label, k)
+    encoded = retrieval.separation(v, label, encoder_size).crossJoin(judged)  # one row each
+    return compare_tfidf(texts, label, key, k).select(F.lit("tfidf").alias("model"), "*").unionByName(encoded.select(F.lit("encoder").alias("model"), "*"))
 
 
 def cached_vectors(texts: DataFrame, encoder: Encoder, size: int, folder: str, model: str, key: str) -> tuple[DataFrame, bool]:

@@ -208,11 +208,12 @@ def sentence_markers(spark, d):
     return found.select("doc_id", "sentence", F.array_join("markers", ",").alias("markers"))
 
 
-_ACTS = [("a", "преамбула\nСтатья 1. Первая\nСтрока один.\nСтрока  два.\nСтатья 2-1. Вторая\nТекст."), ("b", "без заголовка\n\n  вторая\tстрока"), ("c", "Статья 7.\nОператор обязан.")]
+#: Acts made of the documents: a preamble, the text as an article, and a short article.
+_ACT = "'preamble' || chr(10) || 'Статья ' || doc_id || '. ' || source || chr(10) || coalesce(text, '') || chr(10) || 'Статья 2-1. ' || chr(9) || lang || chr(10) || 'One  line.'"
 
 
 @query(
-    "WITH v(id, text) AS (VALUES " + ", ".join("('{}', '{}')".format(i, x.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")) for i, x in _ACTS) + "), "
+    f"WITH v AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '') ELSE {_ACT} END AS text FROM documents), "
     r"l AS (SELECT id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM v), "
     r"n AS (SELECT id, pos, trim(regexp_replace(raw, '[ \t]+', ' ', 'g')) AS line FROM l WHERE trim(raw) <> ''), "
     r"h AS (SELECT *, regexp_matches(line, '(?i)^Статья\s+\d+(-\d+)?\s*\.') AS head FROM n), g AS (SELECT *, sum(head::INT) OVER (PARTITION BY id ORDER BY pos) AS sec, bool_or(head) OVER (PARTITION BY id) AS any_head FROM h) "
@@ -220,7 +221,10 @@ _ACTS = [("a", "преамбула\nСтатья 1. Первая\nСтрока 
     r"max(CASE WHEN head THEN regexp_extract(line, '(?i)^Статья\s+\d+(?:-\d+)?\s*\.\s*(.*?)\s*$', 1) END) AS section_title, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head), '') AS text FROM g WHERE sec > 0 OR NOT any_head GROUP BY id, ordinal, any_head"
 )
 def section_split(spark, d):
-    return sections.sections(spark.createDataFrame(_ACTS, "id string, text string"), RUSSIAN).select("id", "ordinal", "number", "section_title", "text")
+    lines = [F.lit("preamble"), F.concat(F.lit("Статья "), F.col("doc_id").cast("string"), F.lit(". "), "source"), F.coalesce("text", F.lit("")), F.concat(F.lit("Статья 2-1. \t"), "lang"), F.lit("One  line.")]
+    act = F.when(F.col("doc_id") % 7 == 0, F.coalesce("text", F.lit(""))).otherwise(F.concat_ws("\n", *lines))
+    acts = t(spark, d, "documents").select(F.col("doc_id").alias("id"), act.alias("text"))
+    return sections.sections(acts, RUSSIAN).select("id", "ordinal", "number", "section_title", "text")
 
 
 def _headed():
@@ -280,7 +284,7 @@ def all_pairs_cosine(spark, d):
     return retrieval.separation(e, "label", len(e.first()["embedding"]), "embedding")
 
 
-_NEAR = "u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), nn AS (SELECT a.vec_id AS query, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.v, b.v), 6) DESC, b.vec_id)::INT AS rank, b.vec_id AS neighbour, round(list_inner_product(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.vec_id <> b.vec_id QUALIFY rank <= 5)"
+_NEAR = "u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), nn AS (SELECT a.vec_id AS query, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v) DESC, b.vec_id)::INT AS rank, b.vec_id AS neighbour, round(list_inner_product(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.vec_id <> b.vec_id QUALIFY rank <= 5)"
 
 
 @query(f"WITH {_NEAR} SELECT * FROM nn")
@@ -297,7 +301,7 @@ def retrieval_eval(spark, d):
     return retrieval.judged(retrieval.neighbours(e, 5, "vec_id", "embedding"), e, "vec_id", "label", 5)
 
 
-@query("WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, round(list_inner_product(embedding::DOUBLE[], q), 4) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 10) SELECT vec_id, label, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id)::INT AS rank FROM s")
+@query("WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_inner_product(embedding::DOUBLE[], q) AS exact FROM embeddings, q ORDER BY exact DESC, vec_id LIMIT 10) SELECT vec_id, label, round(exact, 4) AS similarity, row_number() OVER (ORDER BY exact DESC, vec_id)::INT AS rank FROM s")
 def vector_search(spark, d):
     e = t(spark, d, "embeddings")
     q = e.filter("vec_id = 0").select("embedding").first()[0]
@@ -307,7 +311,7 @@ def vector_search(spark, d):
 @query(
     "WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), g AS (SELECT (SELECT v FROM u WHERE vec_id = 1) AS a, (SELECT v FROM u WHERE vec_id = 2) AS b, (SELECT v FROM u WHERE vec_id = 3) AS c), "
     "k AS (SELECT list_transform(range(1, len(a)::BIGINT + 1), lambda i: a[i] / sqrt(list_inner_product(a, a)) - b[i] / sqrt(list_inner_product(b, b)) + c[i] / sqrt(list_inner_product(c, c))) AS q FROM g) "
-    "SELECT vec_id, round(list_cosine_similarity(v, q), 4) AS cosine FROM u, k WHERE vec_id NOT IN (1, 2, 3) ORDER BY cosine DESC, vec_id LIMIT 8"
+    "SELECT vec_id, round(list_cosine_similarity(v, q), 4) AS cosine FROM u, k WHERE vec_id NOT IN (1, 2, 3) ORDER BY list_cosine_similarity(v, q) DESC, vec_id LIMIT 8"
 )
 def vector_arithmetic(spark, d):
     e = t(spark, d, "embeddings")
@@ -532,9 +536,23 @@ def label_lookup(spark, d):
     return t(spark, d, "embeddings").join(names, "label", "left").select("vec_id", F.coalesce("label_name", F.col("label").cast("string")).alias("label_name"))
 
 
-@query("SELECT * FROM (VALUES ('lr_1em05_data_100', 1e-5, 1.0), ('lr_3em05_data_100', 3e-5, 1.0), ('lr_5em05_data_100', 5e-5, 1.0), ('lr_3em05_data_25', 3e-5, 0.25), ('lr_3em05_data_50', 3e-5, 0.5)) v(experiment_id, learning_rate, fraction)")
+#: The grid, and the documents that each of its points learns from: of each source the rounded share, one at least.
+GRID_SQL = (
+    "p AS (SELECT * FROM (VALUES ('lr_1em05_data_100', 1e-5, 1.0), ('lr_3em05_data_100', 3e-5, 1.0), ('lr_5em05_data_100', 5e-5, 1.0), ('lr_3em05_data_50', 3e-5, 0.5), ('lr_3em05_data_75', 3e-5, 0.75)) v(experiment_id, learning_rate, fraction)), "
+    "s AS (SELECT source, count(*) AS n FROM documents GROUP BY source), g AS (SELECT p.*, (SELECT sum(greatest(1, round_even(n * fraction::DOUBLE, 0)))::BIGINT FROM s) AS train_documents FROM p)"
+)
+
+
+def grid_sizes(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "source")
+    points = experiments.grid(spark)
+    counts = [splits.stratified_subset(docs, "source", "doc_id", f).agg(F.lit(f).alias("fraction"), F.count(F.lit(1)).alias("train_documents")) for f in (*experiments.SHARES, experiments.SHARE)]
+    return points.join(counts[0].union(counts[1]).union(counts[2]), "fraction").select("experiment_id", "learning_rate", "fraction", "train_documents")
+
+
+@query(f"WITH {GRID_SQL} SELECT experiment_id, learning_rate, fraction, train_documents FROM g")
 def union_experiments(spark, d):
-    return experiments.grid(spark)
+    return grid_sizes(spark, d)
 
 
 _GROUPS = [("g1", w) for w in ("the", "and", "with", "zzzz")] + [("g2", w) for w in ("the", "que", "und")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark import round_trips, trained  # noqa: F401  register their queries
+from quillspark import learned, round_trips, trained  # noqa: F401  register their queries
 from quillspark.queries import QUERIES, SQL
 
 

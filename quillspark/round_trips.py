@@ -14,7 +14,7 @@ from quillspark.functions.text import clamped_index, collapse, confidence_level,
 from quillspark.operators import experiments, frequency, metrics, report, sections, tfidf
 from quillspark.plans.analysis import corpus_analysis, preprocess
 from quillspark.profiles import GENERIC, RUSSIAN
-from quillspark.queries import _STOP, FIT, LINES_SQL, SECTIONS, TF, W, _headed, _tf, _weights, query, t
+from quillspark.queries import _STOP, FIT, GRID_SQL, LINES_SQL, SECTIONS, TF, W, _headed, _tf, _weights, grid_sizes, query, t
 from quillspark.session import work_dir
 from quillspark.sources import io
 
@@ -106,14 +106,26 @@ def dense_matrix(spark, d):
     return io.read_matrix(spark, path).select("vec_id", F.size("embedding").alias("size"), F.round(total, 4).alias("total"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in constants.LABEL_NAMES.items()) + ") v(label, label_name)")
+@query(
+    "WITH v(label, label_name) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in constants.LABEL_NAMES.items()) + "), "
+    "c AS (SELECT label, label_name, row_number() OVER (ORDER BY label) - 1 AS i FROM v) SELECT label, label_name, count(*) AS n_documents FROM c JOIN documents ON doc_id % (SELECT count(*) FROM c) = i GROUP BY label, label_name"
+)
 def label_names(spark, d):
-    return constants.label_names(spark)
+    """Documents dealt to the fixed classes by their numbers, with the classes' names."""
+    names = constants.label_names(spark)
+    order = sorted(constants.LABEL_NAMES)
+    label = F.element_at(F.array(*[F.lit(x) for x in order]), (F.col("doc_id") % len(order) + 1).cast("int"))
+    return t(spark, d, "documents").select(label.alias("label")).join(names, "label").groupBy("label", "label_name").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{w}')" for g, words in constants.EVALUATION_GROUPS.items() for w in words) + ") v(grp, word)")
+@query(
+    "WITH v(grp, word) AS (VALUES " + ", ".join(f"('{g}', '{w}')" for g, words in constants.EVALUATION_GROUPS.items() for w in words) + "), "
+    r"k AS (SELECT unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS word FROM documents), n AS (SELECT word, count(*) AS n FROM k GROUP BY word) SELECT grp, v.word, coalesce(n, 0) AS n FROM v LEFT JOIN n USING (word)"
+)
 def evaluation_groups(spark, d):
-    return constants.groups(spark)
+    """The fixed groups' words, and how often the documents hold each."""
+    counts = frequency.counts(frequency.term_rows(t(spark, d, "documents").select("doc_id", "text")), "term", name="n").withColumnRenamed("term", "word")
+    return constants.groups(spark).join(counts, "word", "left").select("grp", "word", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 _PAGE = "'<html><body><p>menu</p><div class=\"a text_upd\"><article><h1>Act <b>' || item_id || '</b></h1><p>' || replace(text, chr(10), '<br>') || '</p><ul><li><p>One</p>two</li></ul><div class=\"note\"><p>no</p></div><p>Note. left out</p><script>no</script></article></div></body></html>'"
@@ -159,10 +171,11 @@ def accepted_inputs(spark, d):
     return rows.select("doc_id", F.substring(valid_input(F.col("text")), 1, 40).alias("head"))
 
 
-@query("WITH r AS (SELECT *, 'run' AS source FROM (VALUES ('lr_1em05_data_100', 1e-5, 1.0), ('lr_3em05_data_100', 3e-5, 1.0), ('lr_5em05_data_100', 5e-5, 1.0), ('lr_3em05_data_25', 3e-5, 0.25), ('lr_3em05_data_50', 3e-5, 0.5)) v(experiment_id, learning_rate, fraction)) SELECT 'learning_rate' AS factor, experiment_id FROM r WHERE fraction = 1 UNION ALL SELECT 'fraction', experiment_id FROM r WHERE learning_rate = 3e-5")
+@query(f"WITH {GRID_SQL} SELECT 'learning_rate' AS factor, experiment_id, train_documents FROM g WHERE fraction = 1 UNION ALL SELECT 'fraction', experiment_id, train_documents FROM g WHERE learning_rate = 3e-5")
 def experiment_factors(spark, d):
-    history = experiments.grid(spark).withColumn("source", F.lit("run")).unionByName(experiments.grid(spark).withColumn("source", F.lit("earlier")))
-    one = lambda name: experiments.factor(history, name, "run").select(F.lit(name).alias("factor"), "experiment_id")
+    sizes = grid_sizes(spark, d)
+    history = sizes.withColumn("source", F.lit("run")).unionByName(sizes.withColumn("source", F.lit("earlier")))
+    one = lambda name: experiments.factor(history, name, "run").select(F.lit(name).alias("factor"), "experiment_id", "train_documents")
     return one("learning_rate").unionByName(one("fraction"))
 
 

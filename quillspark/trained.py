@@ -49,8 +49,8 @@ _ASKED = ("the", "and", "with", "que", "und")
     + DIMS
     + ", s AS (SELECT doc_id, i, sum(x * k) AS s FROM k JOIN e USING (vec_id) GROUP BY ALL), n AS (SELECT doc_id, i, s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)) AS u FROM s), "
     + f"q0 AS (SELECT i, sum(x * idf) AS s FROM r JOIN voc USING (term) JOIN e USING (vec_id) WHERE term IN {_ASKED} GROUP BY i), q AS (SELECT i, s / sqrt(sum(s * s) OVER ()) AS q FROM q0), "
-    "b AS (SELECT doc_id, round(sum(u * q), 4) AS similarity FROM n JOIN q USING (i) GROUP BY doc_id ORDER BY similarity DESC, doc_id LIMIT 10) "
-    r"SELECT row_number() OVER (ORDER BY similarity DESC, doc_id)::INT AS rank, doc_id, similarity, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 220) AS preview FROM b JOIN documents USING (doc_id)"
+    "b AS (SELECT doc_id, sum(u * q) AS similarity FROM n JOIN q USING (i) GROUP BY doc_id ORDER BY similarity DESC, doc_id LIMIT 10) "
+    r"SELECT row_number() OVER (ORDER BY similarity DESC, doc_id)::INT AS rank, doc_id, round(similarity, 4) AS similarity, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 220) AS preview FROM b JOIN documents USING (doc_id)"
 )
 def text_search(spark, d):
     """The ten documents nearest to a few words by weighted word vectors."""

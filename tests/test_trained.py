@@ -147,5 +147,5 @@ def test_glove_by_blocks(spark):
     assert abs(first[0] - first[1]) < 0.35 * first[0]  # the same sum over the same pairs, in another order
     first_loss_without_training = [cooccurrence.train_glove(pairs, size=8, epochs=1, rate=0.0, terms=k)[1].first().loss for k in (7, 100)]
     x = np.array([r.weight for r in pairs.collect()])
-    expected = float((np.minimum(1, (x / 100) ** 0.75) * np.log(x) ** 2).mean())
+    expected = 0.5 * float((np.minimum(1, (x / 100) ** 0.75) * np.log(x) ** 2).mean())
     assert all(abs(v - expected) < 0.05 * expected for v in first_loss_without_training)

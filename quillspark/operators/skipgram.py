@@ -115,7 +115,7 @@ class _Words:
         descend(self.grams.value, self.grams.seen, flat, np.repeat(grads, self.count[rows], axis=0), rate)
 
 
-def skip_pass(negatives: int, noise_total: float, rate: float, batch: int = 1024, run: int = 8, asked: int = 128):
+def skip_pass(negatives: int, noise_total: float, rate: float, batch: int = 4096, run: int = 8, asked: int = 256):
     """One pass over a visit's pairs; `noise_total` is the mass of all contexts' draws."""
 
     def train(i, j, x, main, other, grams, rng):
@@ -190,7 +190,7 @@ def _joined(width: int):
 
 def train(
     docs: DataFrame, key: str = "doc_id", size: int = 100, window: int = 5, least: int = 3, negatives: int = 10, epochs: int = 80, rate: float = 0.05, seed: int = 42, column: str = "tokens",
-    n_buckets: int = 0, sample: float = 1e-3, shortest: int = 5, terms: int = 20_000, least_blocks: int = 4, passes: int = 10, chain: int = 8,
+    n_buckets: int = 0, sample: float = 1e-3, shortest: int = 5, terms: int = 20_000, least_blocks: int = 8, passes: int = 20, chain: int = 8,
 ) -> dict[str, DataFrame]:
     """words (word, vector), losses (epoch, loss by pair) and, with `n_buckets`, buckets (bucket, vector): skip-gram vectors of tokens.
 
@@ -228,7 +228,7 @@ def train(
     state = rotation.start(places, _extra("mass", bool(n_buckets)))
     if n_buckets:
         state = state.unionByName(_gram_rows(places, n_buckets))
-    one_pass = skip_pass(negatives, noise_total, rate, run=32, asked=16) if n_buckets else skip_pass(negatives, noise_total, rate)
+    one_pass = skip_pass(negatives, noise_total, rate, run=32, asked=64) if n_buckets else skip_pass(negatives, noise_total, rate)
     state = rotation.rotate(places, pairs, state, folder, blocks, size, make, one_pass, epochs, passes, seed, chain, _joined(size) if n_buckets else None)
     out = {"words": rotation.vectors_of(state, places, 0, size), "losses": rotation.losses_of(state, epochs, n_pairs)}
     if n_buckets:

@@ -126,8 +126,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def tree_sum(rows: DataFrame, of, width: int) -> np.ndarray:
-    """The sum over all Arrow batches of `of`(batch), `width` numbers: summed by task, then by a tree of tasks, always in the same order."""
+def tree_sum(rows: DataFrame, of, width: int, deep: bool = False) -> np.ndarray:
+    """The sum over all Arrow batches of `of`(batch), `width` numbers: summed by task, then (deep) by a tree of tasks, always in the same order."""
 
     def part(batches):
         total = np.zeros(width)
@@ -143,8 +143,8 @@ def tree_sum(rows: DataFrame, of, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
     parts = rows.mapInArrow(part, "part binary")
-    if (tasks := rows.rdd.getNumPartitions()) > 64:
-        parts = parts.repartition(math.isqrt(tasks)).mapInArrow(add, "part binary")
+    if deep:
+        parts = parts.repartition(math.isqrt(rows.rdd.getNumPartitions())).mapInArrow(add, "part binary")
     total = np.zeros(width)
     for x in sorted(bytes(r.part) for r in parts.collect()):
         total += np.frombuffer(x)
@@ -194,6 +194,10 @@ class Trainer:
     def __init__(self, fit: DataFrame, validation: DataFrame, runs: list[Run], folder: str, label: str = "label", key: str = "doc_id", settings: Settings = Settings()):
         self.spark: SparkSession = fit.sparkSession
         self.runs, self.folder, self.key, self.settings = runs, folder.rstrip("/"), key, settings
+        made = exists(self.spark, f"{self.folder}/fit/_SUCCESS")
+        if not exists(self.spark, f"{self.folder}/raw/_SUCCESS"):  # what follows passes over it more than once
+            fit.select(key, "chunk_no", label, "vector").write.mode("overwrite").parquet(f"{self.folder}/raw")
+        fit = self.spark.read.parquet(f"{self.folder}/raw")
         labels = sorted(r[0] for r in fit.select(label).distinct().collect() if r[0] is not None)  # a class each
         if not labels:
             raise ValueError("there is no class to learn")
@@ -206,7 +210,7 @@ class Trainer:
         order = sorted({r.fraction for r in runs})
         own = F.array(*[F.coalesce(F.col(f"_f{order.index(r.fraction)}"), F.lit(False)) for r in runs])
         marked = fit.join(flags.select(key, own.alias("runs")), key).select(key, "chunk_no", index.alias("y"), F.col("vector").cast("array<double>").alias("vector"), "runs")
-        if not exists(self.spark, f"{self.folder}/fit/_SUCCESS"):
+        if not made:
             n = marked.count()
             steps = max(1, math.ceil(n / settings.batch))
             dealt = marked.withColumn("step", F.pmod(F.xxhash64(F.lit(settings.seed), key, "chunk_no"), F.lit(steps)).cast("int"))
@@ -223,6 +227,7 @@ class Trainer:
         self.total = settings.epochs * len(self.steps)
         self.warmup = max(1, int(self.total * settings.warmup))
         self.width = len(self.fit.first()["vector"])
+        self.deep = self.fit.rdd.getNumPartitions() > 64  # so many tasks' sums are added up by tasks first
 
     def _load(self, epoch: int) -> list[Head]:
         if not epoch:
@@ -246,7 +251,7 @@ class Trainer:
             own = b.column("runs").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
             return np.concatenate([gradient_sums(values[r], x[own[:, r]], y[own[:, r]], weights[r]) for r in range(runs)])
 
-        return np.split(tree_sum(self.fit.filter(F.col("step") == step).select("y", "vector", "runs"), of, runs * width), runs)
+        return np.split(tree_sum(self.fit.filter(F.col("step") == step).select("y", "vector", "runs"), of, runs * width, self.deep), runs)
 
     def train(self) -> DataFrame:
         """The history: a row for each run and epoch. Goes on after the last epoch that was written."""

@@ -15,19 +15,19 @@ from quillspark.functions.vectors import added, cosine, dot, scaled, unit
 
 
 def nearest(questions: DataFrame, vectors: DataFrame, n: int, ban: str = "ban") -> DataFrame:
-    """(question, rank, word, cosine): the n nearest words to each question's vector, without the words in its array `ban`.
+    """(question, rank, word, cosine to four digits): the n nearest words to each question's vector by the full cosine, without the words in its array `ban`.
 
-    Questions are a bounded constant table; each partition of the vectors keeps n rows for a question before the merge.
+    Each question meets each word, so questions are meant to be few; Spark broadcasts them where its own size check allows it.
     """
     u = vectors.select("word", unit(F.col("vector")).alias("u"))
-    scored = u.join(F.broadcast(questions), ~F.array_contains(ban, F.col("word")), "inner").select("question", "word", F.round(dot(F.col("u"), unit(F.col("q"))), 4).alias("cosine"))
+    scored = u.join(questions, ~F.array_contains(ban, F.col("word")), "inner").select("question", "word", dot(F.col("u"), unit(F.col("q"))).alias("cosine"))
     w = Window.partitionBy("question").orderBy(F.desc("cosine"), "word")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("question", "rank", "word", "cosine")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("question", "rank", "word", F.round("cosine", 4).alias("cosine"))
 
 
 def word_questions(vectors: DataFrame, words: DataFrame) -> DataFrame:
     """A question for each known word: its own vector, itself banned."""
-    return vectors.join(F.broadcast(words.select("word").distinct()), "word").select(F.col("word").alias("question"), F.col("vector").alias("q"), F.array("word").alias("ban"))
+    return vectors.join(words.select("word").distinct(), "word").select(F.col("word").alias("question"), F.col("vector").alias("q"), F.array("word").alias("ban"))
 
 
 def equation_questions(vectors: DataFrame, equations) -> DataFrame:
@@ -37,10 +37,10 @@ def equation_questions(vectors: DataFrame, equations) -> DataFrame:
     sizes = {name: len(plus) + len(minus) for name, plus, minus in equations}
     terms = spark.createDataFrame(rows, "question string, word string, sign double")
     need = spark.createDataFrame(list(sizes.items()), "question string, n_terms int")
-    found = vectors.join(F.broadcast(terms), "word").select("question", "word", scaled(unit(F.col("vector")), F.col("sign")).alias("v"))
+    found = vectors.join(terms, "word").select("question", "word", scaled(unit(F.col("vector")), F.col("sign")).alias("v"))
     sums = found.groupBy("question").agg(F.collect_list("v").alias("vs"), F.collect_list("word").alias("ban")).join(need, "question").filter(F.size("vs") == F.col("n_terms"))
     first = F.get("vs", F.lit(0))
-    return sums.select("question", F.aggregate(F.slice("vs", 2, 1000), first, added).alias("q"), "ban")
+    return sums.select("question", F.aggregate(F.slice("vs", F.lit(2), F.greatest(F.size("vs") - 1, F.lit(0))), first, added).alias("q"), "ban")
 
 
 def evaluate(vectors: DataFrame, groups: DataFrame, pairs: DataFrame, name: str, subwords: DataFrame | None = None, typo: str | None = None) -> DataFrame:

@@ -53,22 +53,21 @@ def corpus_analysis(documents: DataFrame, profile: Profile = RUSSIAN, least_clea
     }
 
 
-def embedding_analysis(processed: DataFrame, idf: DataFrame, size: int = 100, epochs: int = 80, least: int = 3) -> dict[str, DataFrame]:
-    """Word vectors of three kinds, article vectors, their plane and leave-one-out retrieval quality."""
+def embedding_analysis(processed: DataFrame, idf: DataFrame, size: int = 100, epochs: int = 80, least: int = 3, n_buckets: int = 50_000) -> dict[str, DataFrame]:
+    """Word vectors of three kinds, each trained here, article vectors, their plane and leave-one-out retrieval quality."""
+    from quillspark.operators import skipgram
     from quillspark.operators.cooccurrence import cooccurrence, train_glove
 
     docs = processed.select("article_id", "document_id", F.col("lemmas").alias("tokens"))
-    skip = embeddings.word2vec(docs, size=size, epochs=epochs, least=least).getVectors().select("word", F.col("vector").cast("string").alias("_v"), "vector")
-    from pyspark.ml.functions import vector_to_array
-
-    skip = skip.select("word", vector_to_array("vector").alias("vector")).persist()
+    how = {"key": "article_id", "size": size, "least": least, "epochs": epochs}
+    skip = skipgram.train(docs, **how)["words"].persist()
+    fast = skipgram.train(docs, n_buckets=n_buckets, **how)
     glove, losses = train_glove(cooccurrence(docs, "article_id", least=least), size=size)
-    subwords = embeddings.subword_table(skip, size)
     tokens = docs.select("article_id", F.explode("tokens").alias("term"))
     vectors = embeddings.weighted_means(tokens, skip, idf, size, "article_id").persist()
     found = retrieval.neighbours(vectors, 5, "article_id")
     return {
-        "word2vec": skip, "glove": glove, "glove_losses": losses, "subwords": subwords, "article_vectors": vectors,
+        "word2vec": skip, "fasttext": fast["words"], "subwords": fast["buckets"], "glove": glove, "glove_losses": losses, "article_vectors": vectors,
         "plane": embeddings.pca_plane(vectors, "article_id", size),
         "retrieval": retrieval.judged(found, vectors.join(docs.select("article_id", "document_id"), "article_id"), "article_id", "document_id", 5),
     }

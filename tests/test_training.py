@@ -239,3 +239,16 @@ def test_experiment_scores_articles_by_their_mean_logits(spark, tmp_path):
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         assert got[doc].prediction == f"c{z.argmax()}" and abs(got[doc].confidence - p.max()) < 1e-9 and got[doc].truth == f"c{doc % 3}"
     assert {r.run: r.n for r in out["predictions"].groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()} == {"a": 15, "b": 15}
+
+
+def test_analysis_of_vectors(spark):
+    from quillspark.plans.analysis import embedding_analysis
+
+    words, docs = topics(spark, 60)
+    rows = docs.filter("doc_id < 60").select(F.col("doc_id").cast("string").alias("article_id"), F.concat(F.lit("t"), F.col("doc_id") % 2).alias("document_id"), F.col("tokens").alias("lemmas"))
+    idf = spark.createDataFrame([(w, 1.0) for t in words for w in t], "term string, idf double")
+    out = embedding_analysis(rows, idf, size=8, epochs=20, n_buckets=500)
+    every = set(words[0] + words[1])
+    assert all({r.word for r in out[x].collect()} == every for x in ("word2vec", "fasttext", "glove"))
+    assert out["glove_losses"].count() == 35 and out["article_vectors"].count() == 60 and out["plane"].count() == 60 and out["subwords"].count() > 100
+    assert out["retrieval"].first().n_queries == 60 and out["retrieval"].first().precision_at_k > 0.9

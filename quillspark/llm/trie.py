@@ -36,13 +36,14 @@ def words(text: str):
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def before(df: DataFrame, by: str, order: list, sums: dict) -> DataFrame:
+def before(scratch: Scratch, df: DataFrame, by: str, order: list, sums: dict, name: str) -> DataFrame:
     """df with, for each name in `sums`, the sum of its column over the rows of the same `by` that come earlier in `order`.
 
     Rows are range-partitioned by group and order and summed within a partition; a group of any size spreads over many.
     Only the groups that go on from one partition to the next need an offset: one a partition, so these are broadcast.
+    Bounds are drawn anew each time ranges are made, so rows are written with their partition before both sides read it.
     """
-    laid = df.repartitionByRange(F.col(by), *order).withColumn("_pid", F.spark_partition_id())
+    laid = scratch.write(df.repartitionByRange(F.col(by), *order).withColumn("_pid", F.spark_partition_id()), name)
     inside = Window.partitionBy("_pid", by).orderBy(*order)
     parts = laid.groupBy(by, "_pid").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     earlier = Window.partitionBy(by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,7 +80,7 @@ def read_turns(scratch: Scratch, conversations: DataFrame) -> DataFrame:
     turns = named(scratch, turns.withColumn("tie", F.col("key")), "key", "name", total)
     turns = turns.withColumn("again", F.monotonically_increasing_id())  # equal rows are told apart, so that no range is one key
     turns = scratch.write(turns, "named")
-    placed = before(turns, "conv_id", [F.col("turn").asc_nulls_first(), F.col("tie"), F.col("again")], {"pos": F.col("one")})
+    placed = before(scratch, turns, "conv_id", [F.col("turn").asc_nulls_first(), F.col("tie"), F.col("again")], {"pos": F.col("one")}, "laid-turns")
     return scratch.write(placed.select("conv_id", "pos", "name", "words"), "turns")
 
 
@@ -211,7 +212,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 
     # chains: what a conversation's own nodes above a node sum to, and all of them
     order = [F.col("depth")]
-    chain = scratch.write(before(nodes, "first", order, {"leaf_above": F.col("leaf"), "saved_above": F.col("saved")}), "chains")
+    chain = scratch.write(before(scratch, nodes, "first", order, {"leaf_above": F.col("leaf"), "saved_above": F.col("saved")}, "laid-nodes"), "chains")
     whole = chain.groupBy("first").agg(F.sum("leaf").alias("leaves"), F.sum("saved").alias("saves"), F.min("depth").alias("top"), F.count(F.lit(1)).alias("n"))
     whole = scratch.write(whole, "whole")
     chain = spread_join(chain, whole, "first", total)

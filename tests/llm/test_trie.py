@@ -69,3 +69,17 @@ def test_empty_and_turnless(spark):
 def test_one_conversation_and_one_opening_of_most_rows(spark):
     rows = [(41, t, "user", f"turn {t % 7} of many") for t in range(700)] + [(60 + 20 * n, t, "user", "the same") for n in range(300) for t in range(2)]
     same(spark, rows, parts=5)
+
+
+def test_ranges_that_are_drawn_twice(spark):
+    """More rows than are sampled for the bounds of ranges, many partitions, and partitions that are not merged again."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    held = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = [(c, t, "user", f"turn {(c * 7 + t) % 11}") for c in range(0, 1200) for t in range(1 + c % 13)]
+        same(spark, rows, parts=1)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

@@ -15,7 +15,9 @@ be compared:
    (compared, not hashed) are one class, in which all but the earliest are repeats. Many small arrays are built in step
    in numpy.
 4. Keys of more than GROUP contexts are cut into pieces of GROUP; the classes of pieces, and of hot keys, are then joined by
-   a fingerprint of the string, with a minimum that is combined before the shuffle.
+   a fingerprint of the string, with a minimum that is combined before the shuffle. The strings of a context that hold so
+   many bytes before the anchor (BLOCK numbers at a time) have a core in common; only where two pieces share a core can
+   they share a string, so only those strings are fingerprinted.
 
 Places, not texts, are shuffled in 1 and 2; documents are shuffled by doc_id to fetch contexts and to cut the repeats out.
 What is not compared by bytes (anchors, contexts of different batches, strings of different pieces) is compared by 128 bits of
@@ -41,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Scratch, fresh, map_slices, raw, release_caches, slices
+from quillspark.llm.components import spread_join
 
 LENGTH, K, GROUP = 100, 50, 256
 SIDE = LENGTH - K
@@ -50,6 +53,7 @@ HOT, SALTS = 64, 1024
 #: Symbols: what ends a text, what ends a context, bytes from 2 on, and the K bytes of the anchor as one.
 STOP, EDGE, FIRST, ANCHOR = 0, 1, 2, 258
 WINDOW = SIDE + 1  # symbols of a string of LENGTH bytes that holds the anchor
+BLOCK = 17  # a core is shorter than its strings by BLOCK - 1 bytes at most
 
 
 # --- suffix arrays by linear grouping ------------------------------------------------------------------------------
@@ -394,7 +398,7 @@ def _sift(group: int):
 # --- contexts and repeats ------------------------------------------------------------------------------------------
 
 
-SIDES = "key long, piece long, doc_id long, pos long, left binary, right binary, a1 long, a2 long"
+SIDES = "key long, piece long, doc_id long, pos long, left binary, right binary, a1 long, a2 long, cores array<long>"
 
 
 def anchor_hashes(anchors_: list[bytes], secret: int) -> tuple[np.ndarray, np.ndarray]:
@@ -404,9 +408,23 @@ def anchor_hashes(anchors_: list[bytes], secret: int) -> tuple[np.ndarray, np.nd
     return tuple(x.view(np.int64) for x in nh(words, secret))
 
 
+def cores(key: int, left: bytes, right: bytes) -> list[int | None]:
+    """For each block of numbers of bytes before the anchor, a hash of the key and of what all its strings hold; None if there are none."""
+    out: list[int | None] = []
+    for first in range(0, SIDE + 1, BLOCK):
+        after = SIDE - min(first + BLOCK - 1, SIDE)
+        if len(left) < first or len(right) < after:
+            out.append(None)
+            continue
+        core = b"%d,%d:" % (key, first) + left[len(left) - first :] + right[:after]
+        out.append(int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True))
+    return out
+
+
 def _fetch(secret: int):
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         columns: list[list] = [[], [], [], [], [], []]
+        shared: list[list | None] = []
         held: list[bytes] = []
         for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text")), batch.column("wanted").to_pylist()):
             for w in wanted:
@@ -414,9 +432,10 @@ def _fetch(secret: int):
                 held.append(text[p : p + K])
                 for c, v in zip(columns, (w["key"], w["piece"], doc, p, text[max(0, p - SIDE) : p], text[p + K : p + LENGTH])):
                     c.append(v)
+                shared.append(cores(w["key"], columns[4][-1], columns[5][-1]) if w["several"] else None)
         types = [pa.int64()] * 4 + [pa.binary()] * 2
         hashes = anchor_hashes(held, secret) if held else ([], [])
-        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), *(pa.array(h, pa.int64()) for h in hashes)], names=[x.split()[0] for x in SIDES.split(", ")])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), *(pa.array(h, pa.int64()) for h in hashes), pa.array(shared, pa.list_(pa.int64()))], names=[x.split()[0] for x in SIDES.split(", ")])
 
     return rows
 
@@ -457,9 +476,9 @@ def _prints(windows: np.ndarray, at: np.ndarray, keys: np.ndarray, secret: int)
 
 
 def repeats(groups: list[tuple], secret: int = 0) -> pa.RecordBatch | None:
-    """Groups (docs, places, left, right, hashes of the anchor, whether full) in order of document and place: what repeats an earlier context's string.
+    """Groups (docs, places, left, right, hashes of the anchor, bits) in order of document and place: what repeats an earlier context's string.
 
-    For full groups, which may have other pieces, also a row with a fingerprint for each first or single string.
+    A context's bits tell the blocks whose core another piece has; for their first or single strings also a row with a fingerprint each.
     """
     text, sizes, start, left, right = _symbols(groups)
     array = suffix_arrays(text, sizes)
@@ -494,7 +513,8 @@ def repeats(groups: list[tuple], secret: int = 0) -> pa.RecordBatch | None:
         cut = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
         none = np.zeros(len(cut), np.int64)
         out.append((doc[w[cut]], np.minimum.reduceat(b, cut), np.maximum.reduceat(b, cut) + LENGTH, none, none))
-    full = np.array([g[5] for g in groups])[group_of[who]] & ~later
+    block = (left[who] - (order - start[who])) // BLOCK
+    full = (np.concatenate([g[5] for g in groups])[who] >> block & 1 > 0) & ~later
     if full.any():
         at = order[full]
         keys = np.array([g[4] for g in groups], np.int64).view(np.uint64).T[:, group_of[who[full]]]
@@ -504,27 +524,28 @@ def repeats(groups: list[tuple], secret: int = 0) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[x.split()[0] for x in REPEATS.split(", ")])
 
 
-def _compare(group: int, secret: int):
-    """Over contexts sorted by (key, piece, doc_id, pos): groups are gathered by size, so that those in step are alike."""
+def _compare(secret: int):
+    """Over contexts, and the blocks whose cores they share with other pieces, sorted by (key, piece, doc_id, pos): groups are
+    gathered by size, so that those in step are alike."""
 
     def run(batches):
         bins: dict[int, list] = {}
         filled: dict[int, int] = {}
-        open_, members = None, []
+        open_, members, bits = None, [], {}
 
         def close():
-            if not members or len(members) == 1 and open_[1] == 0:
+            if len(members) == 1 and not bits:
                 return
             by_anchor: dict = {}  # one, unless different anchors share a key
             for m in members:
                 by_anchor.setdefault(m[4:], []).append(m)
             for hashes, own in by_anchor.items():
                 b = len(own).bit_length()
-                bins.setdefault(b, []).append((np.array([m[0] for m in own]), np.array([m[1] for m in own]), [m[2] for m in own], [m[3] for m in own], hashes, len(members) >= group or open_[1] > 0))
+                bins.setdefault(b, []).append((np.array([m[0] for m in own]), np.array([m[1] for m in own]), [m[2] for m in own], [m[3] for m in own], hashes, np.array([bits.get(m[:2], 0) for m in own])))
                 filled[b] = filled.get(b, 0) + len(own)
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(9))):
                 if row[:2] != open_:
                     close()
                     for b in [b for b, n in filled.items() if n > 20000]:
@@ -532,9 +553,11 @@ def _compare(group: int, secret: int):
                         del filled[b]
                         if made is not None:
                             yield made
-                    open_, members = row[:2], []
-                if not members or members[-1][:2] != row[2:4]:  # a repeated row of the documents gives its contexts again
-                    members.append(row[2:])
+                    open_, members, bits = row[:2], [], {}
+                if row[8] >= 0:
+                    bits[row[2:4]] = bits.get(row[2:4], 0) | 1 << row[8]
+                elif not members or members[-1][:2] != row[2:4]:  # a repeated row of the documents gives its contexts again
+                    members.append(row[2:8])
         close()
         for b in list(bins):
             made = repeats(bins.pop(b), secret)
@@ -544,10 +567,19 @@ def _compare(group: int, secret: int):
     return run
 
 
-def _repeats(docs: DataFrame, found: DataFrame, scratch: Scratch, group: int, secret: int) -> DataFrame:
-    wanted = found.filter("not covered").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key", "piece")).alias("wanted"))
-    sides = map_slices(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted"), "text", SIDES, _fetch(secret))
-    return scratch.write(sides.repartition("key", "piece").sortWithinPartitions("key", "piece", "doc_id", "pos").mapInArrow(_compare(group, secret), REPEATS), "repeats")
+def _repeats(docs: DataFrame, found: DataFrame, scratch: Scratch, secret: int) -> DataFrame:
+    places = found.filter("not covered").select("doc_id", "pos", "key", "piece")
+    more = places.filter("piece > 0")  # piece 0 of a key with others has GROUP places at most
+    several = F.coalesce("several", F.lit(False)).alias("several")
+    first = places.filter("piece = 0").join(more.select("key").distinct().withColumn("several", F.lit(True)), "key", "left").select(*places.columns, several)
+    wanted = first.unionByName(more.withColumn("several", F.lit(True))).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key", "piece", "several")).alias("wanted"))
+    sides = scratch.write(map_slices(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted"), "text", SIDES, _fetch(secret)), "sides")
+    at = ["key", "piece", "doc_id", "pos"]
+    held = sides.filter("cores is not null").select(*at, F.posexplode("cores").alias("block", "core")).filter("core is not null")
+    shared = held.groupBy("core").agg(F.min("piece").alias("a"), F.max("piece").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b")
+    flags = spread_join(held, scratch.write(shared.select("core", "n"), "shared"), "core", held.count()).select(*at, "block")
+    both = sides.drop("cores").withColumn("block", F.lit(-1)).unionByName(flags, allowMissingColumns=True)
+    return scratch.write(both.repartition("key", "piece").sortWithinPartitions(*at).mapInArrow(_compare(secret), REPEATS), "repeats")
 
 
 def repeated_runs(docs: DataFrame, group: int = GROUP, piece: int = PIECE, hot: int = HOT) -> DataFrame:
@@ -559,7 +591,7 @@ def repeated_runs(docs: DataFrame, group: int = GROUP, piece: int = PIECE, hot:
     own = docs.filter("doc_id is not null and octet_length(text) >= " + str(LENGTH)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     places = own.mapInArrow(_places(secret, piece, hot), PLACES).repartition("key", "salt")
     found = scratch.write(places.sortWithinPartitions(*_PLACES).mapInArrow(_sift(group), FOUND), "found")
-    made = _repeats(own, found, scratch, group, secret)
+    made = _repeats(own, found, scratch, secret)
     prints = made.filter("f2 <> 0")
     first = prints.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     across = prints.join(first, ["f1", "f2"]).filter(F.struct("doc_id", "lo") != F.col("first")).select("doc_id", "lo", "hi")

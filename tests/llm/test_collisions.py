@@ -43,6 +43,28 @@ def test_anchors_with_one_key(spark):
     assert {r.n_removed for r in suffix.removal_report(spark.createDataFrame(pair, "doc_id long, text string")).collect()} == {0}
 
 
+def test_fingerprints_only_where_pieces_share_a_core(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    letters = lambda n: bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8), n)).decode()
+    line, passage, made = letters(60), letters(125), []
+    write = suffix.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name == "repeats":
+            made.append(out.filter("f2 <> 0").count())
+        return out
+
+    monkeypatch.setattr(suffix.Scratch, "write", counted)
+    rows = list(enumerate(letters(120) + line + letters(120) for _ in range(60)))  # a line too short to be removed
+    removed = lambda rows, **how: {r.doc_id: r.n_removed for r in suffix.removal_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **how).collect()}
+    assert removed(rows, group=4) == removed(rows, hot=1) == brute_removed(rows)
+    assert made == [0, 0]
+    rows += list(enumerate((letters(90)[k % 7 :] + passage[k % 3 :] + letters(90) for k in range(60)), 100))
+    assert removed(rows, group=4) == removed(rows, hot=1) == brute_removed(rows)
+    assert min(made[2:]) > 0
+
+
 def _unmixed(x: int) -> int:
     """The number that quality._mix makes into x."""
     m = 1 << 64

@@ -18,6 +18,7 @@ from quillspark.functions.vectors import softmax
 from quillspark.operators.chunks import chunks
 from quillspark.operators.embeddings import pooled
 from quillspark.operators.metrics import class_weights
+from quillspark.session import dropped_shuffles
 
 #: array<string> of texts to a matrix; made once in a task.
 Encoder = Callable[[], Callable[[list[str]], np.ndarray]]
@@ -73,9 +74,13 @@ def _ready(rows: DataFrame, vector: str) -> DataFrame:
 def fit_logistic(train: DataFrame, label: str, vector: str = "vector", c: float = 4.0, iterations: int = 3000, tolerance: float = 1e-6) -> tuple[StringIndexerModel, LogisticRegressionModel]:
     """Multinomial regression with balanced weights; regularisation 1 / (C * sum of weights), as the usual library has it."""
     names = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
-    weighed = names.transform(_ready(train, vector)).join(class_weights(train, label).select(label, "weight"), label)
+    weights = F.broadcast(class_weights(train, label).select(label, "weight"))  # a row a class, as the indexer holds on the driver
+    weighed = names.transform(_ready(train, vector)).join(weights, label)
+    # each step shuffles a gradient of each partition, so there are no more of them than cores
+    weighed = weighed.coalesce(train.sparkSession.sparkContext.defaultParallelism)
     lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial", regParam=1 / (c * train.count()), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=tolerance)
-    return names, lr.fit(weighed)
+    with dropped_shuffles(train.sparkSession):
+        return names, lr.fit(weighed)
 
 
 def predict(rows: DataFrame, model: tuple[StringIndexerModel, LogisticRegressionModel], vector: str = "vector") -> DataFrame:

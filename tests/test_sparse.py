@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import retrieval, sparse, splits
+from quillspark.operators import blocks, retrieval, sparse, splits
 from quillspark.plans import similarity
 
 
@@ -95,3 +95,28 @@ def test_quotas_without_sorting_a_class(spark, monkeypatch, size):
         assert order == sorted(order) and abs(order.count("test") - len(own) * 0.25) < 1
     assert splits.stratified_subset(data.limit(0), "label", "id", 0.5).collect() == []
     assert data.join(splits.stratified_subset(data.withColumn("label", F.lit(None).cast("string")), "label", "id", 0.1).select("id"), "id").count() == 20
+
+
+@pytest.mark.parametrize(("rows", "groups"), [(8192, 6), (20, 3)])
+def test_neighbours_of_copies_and_of_groups(spark, monkeypatch, rows, groups):
+    for name, n in (("ROWS", rows), ("GROUPS", groups), ("FEW", 20), ("RARE", 5), ("WIDE", 7), ("STRIP", 300)):
+        monkeypatch.setattr(sparse, name, n)
+    own = rows_of(120, 4)
+    for q in range(3, 120, 3):
+        own[q] = dict(own[3])  # equal rows, many more than are asked for
+    weights = spark.createDataFrame([(q, t, w) for q, a in own.items() for t, w in a.items()], "doc_id long, term string, w double").repartition(5)
+    got = defaultdict(list)
+    for r in sparse.neighbours(weights, 4).orderBy("query", "rank").collect():
+        got[r["query"]].append((r.neighbour, r.score))
+    assert dict(got) == {q: x for q, x in brute(own, 4).items() if x}
+    different = len({tuple(sorted(a.items())) for a in own.values()})
+    assert different < 90 and sparse.candidates(weights, 4).count() < different * (different - 1)  # copies are compared once
+
+
+def test_rows_of_blocks_are_equal_for_equal_documents(spark):
+    docs = spark.createDataFrame([(1, ["b", "a", "z", "c"]), (2, ["a", "c", "b", "z"]), (3, ["y", "a", "a"])], "doc_id long, tokens array<string>")
+    counted = blocks.counted(docs.repartition(3), "doc_id")
+    known = spark.createDataFrame([("a", 1.1, 0), ("b", 1.3, 1), ("c", 1.7, 2), ("z", 1.9, -1), ("y", 2.3, -1)], "term string, idf double, feature_index int")
+    got = {r.doc_id: (r.indices, r["values"]) for r in blocks.sparse_rows(counted, known, ["doc_id"], sublinear=True).collect()}
+    assert got[1] == got[2] and got[1][0] == [0, 1, 2] and got[3][0] == [0]
+    assert abs(got[3][1][0] - (1 + math.log(2)) * 1.1 / math.hypot((1 + math.log(2)) * 1.1, 2.3)) < 1e-12

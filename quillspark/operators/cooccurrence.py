@@ -102,9 +102,9 @@ def glove_pass(rate: float, x_max: float, power: float, batch: int = 4096, run:
             pull = weight[part] * gap
             total += 0.5 * float(pull @ gap)
             u[:, -1] = v[:, -1] = 1.0  # now what a bias is multiplied by
+            rows, grads = rotation.run_sums(a, pull, v, run)
             u *= pull[:, None]
-            v *= pull[:, None]
-            rotation.descend(main.value, main.seen, a, v, rate)
+            rotation.descend(main.value, main.seen, rows, grads, rate)
             rotation.descend(other.value, other.seen, b, u, rate)
         return total
 
@@ -112,7 +112,7 @@ def glove_pass(rate: float, x_max: float, power: float, batch: int = 4096, run:
 
 
 def train_glove(
-    pairs: DataFrame, size: int = 100, epochs: int = 35, rate: float = 0.05, x_max: float = 100.0, power: float = 0.75, seed: int = 42, terms: int = 20_000, least_blocks: int = 4, passes: int = 7, chain: int = 8
+    pairs: DataFrame, size: int = 100, epochs: int = 35, rate: float = 0.05, x_max: float = 100.0, power: float = 0.75, seed: int = 42, terms: int = 20_000, least_blocks: int = 8, passes: int = 7, chain: int = 8
 ) -> tuple[DataFrame, DataFrame]:
     """(word, vector) and (epoch, loss): sums of word and context vectors by weighted least squares with AdaGrad, trained by rotating blocks.
 

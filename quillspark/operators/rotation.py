@@ -31,9 +31,25 @@ LEVELS = 8
 PART = 4096
 
 
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """Places of rows in stable order; numbers of 16 bits are sorted by their digits, in linear time."""
+    return np.argsort(rows.astype(np.uint16) if len(rows) and rows.max() < 1 << 16 else rows, kind="stable")
+
+
+def run_sums(rows: np.ndarray, weights: np.ndarray, vectors: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and gradients weights * vectors; those of the full runs that a batch begins with are one gradient a run."""
+    m = len(rows) // run
+    blocks = rows[: m * run].reshape(m, run)
+    full = (blocks == blocks[:, :1]).all(axis=1)
+    lead = m if full.all() else int(full.argmin())
+    c = lead * run
+    sums = np.matmul(weights[:c].reshape(lead, 1, run), vectors[:c].reshape(lead, run, vectors.shape[1]))[:, 0]
+    return np.concatenate([blocks[:lead, 0], rows[c:]]), np.concatenate([sums, weights[c:, None] * vectors[c:]])
+
+
 def add_up(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different rows and the sums of their gradients: the first few of each row together, the rest of frequent rows by segments."""
-    order = np.argsort(rows, kind="stable")
+    order = _sorted(rows)
     ordered = rows[order]
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(starts, append=len(rows))
@@ -67,11 +83,11 @@ def descend(value: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads: np.nda
 
 
 def batches(i: np.ndarray, run: int, size: int, rng: np.random.Generator) -> list[np.ndarray]:
-    """Places of pairs in batches of about `size`: runs of up to `run` pairs of one word, in random order."""
+    """Places of pairs in batches of about `size`: runs of up to `run` pairs of one word, in random order, a batch's full runs first."""
     if not len(i):
         return []
     order = rng.permutation(len(i))
-    order = order[np.argsort(i[order], kind="stable")]
+    order = order[_sorted(i[order])]
     a = i[order]
     first = np.r_[True, a[1:] != a[:-1]]
     start = np.flatnonzero(first)
@@ -81,9 +97,13 @@ def batches(i: np.ndarray, run: int, size: int, rng: np.random.Generator) -> lis
     dealt = rng.permutation(len(starts))
     starts, lengths = starts[dealt], lengths[dealt]
     ends = np.cumsum(lengths)
+    cuts = np.unique(np.minimum(np.searchsorted(ends, np.arange(size, len(a), size)), len(ends) - 1)) + 1
+    within = np.lexsort((lengths < run, np.repeat(np.arange(len(cuts) + 1), np.diff(np.r_[0, cuts, len(starts)]))))
+    bounds = ends[cuts - 1]
+    starts, lengths = starts[within], lengths[within]
+    ends = np.cumsum(lengths)
     places = np.arange(len(a)) + np.repeat(starts - (ends - lengths), lengths)
-    cuts = np.searchsorted(ends, np.arange(size, len(a), size))
-    return np.split(order[places], np.unique(ends[np.minimum(cuts, len(ends) - 1)]))
+    return np.split(order[places], bounds)
 
 
 @dataclass

@@ -60,13 +60,18 @@ def gradients(u: np.ndarray, v: np.ndarray, x: np.ndarray, asked: np.ndarray, no
 
     loss = sum x log(1 + exp(-u.v)) + each * sum log(1 + exp(asked.noise)).
     """
-    near, far = np.einsum("pd,pd->p", u, v), asked @ noise.T
-    loss = float(x @ np.logaddexp(0, -near)) + each * float(np.logaddexp(0, far).sum())
-    pull = -x / (1 + np.exp(np.minimum(near, 80)))
-    push = each / (1 + np.exp(np.minimum(-far, 80)))
+    loss, pull, push = _slopes(u, v, x, asked, noise, each)
     return loss, pull[:, None] * v, pull[:, None] * u, push @ noise, push.T @ asked
 
 
+def _slopes(u: np.ndarray, v: np.ndarray, x: np.ndarray, asked: np.ndarray, noise: np.ndarray, each: float):
+    """The loss and its slopes by the products of pairs and by those of asked words with draws."""
+    near, far = np.einsum("pd,pd->p", u, v), asked @ noise.T
+    a, b = np.exp(-np.abs(near)), np.exp(-np.abs(far))
+    loss = float(x @ (np.log1p(a) - np.minimum(near, 0))) + each * float((np.log1p(b) + np.maximum(far, 0)).sum())
+    return loss, -x * np.where(near > 0, a, 1) / (1 + a), each * np.where(far > 0, 1, b) / (1 + b)
+
+
 def _extra(key_mass: str, grams: bool):
     """What a block's rows need: the words' masses (and n-grams), or the contexts' masses for draws."""
 
@@ -128,12 +133,20 @@ def skip_pass(negatives: int, noise_total: float, rate: float, batch: int = 4096
             many = max(1, round(negatives * len(part) / few))
             rows = np.concatenate([i[part], words.alias.draw(few, rng)])
             rare = draws.draw(many, rng)
-            different, of = np.unique(rows, return_inverse=True)
-            u = words.vectors(different)[of]
-            n = len(part)
-            loss, du, dv, da, dn = gradients(u[:n], other.value[j[part]], x[part], u[n:], other.value[rare], mass * n / len(i) / few / many)
-            words.move(rows, np.concatenate([du, da]), rate)
-            descend(other.value, other.seen, np.concatenate([j[part], rare]), np.concatenate([dv, dn]).astype(np.float32), rate)
+            n, held = len(part), np.concatenate([j[part], rare])
+            if grams is None:
+                u = main.value.take(rows, axis=0)
+            else:
+                different, of = np.unique(rows, return_inverse=True)
+                u = words.vectors(different)[of]
+            v = other.value.take(held, axis=0)
+            loss, pull, push = _slopes(u[:n], v[:n], x[part], u[n:], v[n:], mass * n / len(i) / few / many)
+            own, grads = rotation.run_sums(rows[:n], pull, v[:n], run)
+            moved = np.empty_like(v)
+            np.multiply(u[:n], pull[:, None], out=moved[:n])
+            np.matmul(push.T, u[n:], out=moved[n:])
+            words.move(np.concatenate([own, rows[n:]]), np.concatenate([grads, push @ v[n:]]), rate)
+            descend(other.value, other.seen, held, moved, rate)
             total += loss
         return total
 

@@ -252,3 +252,28 @@ def test_analysis_of_vectors(spark):
     assert all({r.word for r in out[x].collect()} == every for x in ("word2vec", "fasttext", "glove"))
     assert out["glove_losses"].count() == 35 and out["article_vectors"].count() == 60 and out["plane"].count() == 60 and out["subwords"].count() > 100
     assert out["retrieval"].first().n_queries == 60 and out["retrieval"].first().precision_at_k > 0.9
+
+
+def test_full_runs_come_first_and_are_one_gradient():
+    rng = np.random.default_rng(4)
+    i = rng.integers(0, 30, 700).astype(np.int32)
+    for part in rotation.batches(i, 8, 128, rng):
+        rows, w, v = i[part], rng.normal(size=len(part)).astype(np.float32), rng.normal(size=(len(part), 5)).astype(np.float32)
+        got, grads = rotation.run_sums(rows, w, v, 8)
+        m = len(rows) // 8
+        full = (rows[: 8 * m].reshape(m, 8) == rows[: 8 * m : 8, None]).all(axis=1)
+        lead = m if full.all() else int(full.argmin())
+        assert lead >= 5 and len(got) == len(rows) - 7 * lead
+        want, have = np.zeros((30, 5)), np.zeros((30, 5))
+        np.add.at(want, rows, w[:, None] * v)
+        np.add.at(have, got, grads)
+        assert np.allclose(want, have, atol=1e-4)
+    assert np.array_equal(rotation._sorted(np.array([70_000, 3, 3, 65_536, 0])), [4, 1, 2, 3, 0])
+
+
+def test_glove_is_trained_in_eight_blocks(spark, monkeypatch):
+    asked, blocks_for = [], rotation.blocks_for
+    monkeypatch.setattr(rotation, "blocks_for", lambda *a: asked.append(blocks_for(*a)) or asked[-1])
+    words = [f"w{k}" for k in range(12)]
+    pairs = spark.createDataFrame([(a, b, 1.0) for a in words for b in words if a < b], "center string, context string, weight double")
+    assert cooccurrence.train_glove(pairs, size=4, epochs=1)[0].count() == 12 and asked == [8]

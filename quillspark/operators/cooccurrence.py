@@ -118,11 +118,11 @@ def train_glove(
 
     Vectors start normal with deviation 0.5 / size and biases at 0. An epoch's loss is the mean over all pairs, taken as they are trained.
     """
-    if pairs.isEmpty():
-        raise ValueError("there are no co-occurrences")
     spark, folder = pairs.sparkSession, work_dir(pairs.sparkSession, "glove")
     pairs.select("center", "context", "weight").write.parquet(folder + "/raw")
-    raw = spark.read.parquet(folder + "/raw")
+    raw = spark.read.parquet(folder + "/raw")  # the pairs are made once
+    if raw.isEmpty():
+        raise ValueError("there are no co-occurrences")
     words = raw.select(F.explode(F.array("center", "context")).alias("word")).distinct()
     blocks = rotation.blocks_for(words.count(), terms, least_blocks)
     rotation.deal(words, blocks).write.parquet(folder + "/words")

@@ -277,3 +277,16 @@ def test_glove_is_trained_in_eight_blocks(spark, monkeypatch):
     words = [f"w{k}" for k in range(12)]
     pairs = spark.createDataFrame([(a, b, 1.0) for a in words for b in words if a < b], "center string, context string, weight double")
     assert cooccurrence.train_glove(pairs, size=4, epochs=1)[0].count() == 12 and asked == [8]
+
+
+def test_glove_makes_its_pairs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    pairs = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 2.0)], "center string, context string, weight double").coalesce(1)
+    cooccurrence.train_glove(pairs.mapInArrow(rows, pairs.schema), size=4, epochs=1)
+    assert made.value == 2

@@ -108,12 +108,13 @@ def batches(i: np.ndarray, run: int, size: int, rng: np.random.Generator) -> lis
 
 @dataclass
 class Side:
-    """A block's vectors, the sums of squares of their gradients, and what the objective keeps of them."""
+    """A block's vectors, the sums of squares of their gradients, what the objective keeps of them, and a table for draws that all passes of a visit share."""
 
     block: int
     value: np.ndarray
     seen: np.ndarray
     extra: bytes
+    draws: object = None
 
 
 #: (pairs i, j, x; words; contexts; n-grams or None; rng): the loss of one pass over a visit's pairs, which changes the sides.

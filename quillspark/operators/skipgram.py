@@ -96,7 +96,9 @@ class _Words:
             self.count = np.frombuffer(side.extra, np.int32, n, 4 * n)
             self.flat = np.frombuffer(side.extra, np.int32, -1, 8 * n)
             self.first = np.cumsum(self.count) - self.count
-        self.alias = Alias(self.mass) if self.mass.sum() > 0 else None
+        if side.draws is None and self.mass.sum() > 0:
+            side.draws = Alias(self.mass)
+        self.alias = side.draws
 
     def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The buckets of different rows one after another, and where each row's begin."""
@@ -126,7 +128,7 @@ def skip_pass(negatives: int, noise_total: float, rate: float, batch: int = 4096
     def train(i, j, x, main, other, grams, rng):
         words, total = _Words(main, grams), 0.0
         noise = np.frombuffer(other.extra, np.float32)
-        draws = Alias(noise)
+        draws = other.draws = other.draws or Alias(noise)
         mass = negatives * float(words.mass.sum(dtype=float)) * float(noise.sum(dtype=float)) / noise_total
         for part in rotation.batches(i, run, batch, rng):
             few = max(1, min(asked, len(part)))

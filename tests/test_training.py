@@ -290,3 +290,14 @@ def test_glove_makes_its_pairs_once(spark):
     pairs = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 2.0)], "center string, context string, weight double").coalesce(1)
     cooccurrence.train_glove(pairs.mapInArrow(rows, pairs.schema), size=4, epochs=1)
     assert made.value == 2
+
+
+def test_passes_of_a_visit_share_their_tables(monkeypatch):
+    made, alias = [], skipgram.Alias
+    monkeypatch.setattr(skipgram, "Alias", lambda m: made.append(len(m)) or alias(m))
+    rng = np.random.default_rng(6)
+    sides = [Side(k, rng.normal(0, 0.1, (6, 4)).astype(np.float32), np.ones((6, 4), np.float32), np.ones(6, np.float32).tobytes()) for k in range(2)]
+    i, j = np.arange(6), np.arange(6)[::-1].copy()
+    one = skipgram.skip_pass(2, 6.0, 0.05)
+    losses = [one(i, j, np.ones(6, np.float32), *sides, None, rng) for _ in range(30)]
+    assert made == [6, 6] and losses[-1] < losses[0]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +15,9 @@ from pyspark.sql import functions as F
 from quillspark.operators import rotation
 from quillspark.session import work_dir
 
+#: Tokens whose pairs are summed together; hashes of either term, whose pairs are the buckets.
+STEP, SIDE = 1_000_000, 16
+
 
 def frequent(tokens: DataFrame, least: int = 3, column: str = "tokens") -> DataFrame:
     """(term, n) of terms found `least` times or more."""
@@ -34,14 +41,47 @@ def _rare(docs: DataFrame, key: str, least: int, column: str) -> DataFrame:
     return places.groupBy(key).agg(F.collect_list("term").alias("rare"))
 
 
-def _near_pairs(weights: list[float], step: int = 200_000):
-    """Over (tokens, rare): (lo, hi, weight), the pairs of kept tokens at most so far apart as there are weights, in alphabetical
-    order and summed for `step` tokens at a time."""
+def _scale(weights: list[float]) -> int | None:
+    """The least number, up to a bound, that makes whole numbers of all weights; None if there is none."""
+    scale = math.lcm(*(Fraction(w).limit_denominator(1000).denominator for w in weights))
+    return scale if scale <= 1_000_000 and all(abs(w * scale - round(w * scale)) < 1e-9 for w in weights) else None
+
+
+def _packed(lo_terms: pa.Array, hi_terms: pa.Array, counts: np.ndarray, steps: np.ndarray, sums: np.ndarray) -> bytes:
+    """One bucket's pairs: its terms, pairs of each first term, steps between the numbers of their second terms, and sums."""
+    small = lambda x: pa.array(x.astype(np.min_scalar_type(int(x.max())))) if x.dtype.kind != "f" else pa.array(x)
+    columns = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (lo_terms, hi_terms, small(counts), small(steps), small(sums))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["lo", "hi", "counts", "steps", "sums"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _near_pairs(weights: list[float], scale: int | None):
+    """Over (tokens, rare): (bucket, data), the pairs of kept tokens at most so far apart as there are weights, in alphabetical
+    order, summed for STEP tokens at a time and packed by bucket."""
     window = len(weights)
+    each = [round(w * scale) for w in weights] if scale else weights
+
+    def pack(terms: pa.Array, key: np.ndarray, sums: np.ndarray):
+        side = np.array([zlib.crc32(x.as_buffer()) % SIDE for x in terms.cast(pa.binary())])
+        lo, hi = key // len(terms), key % len(terms)
+        bucket = (side[lo] * SIDE + side[hi]).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        bucket, lo, hi, sums = bucket[order], lo[order], hi[order], sums[order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        found = []
+        for s, e in zip(cuts, np.r_[cuts[1:], len(bucket)]):
+            starts = np.flatnonzero(np.r_[True, lo[s + 1 : e] != lo[s : e - 1]])
+            different, at = np.unique(hi[s:e], return_inverse=True)
+            steps = np.diff(at, prepend=0)
+            steps[starts] = at[starts]
+            found.append(_packed(terms.take(pa.array(lo[s:e][starts])), terms.take(pa.array(different)), np.diff(np.r_[starts, e - s]), steps, sums[s:e]))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(found, pa.binary())], names=["bucket", "data"])
 
     def run(batches):
-        for batch in batches:
-            tokens = batch.column("tokens")
+        for tokens, rare in _joined(batches):
             size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = tokens.flatten()
             if not len(flat):
@@ -52,23 +92,67 @@ def _near_pairs(weights: list[float], step: int = 200_000):
             order = pc.sort_indices(terms)
             rank[order.to_numpy()] = np.arange(len(terms))
             code, row = rank[coded.indices.to_numpy(zero_copy_only=False)], np.repeat(np.arange(len(size)), size)
-            terms, rare = terms.take(order), batch.column("rare")
+            terms = terms.take(order)
             gone = pc.index_in(rare.flatten(), terms).to_numpy(zero_copy_only=False)
             if len(gone):
                 of = np.repeat(np.arange(len(size)), pc.fill_null(pc.list_value_length(rare), 0).to_numpy(zero_copy_only=False))
                 kept = ~np.isin(row * len(terms) + code, of * len(terms) + gone)
                 code, row = code[kept], row[kept]
-            for s in range(0, len(code), step):
+            for s in range(0, len(code), STEP):
                 keys, sums = [], []
                 for d in range(1, window + 1):
-                    e = min(s + step, len(code) - d)
+                    e = max(s, min(s + STEP, len(code) - d))  # none where so few tokens are left
                     same = row[s:e] == row[s + d : e + d]
                     a, b = code[s:e][same], code[s + d : e + d][same]
                     keys.append(np.minimum(a, b) * len(terms) + np.maximum(a, b))
-                    sums.append(np.full(len(a), weights[d - 1]))
+                    sums.append(np.full(len(a), each[d - 1], float))
                 key, of = np.unique(np.concatenate(keys), return_inverse=True)
                 if len(key):
-                    yield pa.RecordBatch.from_arrays([terms.take(pa.array(key // len(terms))), terms.take(pa.array(key % len(terms))), pa.array(np.bincount(of, np.concatenate(sums)))], names=["lo", "hi", "weight"])
+                    summed = np.bincount(of, np.concatenate(sums))
+                    yield pack(terms, key, summed.astype(np.int64) if scale else summed)
+
+    return run
+
+
+def _joined(batches):
+    """Columns tokens and rare of batches, of about STEP tokens together."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += pc.sum(pc.list_value_length(batch.column("tokens"))).as_py() or 0
+        if n >= STEP:
+            yield [pa.concat_arrays([b.column(c) for b in held]) for c in ("tokens", "rare")]
+            held, n = [], 0
+    if held:
+        yield [pa.concat_arrays([b.column(c) for b in held]) for c in ("tokens", "rare")]
+
+
+def _unpacked(scale: int | None):
+    """Over a bucket's (bucket, data): (center, context, weight), both directions of its pairs."""
+
+    def run(key, rows):
+        lo_terms, hi_terms, los, his, sums = [], [], [], [], []
+        n_lo = n_hi = 0
+        for data in rows.column("data"):
+            part = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
+            a, b, counts, steps, own = (part.column(c).combine_chunks().flatten() for c in ("lo", "hi", "counts", "steps", "sums"))
+            counts, steps = counts.to_numpy().astype(np.int64), steps.to_numpy().astype(np.int64)
+            starts, run_up = np.cumsum(counts) - counts, np.cumsum(steps)
+            his.append(run_up - np.repeat(run_up[starts] - steps[starts], counts) + n_hi)
+            los.append(np.repeat(np.arange(len(a)), counts) + n_lo)
+            sums.append(own.to_numpy())
+            lo_terms.append(a)
+            hi_terms.append(b)
+            n_lo, n_hi = n_lo + len(a), n_hi + len(b)
+        coded = pa.concat_arrays(lo_terms + hi_terms).dictionary_encode()
+        terms, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        pairs, of = np.unique(code[np.concatenate(los)] * len(terms) + code[n_lo:][np.concatenate(his)], return_inverse=True)
+        weight = np.bincount(of, np.concatenate(sums)) / (scale or 1)
+        lo, hi = pairs // len(terms), pairs % len(terms)
+        other = lo != hi
+        weight = np.where(other, weight, 2 * weight)
+        take = lambda x, y: terms.take(pa.array(np.concatenate([x, y[other]])))
+        return pa.Table.from_arrays([take(lo, hi), take(hi, lo), pa.array(np.concatenate([weight, weight[other]]))], names=["center", "context", "weight"])
 
     return run
 
@@ -77,17 +161,16 @@ def cooccurrence(docs: DataFrame, key: str = "doc_id", window: int = 5, least: i
     """(center, context, weight): sums over pairs of tokens in a document, counted after rare terms are gone; `weights` by
     distance, 1 / distance if not given.
 
-    The places of rare terms are few, and only they meet the documents. Pairs are made and summed inside a batch of
-    documents, once for both directions, before they are shuffled.
+    The places of rare terms are few, and only they meet the documents. Pairs are made and summed inside STEP tokens, once for
+    both directions, and shuffled as packed bytes in SIDE * SIDE buckets by both terms' hashes, so that a frequent term's pairs
+    lie in many buckets. Weights are summed as whole numbers if a scale makes them such, so their order does not matter.
     """
     rows = docs.select(F.col(key), F.col(column).alias("tokens"))
     rare = _rare(docs, key, least, column).withColumnRenamed(key, "_key")
-    near = _near_pairs(weights or [1.0 / d for d in range(1, window + 1)])
-    found = rows.join(rare, F.col(key).eqNullSafe(F.col("_key")), "left").select("tokens", "rare").mapInArrow(near, "lo string, hi string, weight double")
-    sums = found.groupBy("lo", "hi").agg(F.sum("weight").alias("weight"))
-    way = lambda a, b, k: F.struct(F.col(a).alias("center"), F.col(b).alias("context"), (F.col("weight") * k).alias("weight"))
-    both = F.when(F.col("lo") == F.col("hi"), F.array(way("lo", "hi", 2))).otherwise(F.array(way("lo", "hi", 1), way("hi", "lo", 1)))
-    return sums.select(F.explode(both).alias("p")).select("p.*")
+    weights = weights or [1.0 / d for d in range(1, window + 1)]
+    scale = _scale(weights)
+    found = rows.join(rare, F.col(key).eqNullSafe(F.col("_key")), "left").select("tokens", "rare").mapInArrow(_near_pairs(weights, scale), "bucket int, data binary")
+    return found.groupBy("bucket").applyInArrow(_unpacked(scale), "center string, context string, weight double")
 
 
 def glove_pass(rate: float, x_max: float, power: float, batch: int = 4096, run: int = 8):

@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,20 @@ def test_rows_of_blocks_are_equal_for_equal_documents(spark):
     got = {r.doc_id: (r.indices, r["values"]) for r in blocks.sparse_rows(counted, known, ["doc_id"], sublinear=True).collect()}
     assert got[1] == got[2] and got[1][0] == [0, 1, 2] and got[3][0] == [0]
     assert abs(got[3][1][0] - (1 + math.log(2)) * 1.1 / math.hypot((1 + math.log(2)) * 1.1, 2.3)) < 1e-12
+
+
+@pytest.mark.parametrize("rare", [0, 3, 1000])
+def test_lists_and_dense_products_give_the_same_pairs(monkeypatch, rare):
+    for name, n in (("RARE", rare), ("WIDE", 7), ("STRIP", 300)):
+        monkeypatch.setattr(sparse, name, n)
+    rows = rows_of(60, 8, 20)
+    number = {t: i for i, t in enumerate(sorted({t for a in rows.values() for t in a}))}
+    cells = {q: sorted((number[t], w) for t, w in a.items()) for q, a in rows.items()}
+    table = pa.table({"mark": [b"%02d" % q for q in rows], "indices": pa.array([[t for t, _ in c] for c in cells.values()], pa.list_(pa.int32())), "values": [[w for _, w in c] for c in cells.values()], "group": pa.array([q % 2 for q in rows], pa.int32())})
+    got = defaultdict(list)
+    for low, high in ((0, 0), (0, 1), (1, 1)):
+        own = table.filter(pa.array([q % 2 in (low, high) for q in rows]))
+        for r in sparse._meet(4)((pa.scalar(low), pa.scalar(high)), own).to_pylist():
+            got[int(r["query"])].append((-r["s"], int(r["other"])))
+    want = {q: [x for x in found if x[1] > 0] for q, found in brute(rows, 3).items()}
+    assert {q: [(d, round(-s, 6)) for s, d in sorted(x for x in got[q] if x[1] != q)[:3]] for q in rows} == want

@@ -2,8 +2,11 @@
 
 import math
 import random
+from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,3 +304,41 @@ def test_passes_of_a_visit_share_their_tables(monkeypatch):
     one = skipgram.skip_pass(2, 6.0, 0.05)
     losses = [one(i, j, np.ones(6, np.float32), *sides, None, rng) for _ in range(30)]
     assert made == [6, 6] and losses[-1] < losses[0]
+
+
+@pytest.mark.parametrize(("step", "weights"), [(1_000_000, None), (70, None), (70, [0.7310585, 0.1234567])])
+def test_packed_pairs_are_those_of_the_tokens(monkeypatch, step, weights):
+    monkeypatch.setattr(cooccurrence, "STEP", step)
+    rng = np.random.default_rng(9)
+    docs = [[f"w{k}" for k in rng.zipf(1.4, n) % 50] for n in (60, 0, 1, 90, 200)] + [None, ["é", "w1", "é"]]
+    rare = [["w3"] if k % 2 else None for k in range(len(docs))]
+    used = weights or [1 / d for d in range(1, 6)]
+    scale = cooccurrence._scale(used)
+    assert scale == (None if weights else 60)
+    want = defaultdict(float)
+    for doc, gone in zip(docs, rare):
+        kept = [w for w in doc or [] if w not in (gone or [])]
+        for at, a in enumerate(kept):
+            for d, x in enumerate(used, 1):
+                if at + d < len(kept):
+                    want[a, kept[at + d]] += x
+                    want[kept[at + d], a] += x
+    kind = pa.list_(pa.string())
+    batches = [pa.record_batch([pa.array(docs[s : s + 2], kind), pa.array(rare[s : s + 2], kind)], names=["tokens", "rare"]) for s in range(0, len(docs), 2)]
+    rows = pa.Table.from_batches(list(cooccurrence._near_pairs(used, scale)(batches)))
+    got = {}
+    for bucket in set(rows.column("bucket").to_pylist()):
+        for r in cooccurrence._unpacked(scale)(None, rows.filter(pc.equal(rows.column("bucket"), bucket))).to_pylist():
+            assert (r["center"], r["context"]) not in got
+            got[r["center"], r["context"]] = r["weight"]
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_packed_pairs_are_small_and_a_frequent_term_is_dealt_out():
+    rng = np.random.default_rng(10)
+    docs = [["aaa" if k % 2 else f"term{rng.integers(0, 5000)}" for k in range(400)] for _ in range(500)]
+    batch = pa.record_batch([pa.array(docs), pa.nulls(500, pa.list_(pa.string()))], names=["tokens", "rare"])
+    rows = pa.Table.from_batches(list(cooccurrence._near_pairs([1.0, 0.5], 2)([batch])))
+    n = sum(cooccurrence._unpacked(2)(None, rows.slice(k, 1)).num_rows for k in range(rows.num_rows)) / 2
+    hot = [k for k in range(rows.num_rows) if "aaa" in cooccurrence._unpacked(2)(None, rows.slice(k, 1)).column("center").to_pylist()]
+    assert n > 100_000 and sum(len(x) for x in rows.column("data").to_pylist()) < 12 * n and len(hot) >= cooccurrence.SIDE - 1

@@ -114,6 +114,17 @@ def _near_pairs(weights: list[float], scale: int | None):
     return run
 
 
+def _apart(batches):
+    """tokens and rare, of texts that are tokens without anything between them and those tokens' sizes in bytes."""
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    for b in batches:
+        sizes, data = b.column("sizes"), "".join(x for x in b.column("text").to_pylist() if x).encode()
+        n = pc.fill_null(pc.list_value_length(sizes), 0).to_numpy(zero_copy_only=False)
+        lengths = sizes.flatten().to_numpy()
+        flat = pa.StringArray.from_buffers(len(lengths), ends(lengths).buffers()[1], pa.py_buffer(data))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends(n), flat), b.column("rare")], names=["tokens", "rare"])
+
+
 def _joined(batches):
     """Columns tokens and rare of batches, of about STEP tokens together."""
     held, n = [], 0
@@ -165,11 +176,14 @@ def cooccurrence(docs: DataFrame, key: str = "doc_id", window: int = 5, least: i
     both directions, and shuffled as packed bytes in SIDE * SIDE buckets by both terms' hashes, so that a frequent term's pairs
     lie in many buckets. Weights are summed as whole numbers if a scale makes them such, so their order does not matter.
     """
-    rows = docs.select(F.col(key), F.col(column).alias("tokens"))
+    # documents move to their rare terms as text and sizes, which take less room than tokens
+    rows = docs.select(F.col(key), F.array_join(column, "").alias("text"), F.transform(column, F.octet_length).alias("sizes"))
     rare = _rare(docs, key, least, column).withColumnRenamed(key, "_key")
     weights = weights or [1.0 / d for d in range(1, window + 1)]
     scale = _scale(weights)
-    found = rows.join(rare, F.col(key).eqNullSafe(F.col("_key")), "left").select("tokens", "rare").mapInArrow(_near_pairs(weights, scale), "bucket int, data binary")
+    near = _near_pairs(weights, scale)
+    both = rows.join(rare, F.col(key).eqNullSafe(F.col("_key")), "left").select("text", "sizes", "rare")
+    found = both.mapInArrow(lambda batches: near(_apart(batches)), "bucket int, data binary")
     return found.groupBy("bucket").applyInArrow(_unpacked(scale), "center string, context string, weight double")
 
 

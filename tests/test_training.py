@@ -342,3 +342,12 @@ def test_packed_pairs_are_small_and_a_frequent_term_is_dealt_out():
     n = sum(cooccurrence._unpacked(2)(None, rows.slice(k, 1)).num_rows for k in range(rows.num_rows)) / 2
     hot = [k for k in range(rows.num_rows) if "aaa" in cooccurrence._unpacked(2)(None, rows.slice(k, 1)).column("center").to_pylist()]
     assert n > 100_000 and sum(len(x) for x in rows.column("data").to_pylist()) < 12 * n and len(hot) >= cooccurrence.SIDE - 1
+
+
+def test_tokens_come_back_from_text_and_sizes(spark):
+    docs = [["é", "w1", "\n", "日本"], [], None, ["a b", "a b"]]
+    batch = pa.record_batch([pa.array(["".join(x) if x is not None else None for x in docs]), pa.array([[len(w.encode()) for w in x] if x is not None else None for x in docs], pa.list_(pa.int32())), pa.nulls(4, pa.list_(pa.string()))], names=["text", "sizes", "rare"])
+    assert [b.column("tokens").to_pylist() for b in cooccurrence._apart([batch.slice(0, 1), batch.slice(1)])] == [[docs[0]], [[], [], docs[3]]]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(docs)], "doc_id int, tokens array<string>")
+    got = {(r.center, r.context): r.weight for r in cooccurrence.cooccurrence(rows, least=1, window=2).collect()}
+    assert got == {("é", "w1"): 1, ("w1", "é"): 1, ("é", "\n"): 0.5, ("\n", "é"): 0.5, ("w1", "\n"): 1, ("\n", "w1"): 1, ("w1", "日本"): 0.5, ("日本", "w1"): 0.5, ("\n", "日本"): 1, ("日本", "\n"): 1, ("a b", "a b"): 2}

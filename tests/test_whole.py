@@ -74,6 +74,22 @@ def test_trained_vectors_are_of_the_whole_job(spark, tmp_path, monkeypatch):
     assert models[0].getMaxIter() == 80 and models[0].getVectorSize() == 100
 
 
+def test_word_neighbours_are_the_nearest_and_the_same_each_time(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = ["the " + " ".join(word(i) for i in rng.integers(0, 20, 12)) for _ in range(60)] + ["only four words here", "", None]
+    d = written(spark, tmp_path, documents=([(k, x, "en", "s") for k, x in enumerate(texts)], DOCUMENTS))
+    models, fit = [], embeddings.word2vec
+    monkeypatch.setattr(embeddings, "word2vec", lambda *a, **b: models.append(fit(*a, **b)) or models[-1])
+    first, again = ([(r.word, r.cosine) for r in registry.queries()["word2vec_neighbours"](spark, d).collect()] for _ in range(2))
+    assert first == again
+    losses = {r.epoch: r.loss for r in models[0].losses.collect()}
+    assert set(losses) == set(range(1, 81)) and losses[80] < losses[1]
+    v = {r.word: np.array(r.vector, float) for r in models[0].getVectors().collect()}
+    assert set(v) == {"the"} | {word(i) for i in range(20)}
+    near = {w: x @ v["the"] / np.linalg.norm(x) / np.linalg.norm(v["the"]) for w, x in v.items() if w != "the"}
+    assert [w for w, _ in first] == sorted(near, key=lambda w: (-near[w], w))[:8] and all(abs(near[w] - c) < 1e-4 for w, c in first)
+
+
 def test_sections_and_reports_of_all_documents(spark, tmp_path):
     rng = np.random.default_rng(11)
     line = lambda: rng.choice(["Of.", "Erreth was.", "Nicht zwei Worte.", "four words with not here.", "a small not.", "Two. Sentences.", "Éa über ça."])

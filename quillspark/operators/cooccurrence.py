@@ -17,6 +17,8 @@ from quillspark.session import work_dir
 
 #: Tokens whose pairs are summed together; hashes of either term, whose pairs are the buckets.
 STEP, SIDE = 1_000_000, 16
+#: Pairs of a bucket that are summed at once; pairs of one batch of results.
+PAIRS, ROWS = 2_000_000, 100_000
 
 
 def frequent(tokens: DataFrame, least: int = 3, column: str = "tokens") -> DataFrame:
@@ -66,10 +68,14 @@ def _near_pairs(weights: list[float], scale: int | None):
 
     def pack(terms: pa.Array, key: np.ndarray, sums: np.ndarray):
         side = np.array([zlib.crc32(x.as_buffer()) % SIDE for x in terms.cast(pa.binary())])
-        lo, hi = key // len(terms), key % len(terms)
+        lo = (key // len(terms)).astype(np.int32)
+        hi = (key % len(terms)).astype(np.int32)
         bucket = (side[lo] * SIDE + side[hi]).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
-        bucket, lo, hi, sums = bucket[order], lo[order], hi[order], sums[order]
+        bucket, lo = bucket[order], lo[order]
+        hi = hi[order]
+        sums = sums[order]
+        del order
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         found = []
         for s, e in zip(cuts, np.r_[cuts[1:], len(bucket)]):
@@ -99,17 +105,22 @@ def _near_pairs(weights: list[float], scale: int | None):
                 kept = ~np.isin(row * len(terms) + code, of * len(terms) + gone)
                 code, row = code[kept], row[kept]
             for s in range(0, len(code), STEP):
-                keys, sums = [], []
+                keys = []
                 for d in range(1, window + 1):
                     e = max(s, min(s + STEP, len(code) - d))  # none where so few tokens are left
                     same = row[s:e] == row[s + d : e + d]
                     a, b = code[s:e][same], code[s + d : e + d][same]
-                    keys.append(np.minimum(a, b) * len(terms) + np.maximum(a, b))
-                    sums.append(np.full(len(a), each[d - 1], float))
-                key, of = np.unique(np.concatenate(keys), return_inverse=True)
-                if len(key):
-                    summed = np.bincount(of, np.concatenate(sums))
-                    yield pack(terms, key, summed.astype(np.int64) if scale else summed)
+                    keys.append((np.minimum(a, b) * len(terms) + np.maximum(a, b)) * window + d - 1)
+                found = np.concatenate(keys)
+                del keys
+                if len(found):
+                    found.sort()  # by pair and distance, in place
+                    value = np.array(each, np.int64 if scale else float)[found % window]
+                    found //= window
+                    first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+                    key, summed = found[first], np.add.reduceat(value, first)
+                    del found, value, first
+                    yield pack(terms, key, summed)
 
     return run
 
@@ -138,32 +149,74 @@ def _joined(batches):
         yield [pa.concat_arrays([b.column(c) for b in held]) for c in ("tokens", "rare")]
 
 
-def _unpacked(scale: int | None):
-    """Over a bucket's (bucket, data): (center, context, weight), both directions of its pairs."""
+def _parts(data: list[pa.Scalar]):
+    """Of each packed table: its first and second terms, each pair's places among these, and sums."""
+    for x in data:
+        part = pa.ipc.open_stream(x.as_buffer()).read_all().combine_chunks()
+        a, b, counts, steps, own = (part.column(c).combine_chunks().flatten() for c in ("lo", "hi", "counts", "steps", "sums"))
+        counts, steps = counts.to_numpy().astype(np.int64), steps.to_numpy().astype(np.int64)
+        starts, run_up = np.cumsum(counts) - counts, np.cumsum(steps)
+        yield a, b, np.repeat(np.arange(len(a)), counts), run_up - np.repeat(run_up[starts] - steps[starts], counts), own.to_numpy()
+
+
+def _whole(scale: int | None):
+    """Over a bucket's packed tables: batches of (center, context, weight), both directions of their pairs. A bucket of more than
+    PAIRS pairs is summed in parts by its first terms, so a task holds its packed data and one part."""
 
-    def run(key, rows):
+    def summed(data: list[pa.Scalar], part: int, parts: int):
         lo_terms, hi_terms, los, his, sums = [], [], [], [], []
         n_lo = n_hi = 0
-        for data in rows.column("data"):
-            part = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
-            a, b, counts, steps, own = (part.column(c).combine_chunks().flatten() for c in ("lo", "hi", "counts", "steps", "sums"))
-            counts, steps = counts.to_numpy().astype(np.int64), steps.to_numpy().astype(np.int64)
-            starts, run_up = np.cumsum(counts) - counts, np.cumsum(steps)
-            his.append(run_up - np.repeat(run_up[starts] - steps[starts], counts) + n_hi)
-            los.append(np.repeat(np.arange(len(a)), counts) + n_lo)
-            sums.append(own.to_numpy())
+        for a, b, lo, hi, own in _parts(data):
+            if parts > 1:
+                kept = (np.array([zlib.crc32(x.as_buffer(), 1) % parts for x in a.cast(pa.binary())]) == part)[lo]
+                lo, hi, own = lo[kept], hi[kept], own[kept]
+            los.append(lo + n_lo)
+            his.append(hi + n_hi)
+            sums.append(own)
             lo_terms.append(a)
             hi_terms.append(b)
             n_lo, n_hi = n_lo + len(a), n_hi + len(b)
         coded = pa.concat_arrays(lo_terms + hi_terms).dictionary_encode()
         terms, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         pairs, of = np.unique(code[np.concatenate(los)] * len(terms) + code[n_lo:][np.concatenate(his)], return_inverse=True)
-        weight = np.bincount(of, np.concatenate(sums)) / (scale or 1)
-        lo, hi = pairs // len(terms), pairs % len(terms)
-        other = lo != hi
-        weight = np.where(other, weight, 2 * weight)
-        take = lambda x, y: terms.take(pa.array(np.concatenate([x, y[other]])))
-        return pa.Table.from_arrays([take(lo, hi), take(hi, lo), pa.array(np.concatenate([weight, weight[other]]))], names=["center", "context", "weight"])
+        weight = np.bincount(of, np.concatenate(sums), len(pairs)) / (scale or 1)
+        for s in range(0, len(pairs), ROWS):
+            lo, hi, w = pairs[s : s + ROWS] // len(terms), pairs[s : s + ROWS] % len(terms), weight[s : s + ROWS]
+            other = lo != hi
+            w = np.where(other, w, 2 * w)
+            take = lambda x, y: terms.take(pa.array(np.concatenate([x, y[other]])))
+            yield pa.RecordBatch.from_arrays([take(lo, hi), take(hi, lo), pa.array(np.concatenate([w, w[other]]))], names=["center", "context", "weight"])
+
+    def whole(data: list[pa.Scalar]):
+        n = sum(len(x[4]) for x in _parts(data))
+        parts = -(-n // PAIRS)
+        for part in range(parts):
+            yield from summed(data, part, parts)
+
+    return whole
+
+
+def _unpacked(scale: int | None):
+    """Over a bucket's (bucket, data): (center, context, weight)."""
+    whole = _whole(scale)
+    return lambda key, rows: pa.Table.from_batches(list(whole(list(rows.column("data")))))
+
+
+def _streamed(scale: int | None):
+    """Over (bucket, data), one bucket after the other: (center, context, weight)."""
+    whole = _whole(scale)
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
+                if held and bucket != at:
+                    yield from whole(held)
+                    held = []
+                at = bucket
+                held.append(pa.scalar(data.as_py(), pa.binary()))  # its own bytes, not the batch's
+        if held:
+            yield from whole(held)
 
     return run
 
@@ -184,7 +237,7 @@ def cooccurrence(docs: DataFrame, key: str = "doc_id", window: int = 5, least: i
     near = _near_pairs(weights, scale)
     both = rows.join(rare, F.col(key).eqNullSafe(F.col("_key")), "left").select("text", "sizes", "rare")
     found = both.mapInArrow(lambda batches: near(_apart(batches)), "bucket int, data binary")
-    return found.groupBy("bucket").applyInArrow(_unpacked(scale), "center string, context string, weight double")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_streamed(scale), "center string, context string, weight double")
 
 
 def glove_pass(rate: float, x_max: float, power: float, batch: int = 4096, run: int = 8):

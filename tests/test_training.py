@@ -351,3 +351,16 @@ def test_tokens_come_back_from_text_and_sizes(spark):
     rows = spark.createDataFrame([(k, x) for k, x in enumerate(docs)], "doc_id int, tokens array<string>")
     got = {(r.center, r.context): r.weight for r in cooccurrence.cooccurrence(rows, least=1, window=2).collect()}
     assert got == {("é", "w1"): 1, ("w1", "é"): 1, ("é", "\n"): 0.5, ("\n", "é"): 0.5, ("w1", "\n"): 1, ("\n", "w1"): 1, ("w1", "日本"): 0.5, ("日本", "w1"): 0.5, ("\n", "日本"): 1, ("日本", "\n"): 1, ("a b", "a b"): 2}
+
+
+def test_a_large_bucket_is_summed_in_parts(monkeypatch):
+    texts = [[f"t{(i * j) % 37}" for j in range(60)] for i in range(1, 9)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([None] * len(texts), pa.list_(pa.string()))], names=["tokens", "rare"])
+    rows = pa.Table.from_batches(list(cooccurrence._near_pairs([1.0, 0.5], 2)([batch, batch])))
+    want = [sorted(map(str, cooccurrence._unpacked(2)(None, rows.filter(pc.equal(rows.column("bucket"), b))).to_pylist())) for b in sorted(set(rows.column("bucket").to_pylist()))]
+    monkeypatch.setattr(cooccurrence, "PAIRS", 2)
+    monkeypatch.setattr(cooccurrence, "ROWS", 3)
+    found = rows.sort_by("bucket").to_batches(max_chunksize=4)
+    out = list(cooccurrence._streamed(2)(found))
+    assert max(b.num_rows for b in out) <= 2 * 3  # not a table for each bucket
+    assert sorted(str(r) for b in out for r in b.to_pylist()) == sorted(x for one in want for x in one)

@@ -138,3 +138,13 @@ def test_lists_and_dense_products_give_the_same_pairs(monkeypatch, rare):
             got[int(r["query"])].append((-r["s"], int(r["other"])))
     want = {q: [x for x in found if x[1] > 0] for q, found in brute(rows, 3).items()}
     assert {q: [(d, round(-s, 6)) for s, d in sorted(x for x in got[q] if x[1] != q)[:3]] for q in rows} == want
+
+
+@pytest.mark.parametrize("groups", [1, 4, 5])
+def test_each_two_groups_meet_once_in_rounds(spark, monkeypatch, groups):
+    monkeypatch.setattr(sparse, "SHIFTS", 1)
+    rows = [(bytes([g, k]), [0, 1 + k], [0.6, 0.8], g) for g in range(groups) for k in range(2)]
+    dealt = spark.createDataFrame([(bytearray(m), i, v, g) for m, i, v, g in rows], "mark binary, indices array<int>, values array<double>, group int")
+    got = [(bytes(r.query), bytes(r.other), r.s) for r in sparse._in_rounds(dealt, groups, 100).collect()]
+    want = [(a[0], b[0], 1.0 if a[1] == b[1] else 0.36) for a in rows for b in rows]
+    assert sorted(got) == sorted(want)
